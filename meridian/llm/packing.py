@@ -26,7 +26,7 @@ SEQUENCE = 2048
 #: A length's pieces are ranked in parts of at most this share of all pieces.
 PARTS = 8192
 #: Words whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 400_000
 
 #: Pieces of lower-cased text that the tokenizer splits at, in the characters for which Python and it agree.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+(?:_+[^\s\w]*)*|_[^\s\w]*(?:_+[^\s\w]*)*")

@@ -44,7 +44,7 @@ _codes: dict[str, int] = {}
 
 
 def _code(word: str) -> int:
-    if len(_codes) > 300_000:
+    if len(_codes) > 150_000:
         _codes.clear()
     return _codes.setdefault(word, zlib.crc32(word.encode("utf-8", "surrogatepass")))
 
