@@ -330,7 +330,7 @@ def merge_hits(spark, d):
 
 @query()
 def suggest_name(spark, d):
-    return search.suggest(gazetteer(spark, d).select("name", "rank"), asked(spark, ["redd", "bleu", "grene Brand#11", "larg"]))
+    return search.suggest(gazetteer(spark, d).select("name", "rank"), some_queries(spark, d).select(F.concat(F.col("q"), F.lit(" Brand#11")).alias("q")))
 
 
 FOLDED = r"trim(regexp_replace(replace(regexp_replace(lower(strip_accents({c})), '[''’ʼ]', '', 'g'), '&', ' and '), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
