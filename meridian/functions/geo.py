@@ -16,7 +16,7 @@ STEP_METRIC, STEP_IMPERIAL = 10000, 16093
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.lit(2 * EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))  # null for null, which least() would skip
 
 
 def bearing(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -127,3 +127,20 @@ def announce_band(m: Column, units: str = "metric") -> Column:
     for r in rungs:
         out = out.when(m <= r, r)
     return out.otherwise(F.ceil(m / step) * step).cast("long")
+
+
+def overlap_share(inner: list[Column], outer: list[Column]) -> Column:
+    """The share of inner (west, south, east, north) that outer covers; 0 for boxes without area."""
+    wide, high = F.least(inner[2], outer[2]) - F.greatest(inner[0], outer[0]), F.least(inner[3], outer[3]) - F.greatest(inner[1], outer[1])
+    w, h = inner[2] - inner[0], inner[3] - inner[1]
+    return F.when((w > 0) & (h > 0) & (wide > 0) & (high > 0), wide * high / (w * h)).otherwise(0.0)
+
+
+def format_bytes(n: Column) -> Column:
+    """Sizes as people read them; null, negative and non-finite ones are unknown."""
+    mb = 1024.0 * 1024
+    x = n.cast("double")
+    bad = x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf"))
+    large = F.when(x >= 1024 * mb, F.format_string("%.1f GB", x / (1024 * mb))).when(x >= 100 * mb, F.format_string("%d MB", half_up(x / mb).cast("long"))).when(x >= mb, F.format_string("%.1f MB", x / mb))
+    small = F.when(x < 1024, F.format_string("%d B", x.cast("long"))).otherwise(F.format_string("%.1f KB", x / 1024))
+    return F.when(bad, "unknown size").otherwise(F.coalesce(large, small))

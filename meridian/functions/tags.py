@@ -61,3 +61,55 @@ def keep_keys(tags: Column, keys: tuple[str, ...]) -> Column:
 
 def any_key(tags: Column, keys: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (tags[k].isNotNull() for k in keys))
+
+
+def _first_of(tags: Column, keys: tuple[str, ...]) -> Column:
+    """key/value of the first key present."""
+    return F.coalesce(*(F.concat(F.lit(k + "/"), tags[k]) for k in keys))
+
+
+def entry(tags: Column) -> Column:
+    """Struct (kind, osm, name) of a gazetteer entry, null without a name or house number; the first that fits of house,
+    place, street, water, administrative area, point of interest and area."""
+    house, place = tags["addr:housenumber"], tags["place"]
+    make = lambda kind, osm: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), osm.alias("osm"))
+    name = F.when(house.isNotNull(), F.trim(F.concat_ws(" ", house, tags["addr:street"]))).otherwise(tags["name"])
+    level = tags["admin_level"]
+    admin = F.when(level == "2", "country").when(level.isin("3", "4"), "state").when(level == "8", "city").otherwise("area")
+    poi = _first_of(tags, ("amenity", "shop", "tourism", "leisure", "office", "historic"))
+    chosen = (
+        F.when(house.isNotNull(), make("house", F.concat(F.lit("addr:housenumber/"), house)))
+        .when(place.isNotNull(), make(place, F.concat(F.lit("place/"), place)))
+        .when(tags["highway"].isNotNull(), make("street", _first_of(tags, ("highway",))))
+        .when(tags["waterway"].isNotNull(), make("water", _first_of(tags, ("waterway",))))
+        .when(tags["natural"] == "water", make("water", F.lit("natural/water")))
+        .when(tags["water"].isNotNull(), make("water", _first_of(tags, ("water",))))
+        .when(tags["boundary"] == "administrative", make(admin, F.lit("boundary/administrative")))
+        .when(poi.isNotNull(), make("poi", poi))
+        .otherwise(make("area", _first_of(tags, ("natural", "landuse", "building", "type", "name"))))
+    )
+    return F.when(name.isNotNull(), F.struct(chosen["kind"].alias("kind"), chosen["osm"].alias("osm"), name.alias("name")))
+
+
+def place_rank(tags: Column) -> Column:
+    """Rank of a named node by its kind of place."""
+    return F.when(tags["place"].isin("city", "town"), 100).when(tags["place"] == "village", 90).when(tags["place"].isin("suburb", "neighbourhood"), 60).otherwise(50)
+
+
+def is_junction(tags: Column) -> Column:
+    """Nodes that need not slow a car down twice: signals, turning circles, junctions, barriers, crossings of rails."""
+    truth = lambda c: F.coalesce(c, F.lit(False))
+    rails = tags["railway"].isNotNull() & lookup(SPEED, tags["highway"]).isNull()
+    return truth(tags["highway"].isin("traffic_signals", "turning_circle")) | truth(tags["junction"] != "") | truth(~tags["barrier"].isin("", "no")) | truth(rails)
+
+
+def area_layer(tags: Column) -> Column:
+    """water, green or null: the layers of areas on a client's own map."""
+    water = tags["waterway"].isNotNull() | tags["water"].isNotNull() | F.coalesce(tags["natural"] == "water", F.lit(False))
+    green = tags["natural"].isin("wood", "grassland", "scrub"), tags["landuse"].isin("forest", "grass", "meadow", "recreation_ground"), tags["leisure"].isin("park", "garden")
+    return F.when(water, "water").when(reduce(lambda a, b: a | b, (F.coalesce(g, F.lit(False)) for g in green)), "green")
+
+
+def house_number(text: Column) -> Column:
+    """The whole number that a house number starts with, null if none."""
+    return F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1).try_cast("long")

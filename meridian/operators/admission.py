@@ -1,9 +1,11 @@
-"""Sliding-window admission: only admitted requests count against the limit."""
+"""Which requests run, and when: sliding-window admission, throttling, debouncing, expiry and the failure latch."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def admit(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
@@ -28,3 +30,34 @@ def admit(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
             yield pd.DataFrame({"key": f["key"], "ms": f["ms"], "id": f["id"], "admitted": out})
 
     return requests.select("key", "ms", "id").repartition("key").sortWithinPartitions("key", "ms", "id").mapInPandas(run, schema)
+
+
+def throttle(requests: DataFrame, gap_ms: int) -> DataFrame:
+    """requests (key, ms, id) with start_ms: first come, first served, starts at least gap_ms apart.
+
+    The start of the n-th request is n gaps after the latest of (arrival - its own number of gaps) so far.
+    """
+    order = Window.partitionBy("key").orderBy("ms", "id")
+    n = requests.withColumn("n", (F.row_number().over(order) - 1) * F.lit(gap_ms).cast("long"))
+    return n.withColumn("start_ms", F.max(F.col("ms") - F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("n")).drop("n")
+
+
+def debounce(requests: DataFrame, quiet_ms: int, least: int = 2) -> DataFrame:
+    """requests (key, ms, id, text): the last of each burst, if its trimmed text has at least so many characters."""
+    order = Window.partitionBy("key").orderBy("ms", "id")
+    last = F.lead("ms").over(order)
+    return requests.withColumn("next", last).filter((F.col("next").isNull() | (F.col("next") - F.col("ms") >= quiet_ms)) & (F.length(F.trim("text")) >= least)).drop("next")
+
+
+def expired(builds: DataFrame, leases: DataFrame, now_ms: int, keep_ms: int) -> DataFrame:
+    """builds (id, ms) older than keep_ms that no lease (id) holds."""
+    return builds.filter(F.col("ms") + keep_ms <= now_ms).join(leases.select("id"), "id", "left_anti")
+
+
+def latched(calls: DataFrame, limit: int = 3) -> DataFrame:
+    """calls (key, ms, id, ok) with dead: whether limit calls in a row have failed by then; it stays so. Null is a failure."""
+    order = Window.partitionBy("key").orderBy("ms", "id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    fine = F.coalesce(F.col("ok"), F.lit(False))
+    lately = F.sum((~fine).cast("int")).over(order.rowsBetween(1 - limit, 0))  # fewer rows than limit cannot reach it
+    return calls.withColumn("bad", lately >= limit).withColumn("dead", F.max("bad").over(upto)).drop("bad")

@@ -109,11 +109,27 @@ def category_nearest(places: DataFrame, category: str, lon: float, lat: float, l
     return places.filter(F.col("cat") == category).withColumn("metres", F.round(metres, 3)).orderBy("metres", "id").limit(limit)
 
 
-def covering(points: DataFrame, boxes: DataFrame, cell: float = 0.5) -> DataFrame:
-    """(point, box): the smallest box around each point, ties to the smaller box id. Boxes are dealt to grid cells."""
+def covering(points: DataFrame, boxes: DataFrame, cell: float = 0.5, by: Column | None = None) -> DataFrame:
+    """(point, box): the smallest box around each point, or that with the least by, ties to the smaller box id. Boxes are
+    dealt to grid cells."""
     at = lambda c: F.floor(F.col(c) / cell).cast("long")
     dealt = boxes.withColumn("cx", F.explode(F.sequence(at("west"), at("east")))).withColumn("cy", F.explode(F.sequence(at("south"), at("north"))))
     inside: Column = (F.col("lon") >= F.col("west")) & (F.col("lon") <= F.col("east")) & (F.col("lat") >= F.col("south")) & (F.col("lat") <= F.col("north"))
     hits = points.withColumn("cx", at("lon")).withColumn("cy", at("lat")).join(dealt, ["cx", "cy"]).filter(inside)
-    area = (F.col("east") - F.col("west")) * (F.col("north") - F.col("south"))
-    return hits.groupBy("point").agg(F.min(F.struct(area.alias("area"), "box")).alias("m")).select("point", "m.box")
+    least = (F.col("east") - F.col("west")) * (F.col("north") - F.col("south")) if by is None else by
+    return hits.groupBy("point").agg(F.min(F.struct(least.alias("least"), "box")).alias("m")).select("point", "m.box")
+
+
+def online_score(text_score: Column, importance: Column, metres: Column) -> Column:
+    """Score of a hit from elsewhere; a name that does not match still counts."""
+    return F.coalesce(text_score, F.lit(480.0)) + F.least(F.lit(120.0), F.coalesce(importance, F.lit(0.25)) * 120) - distance_bias(metres)
+
+
+def saved_score(text_score: Column, metres: Column) -> Column:
+    """Score of a saved place, null where its label does not match."""
+    return text_score + 250 - distance_bias(metres)
+
+
+def capped(gazetteer: DataFrame, most: int, seq: str = "id") -> DataFrame:
+    """The most entries of the highest rank; entries of one rank by seq. A top-k: each task keeps its own first."""
+    return gazetteer.orderBy(F.desc("rank"), F.asc(seq)).limit(most)

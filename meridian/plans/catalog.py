@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo, tags, text
-from ..operators import admission, roads, search, tiles, trips
+from ..operators import admission, lines as polylines, roads, search, tiles, trips
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -369,10 +369,7 @@ NATION_BOX = "nation_box AS (SELECT n_nationkey AS box, -114.0 + (n_nationkey %
 
 @query(f"WITH {GRID}, {NATION_BOX}, h AS (SELECT node AS point, box, row_number() OVER (PARTITION BY node ORDER BY (east - west) * (north - south), box) AS rn FROM g JOIN nation_box ON lon BETWEEN west AND east AND lat BETWEEN south AND north) SELECT point, box FROM h WHERE rn = 1")
 def admin_context(spark, d):
-    k = F.col("n_nationkey")
-    west, south = -114.0 + (k % 5) * 0.06, 51.0 + F.floor(k / 5) * 0.006
-    boxes = read(spark, d, "nation").select(k.alias("box"), west.alias("west"), south.alias("south"), (west + 0.05 + k * 0.0013).alias("east"), (south + 0.005 + k * 0.00013).alias("north"))
-    return search.covering(grid(spark, d).select(F.col("node").alias("point"), "lon", "lat"), boxes, 0.02)
+    return search.covering(grid(spark, d).select(F.col("node").alias("point"), "lon", "lat"), nation_boxes(spark, d), 0.02)
 
 
 # --- scans ---
@@ -540,3 +537,184 @@ def session_windows(spark, d):
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube(spark, d):
     return read(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+# --- polylines: the events' routes ---
+
+MEASURED = f"""{LINES}, m0 AS (SELECT *, CASE WHEN row_number() OVER o > 1 THEN {hav('lag(lon) OVER o', 'lag(lat) OVER o', 'lon', 'lat')} END AS step FROM l WINDOW o AS (PARTITION BY route ORDER BY pos)),
+m AS (SELECT route, pos, lon, lat, coalesce(step, 0.0) AS metres, sum(coalesce(step, 0.0)) OVER (PARTITION BY route ORDER BY pos ROWS UNBOUNDED PRECEDING) AS along FROM m0),
+pc AS (SELECT * FROM (SELECT route, pos, lon AS ax, lat AS ay, lead(lon) OVER o AS bx, lead(lat) OVER o AS by_, along AS start, lead(metres) OVER o AS metres FROM m WINDOW o AS (PARTITION BY route ORDER BY pos)) WHERE bx IS NOT NULL)"""
+
+
+@query(f"WITH {MEASURED} SELECT route, pos::INT AS pos, round(metres, 3) AS metres, round(along, 3) AS along FROM m")
+def line_length(spark, d):
+    return polylines.measured(lines(spark, d)).select("route", "pos", F.round("metres", 3).alias("metres"), F.round("along", 3).alias("along"))
+
+
+@query(f"""WITH {MEASURED}, f AS (SELECT route * 1000000 + pos AS id, route, lon + 0.00041 AS px, lat + 0.00033 AS py FROM l),
+k AS (SELECT *, cos(radians(ay)) * 111320 AS kx FROM f JOIN pc USING (route)),
+q AS (SELECT *, ((bx - ax) * kx) ** 2 + ((by_ - ay) * 111320) ** 2 AS size, (px - ax) * kx * (bx - ax) * kx + (py - ay) * 111320 * (by_ - ay) * 111320 AS dot FROM k),
+t AS (SELECT *, CASE WHEN size = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, dot / size)) END AS t FROM q),
+n AS (SELECT id, pos, start, ax, ay, px, py, ax + t * (bx - ax) AS sx, ay + t * (by_ - ay) AS sy FROM t),
+b AS (SELECT id, pos, start + {hav('ax', 'ay', 'sx', 'sy')} AS along, {hav('px', 'py', 'sx', 'sy')} AS distance FROM n)
+SELECT id, round(distance, 3) AS distance, round(along, 3) AS along FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, pos) AS rn FROM b) WHERE rn = 1""")
+def snap_to_line(spark, d):
+    line = lines(spark, d)
+    fix = line.select((F.col("route") * 1000000 + F.col("pos")).alias("id"), "route", (F.col("lon") + 0.00041).alias("lon"), (F.col("lat") + 0.00033).alias("lat"))
+    return polylines.snap(fix, line).select("id", F.round("distance", 3).alias("distance"), F.round("along", 3).alias("along"))
+
+
+@query(f"""WITH {MEASURED}, a AS (SELECT event_id AS id, user_id AS route, value * 100 AS asked FROM events), tot AS (SELECT route, max(start + metres) AS total FROM pc GROUP BY route),
+h AS (SELECT id, pos, ax, ay, bx, by_, metres, start, greatest(0.0, least(asked, total)) AS at_ FROM a JOIN tot USING (route) JOIN pc USING (route)),
+s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn, CASE WHEN metres > 0 THEN (at_ - start) / metres ELSE 0.0 END AS t FROM h WHERE at_ >= start AND at_ <= start + metres)
+SELECT id, pos::INT AS pos, round(ax + t * (bx - ax), 6) AS lon, round(ay + t * (by_ - ay), 6) AS lat FROM s WHERE rn = 1""")
+def place_on_line(spark, d):
+    asked = read(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("route"), (F.col("value") * 100).alias("metres"))
+    return polylines.place_at(lines(spark, d), asked).select("id", "pos", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query(f"WITH {MEASURED}, t AS (SELECT *, max(along) OVER (PARTITION BY route) AS total FROM m) SELECT route, pos::INT AS pos, round(CASE WHEN total - along = 0 THEN 0.0 ELSE greatest(1.0, total - along) END, 2) AS remaining FROM t")
+def remaining_distance(spark, d):
+    m = polylines.measured(lines(spark, d)).withColumn("total", F.max("along").over(Window.partitionBy("route")))
+    return m.select("route", "pos", F.round(polylines.remaining(F.col("total"), F.col("along")), 2).alias("remaining"))
+
+
+@query(f"""WITH {MEASURED}, b AS (SELECT a.route, a.pos, a.along, max(CASE WHEN z.along <= a.along + 500 THEN z.pos END) + 1 AS beyond, max(z.along) AS last FROM m a JOIN m z ON z.route = a.route AND z.pos >= a.pos GROUP BY a.route, a.pos, a.along)
+SELECT b.route, b.pos::INT AS pos, round(coalesce(e.along, last) - b.along, 3) AS ahead FROM b LEFT JOIN m e ON e.route = b.route AND e.pos = beyond""")
+def distance_ahead(spark, d):
+    return polylines.ahead(lines(spark, d)).select("route", "pos", F.round("ahead", 3).alias("ahead"))
+
+
+@query(f"WITH {LINES}, n AS (SELECT *, count(*) OVER (PARTITION BY route) AS n FROM l) SELECT route, pos::INT AS pos FROM n WHERE pos % greatest(1, ceil(n / 20.0)) = 0 OR pos = n - 1")
+def thin_line(spark, d):
+    return polylines.thin(lines(spark, d), 20).select("route", "pos")
+
+
+@query(f"WITH {LINES} SELECT route, (row_number() OVER (PARTITION BY route ORDER BY leg, pos) - 1)::INT AS pos, round(lon, 6) AS lon, round(lat, 6) AS lat FROM (SELECT route, pos // 5 AS leg, pos, lon, lat FROM l)")
+def join_legs(spark, d):
+    """Legs of five vertices that each also hold the end of the leg before."""
+    leg = lines(spark, d).withColumn("leg", F.floor(F.col("pos") / 5))
+    again = leg.filter("pos % 5 = 4").select("route", (F.col("leg") + 1).alias("leg"), "pos", "lon", "lat")
+    whole = leg.unionByName(again.join(leg.select("route", "leg").distinct(), ["route", "leg"], "left_semi"))
+    return polylines.joined_legs(whole).select("route", "pos", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+QUANT = f"""q0 AS (SELECT route, pos, floor((lon + 180) / 360 * 16777216 + 0.5)::BIGINT AS x, floor({MERC} * 16777216 + 0.5)::BIGINT AS y FROM l),
+q AS (SELECT route, pos, x, y FROM (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py FROM q0 WINDOW o AS (PARTITION BY route ORDER BY pos)) WHERE px IS NULL OR px <> x OR py <> y)"""
+
+
+@query(f"WITH {LINES}, {QUANT} SELECT route, pos::INT AS pos, x, y FROM q")
+def quantised_line(spark, d):
+    return polylines.quantised(lines(spark, d), 12)
+
+
+@query(f"""WITH {LINES}, {QUANT}, w AS (SELECT route, x, y, coalesce(lead(x) OVER o, first_value(x) OVER o) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER o) AS ny FROM q WINDOW o AS (PARTITION BY route ORDER BY pos)),
+s AS (SELECT route, sum(x * ny - nx * y)::BIGINT AS area2 FROM w GROUP BY route) SELECT route, area2 FROM s WHERE abs(area2) >= 8""")
+def ring_area(spark, d):
+    return polylines.ring_areas(polylines.quantised(lines(spark, d), 12)).select("route", "area2")
+
+
+@query(f"""WITH {MEASURED}, s AS (SELECT *, greatest(1, floor(metres / 25 + 0.5)::BIGINT) AS steps FROM pc), b AS (SELECT *, (sum(steps) OVER (PARTITION BY route ORDER BY pos ROWS UNBOUNDED PRECEDING) - steps)::BIGINT AS before FROM s),
+k AS (SELECT *, unnest(generate_series(1, steps)) AS k FROM b) SELECT route, 2 * (before + k) AS house, floor((ax + (bx - ax) * (k / steps)) * 1e6 + 0.3711)::BIGINT AS lon_e6, floor((ay + (by_ - ay) * (k / steps)) * 1e6 + 0.3711)::BIGINT AS lat_e6 FROM k WHERE (before + k) % 6 = 0""")
+def address_points(spark, d):
+    """Coordinates in millionths of a degree; the offset keeps the cuts off the fractions that steps of a segment make."""
+    e6 = lambda c: F.floor(F.col(c) * 1e6 + 0.3711).alias(f"{c}_e6")
+    return polylines.addresses(lines(spark, d)).select("route", "house", e6("lon"), e6("lat"))
+
+
+@query(f"""WITH {WAYS}, v AS (SELECT r.way, r.run, r.pos, r.lon, r.lat, o.o_orderpriority AS name, CASE WHEN o.o_custkey % 5 > 0 THEN (o.o_custkey % 5)::VARCHAR END AS context FROM r JOIN orders o ON o.o_orderkey = r.way),
+u AS (SELECT *, CASE WHEN row_number() OVER i > 1 THEN {hav('lag(lon) OVER i', 'lag(lat) OVER i', 'lon', 'lat')} ELSE 0.0 END AS metres FROM v WINDOW i AS (PARTITION BY way, run ORDER BY pos))
+SELECT lower(name) AS key, context, arg_min(name, (way, run, pos)) AS name, count(DISTINCT way) AS ways, round(sum(metres), 1) AS metres FROM u GROUP BY lower(name), context""")
+def street_merge(spark, d):
+    points = roads.runs(way_refs(spark, d), way_nodes(spark, d))
+    names = read(spark, d, "orders").select(F.col("o_orderkey").alias("way"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_custkey") % 5 > 0, (F.col("o_custkey") % 5).cast("string")).alias("context"))
+    return polylines.merge_streets(points.join(names, "way")).select("key", "context", "name", "ways", F.round("metres", 1).alias("metres"))
+
+
+# --- places and boxes ---
+
+
+@query(f"WITH {GRID}, {NATION_BOX}, h AS (SELECT node AS point, box, row_number() OVER (PARTITION BY node ORDER BY box * 7 % 25, box) AS rn FROM g JOIN nation_box ON lon BETWEEN west AND east AND lat BETWEEN south AND north) SELECT point, box FROM h WHERE rn = 1")
+def first_covering(spark, d):
+    """The first box of a list that holds a point; the list's order is the nation's key times 7."""
+    return search.covering(grid(spark, d).select(F.col("node").alias("point"), "lon", "lat"), nation_boxes(spark, d), 0.02, by=F.col("box") * 7 % 25)
+
+
+def nation_boxes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    west, south = -114.0 + (k % 5) * 0.06, 51.0 + F.floor(k / 5) * 0.006
+    return read(spark, d, "nation").select(k.alias("box"), west.alias("west"), south.alias("south"), (west + 0.05 + k * 0.0013).alias("east"), (south + 0.005 + k * 0.00013).alias("north"))
+
+
+@query(f"""WITH {NATION_BOX}, p AS (SELECT a.box AS a, b.box AS b, least(a.east, b.east) - greatest(a.west, b.west) AS w, least(a.north, b.north) - greatest(a.south, b.south) AS h, (a.east - a.west) * (a.north - a.south) AS area FROM nation_box a JOIN nation_box b ON b.box = a.box + 1 OR b.box = a.box + 5)
+SELECT a, b, round(CASE WHEN w > 0 AND h > 0 THEN w * h / area ELSE 0.0 END, 6) AS share FROM p""")
+def box_overlap(spark, d):
+    names = ("west", "south", "east", "north")
+    boxes = nation_boxes(spark, d).withColumnRenamed("box", "a")
+    other = boxes.select(F.col("a").alias("b"), *(F.col(c).alias(f"o_{c}") for c in names))
+    near = boxes.withColumn("b", F.explode(F.array(F.col("a") + 1, F.col("a") + 5))).join(other, "b")
+    return near.select("a", "b", F.round(geo.overlap_share([F.col(c) for c in names], [F.col(f"o_{c}") for c in names]), 6).alias("share"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 9 = 0 THEN p_size || 'A' END AS house, CASE WHEN p_partkey % 4 = 1 THEN 'town' END AS place, CASE WHEN p_partkey % 5 = 2 THEN 'primary' END AS highway,
+  CASE WHEN p_partkey % 7 = 3 THEN 'administrative' END AS boundary, (p_partkey % 10)::VARCHAR AS level, CASE WHEN p_partkey % 3 = 0 THEN 'bakery' END AS shop FROM part),
+e AS (SELECT *, CASE WHEN house IS NOT NULL THEN 'house' WHEN place IS NOT NULL THEN place WHEN highway IS NOT NULL THEN 'street' WHEN boundary IS NOT NULL THEN CASE WHEN level = '2' THEN 'country' WHEN level IN ('3', '4') THEN 'state' WHEN level = '8' THEN 'city' ELSE 'area' END WHEN shop IS NOT NULL THEN 'poi' ELSE 'area' END AS kind,
+  CASE WHEN house IS NOT NULL THEN 'addr:housenumber/' || house WHEN place IS NOT NULL THEN 'place/town' WHEN highway IS NOT NULL THEN 'highway/primary' WHEN boundary IS NOT NULL THEN 'boundary/administrative' WHEN shop IS NOT NULL THEN 'shop/bakery' ELSE 'name/' || name END AS osm FROM t)
+SELECT k AS id, kind, osm, CASE WHEN house IS NOT NULL THEN house || ' Main St' ELSE name END AS name, CASE WHEN place IS NOT NULL THEN 100 ELSE 50 END AS rank, coalesce(TRY_CAST(regexp_extract(house, '^([0-9]+)', 1) AS BIGINT), 0) AS house FROM e""")
+def gazetteer_entry(spark, d):
+    k = F.col("p_partkey")
+    pairs = [("name", F.col("p_name")), ("addr:housenumber", F.when(k % 9 == 0, F.concat(F.col("p_size").cast("string"), F.lit("A")))), ("addr:street", F.when(k % 9 == 0, "Main St")), ("place", F.when(k % 4 == 1, "town")), ("highway", F.when(k % 5 == 2, "primary")),
+             ("boundary", F.when(k % 7 == 3, "administrative")), ("admin_level", (k % 10).cast("string")), ("shop", F.when(k % 3 == 0, "bakery"))]
+    made = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(a).alias("col1"), b.alias("col2")) for a, b in pairs)), lambda e: e["col2"].isNotNull()))
+    t = read(spark, d, "part").select(k.alias("id"), made.alias("t"))
+    return t.select("id", tags.entry(F.col("t")).alias("e"), tags.place_rank(F.col("t")).alias("rank"), F.coalesce(tags.house_number(F.col("t")["addr:housenumber"]), F.lit(0)).alias("house")).select("id", "e.*", "rank", "house")
+
+
+@query("SELECT p_partkey AS id, p_retailprice AS rank FROM part ORDER BY rank DESC, id LIMIT 100")
+def gazetteer_cap(spark, d):
+    return search.capped(read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("rank")), 100)
+
+
+@query("SELECT event_id, round(coalesce(s, 480.0) + least(120.0, coalesce(i, 0.25) * 120) - b, 4) AS online, round(s + 250 - b, 4) AS saved FROM (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN value * 7 END AS s, CASE WHEN event_id % 4 > 0 THEN value / 90 END AS i, least(120.0, value * 4000 / 500) + least(350.0, greatest(0.0, value * 4000 - 200000) / 3000) AS b FROM events)")
+def hit_scores(spark, d):
+    k, v = F.col("event_id"), F.col("value")
+    s, i, m = F.when(k % 3 > 0, v * 7), F.when(k % 4 > 0, v / 90), v * 4000
+    return read(spark, d, "events").select("event_id", F.round(search.online_score(s, i, m), 4).alias("online"), F.round(search.saved_score(s, m), 4).alias("saved"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN n < 0 THEN 'unknown size' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 104857600 THEN printf('%.1f MB', n / 1048576) WHEN n < 1073741824 THEN floor(n / 1048576 + 0.5)::BIGINT || ' MB' ELSE printf('%.1f GB', n / 1073741824) END AS size
+FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN -1 WHEN 1 THEN o_orderkey % 1024 WHEN 2 THEN o_orderkey * 101 WHEN 3 THEN o_orderkey * 40009 ELSE o_orderkey * 400009 END::BIGINT AS n FROM orders)""")
+def fmt_bytes(spark, d):
+    k = F.col("o_orderkey")
+    n = F.when(k % 5 == 0, -1).when(k % 5 == 1, k % 1024).when(k % 5 == 2, k * 101).when(k % 5 == 3, k * 40009).otherwise(k * 400009)
+    return read(spark, d, "orders").select("o_orderkey", geo.format_bytes(n).alias("size"))
+
+
+# --- requests: events by user in time ---
+
+
+def requests(spark, d):
+    return fixes(spark, d).select(F.col("trip").alias("key"), "ms", F.col("event_id").alias("id"), "distance", F.col("instruction").alias("text"))
+
+
+@query(f"WITH {FIXES}, n AS (SELECT *, (row_number() OVER (PARTITION BY trip ORDER BY ms, event_id) - 1) * {4 * HOUR} AS n FROM f) SELECT event_id AS id, (max(ms - n) OVER (PARTITION BY trip ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) + n)::BIGINT AS start_ms FROM n")
+def throttle_starts(spark, d):
+    return admission.throttle(requests(spark, d), 4 * HOUR).select("id", "start_ms")
+
+
+@query(f"WITH {FIXES}, n AS (SELECT *, lead(ms) OVER (PARTITION BY trip ORDER BY ms, event_id) AS nx FROM f) SELECT event_id AS id FROM n WHERE (nx IS NULL OR nx - ms >= {5 * HOUR}) AND length(trim(instruction)) >= 5")
+def debounced(spark, d):
+    return admission.debounce(requests(spark, d), 5 * HOUR, 5).select("id")
+
+
+@query(f"WITH {FIXES}, z AS (SELECT max(ms) AS top FROM f) SELECT event_id AS id FROM f, z WHERE ms + {240 * HOUR} <= top AND event_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def expired_builds(spark, d):
+    r = requests(spark, d).select("id", "ms")
+    top = r.agg(F.max("ms")).first()[0] or 0
+    return admission.expired(r, read(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id")), top, 240 * HOUR).select("id")
+
+
+@query(f"""WITH {FIXES}, b AS (SELECT *, sum(CASE WHEN distance < 60 THEN 0 ELSE 1 END) OVER (PARTITION BY trip ORDER BY ms, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 AS bad FROM f)
+SELECT event_id AS id, bool_or(bad) OVER (PARTITION BY trip ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS dead FROM b""")
+def failure_latch(spark, d):
+    return admission.latched(requests(spark, d).withColumn("ok", F.col("distance") < 60)).select("id", "dead")
