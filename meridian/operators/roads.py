@@ -92,17 +92,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def shortest_costs(edges: DataFrame, sources: DataFrame, hops: int = 6) -> DataFrame:
     """(source, node, cost) for every node that a source reaches: frontier relaxation for all sources at once.
 
-    Only labels that improved in a round are relaxed in the next. Costs are float32 by edge, summed as doubles.
+    A round relaxes hops times before it is stored; labels that its last step set are the next round's frontier, as
+    the others have been relaxed in it. Costs are float32 by edge, summed as doubles.
     """
-    edges = stored(edges.groupBy("src", "dst").agg(F.min("cost").cast("double").alias("w")), "edges")
+    edges = stored(edges.groupBy(F.col("src").alias("node"), "dst").agg(F.min("cost").cast("double").alias("w")), "edges")
     best = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), F.lit(True).alias("new")), "best")
     while True:
-        front = best.filter("new")
-        step = front.join(edges, front["node"] == edges["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("cost"), F.lit(True).alias("new"))
-        every = best.withColumn("new", F.lit(False)).unionByName(step)
+        front, every = best.filter("new").select("source", "node", "cost"), best.withColumn("new", F.lit(False))
+        for hop in range(1, hops + 1):
+            front = front.join(edges, "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("cost"))
+            every = every.unionByName(front.withColumn("new", F.lit(hop == hops)))
         best = stored(every.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min_by("new", F.struct("cost", "new")).alias("new")), "best")
         if best.filter("new").isEmpty():
             return best.drop("new")
