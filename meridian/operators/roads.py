@@ -110,6 +110,17 @@ def shortest_costs(edges: DataFrame, sources: DataFrame, hops: int = 6) -> DataF
             return best.drop("new")
 
 
+def shortest_tree(edges: DataFrame, costs: DataFrame) -> DataFrame:
+    """costs (source, node, cost) with before: the node that a cheapest path comes from, the smallest of equals; null at
+    the source. costs are shortest_costs() of the same edges, so the sums are equal to the last bit. Edges without cost
+    cannot come before a node, lest they close a circle."""
+    steps = edges.groupBy("src", "dst").agg(F.min("cost").cast("double").alias("w")).filter("w > 0")
+    start = costs.select("source", F.col("node").alias("src"), F.col("cost").alias("from"))
+    tight = start.join(steps, "src").withColumn("cost", F.col("from") + F.col("w")).select("source", F.col("dst").alias("node"), "cost", "src")
+    found = tight.join(costs, ["source", "node", "cost"], "left_semi").groupBy("source", "node").agg(F.min("src").alias("before"))
+    return costs.join(found, ["source", "node"], "left").select("source", "node", "cost", F.when(F.col("source") != F.col("node"), F.col("before")).alias("before"))
+
+
 def steps(path: DataFrame) -> DataFrame:
     """path (route, pos, name, metres, seconds): consecutive edges of one name as a step."""
     order = Window.partitionBy("route").orderBy("pos")

@@ -262,17 +262,25 @@ def grid_edges(spark, d):
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).select("src", "dst", F.col("w").cast("float").alias("cost"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT c_custkey AS k, c_custkey % 20 AS x, c_custkey // 20 AS y FROM customer WHERE c_custkey < 400),
+COSTS = """WITH RECURSIVE p AS (SELECT c_custkey AS k, c_custkey % 20 AS x, c_custkey // 20 AS y FROM customer WHERE c_custkey < 400),
 o AS (SELECT k AS a, k + 1 AS b, CASE WHEN y % 3 = 0 THEN 3.5::DOUBLE ELSE 1.25 END AS w FROM p WHERE x < 19 UNION ALL SELECT k, k + 20, 2.0::DOUBLE FROM p),
 e AS (SELECT a, b, w FROM o WHERE b <= (SELECT max(k) FROM p) UNION ALL SELECT b, a, w FROM o WHERE b <= (SELECT max(k) FROM p)),
 r(source, node, cost) USING KEY (source, node) AS (SELECT k, k, 0.0::DOUBLE FROM p WHERE k IN (0, 7)
- UNION SELECT r.source, e.b, min(r.cost + e.w) FROM r JOIN e ON e.a = r.node LEFT JOIN recurring.r AS old ON old.source = r.source AND old.node = e.b WHERE old.cost IS NULL OR r.cost + e.w < old.cost GROUP BY r.source, e.b)
-SELECT source, node, cost FROM r""")
+ UNION SELECT r.source, e.b, min(r.cost + e.w) FROM r JOIN e ON e.a = r.node LEFT JOIN recurring.r AS old ON old.source = r.source AND old.node = e.b WHERE old.cost IS NULL OR r.cost + e.w < old.cost GROUP BY r.source, e.b)"""
+
+
+@query(f"{COSTS} SELECT source, node, cost FROM r")
 def shortest_path_cost(spark, d):
     sources = read(spark, d, "customer").filter("c_custkey IN (0, 7)").select(F.col("c_custkey").alias("node"))
     return roads.shortest_costs(grid_edges(spark, d), sources)
 
 
+@query(f"{COSTS} SELECT r.source, r.node, r.cost, coalesce(min(b.node), -1) AS before FROM r LEFT JOIN e ON e.b = r.node AND r.node <> r.source LEFT JOIN r AS b ON b.source = r.source AND b.node = e.a AND b.cost + e.w = r.cost GROUP BY r.source, r.node, r.cost")
+def shortest_path_tree(spark, d):
+    edges = grid_edges(spark, d)
+    return roads.shortest_tree(edges, shortest_path_cost(spark, d)).withColumn("before", F.coalesce("before", F.lit(-1)))
+
+
 @query("""WITH p AS (SELECT l_orderkey AS route, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS pos, l_returnflag AS name, l_quantity AS metres FROM lineitem),
 c AS (SELECT *, CASE WHEN pos > 0 AND name = lag(name) OVER (PARTITION BY route ORDER BY pos) THEN 0 ELSE 1 END AS ch FROM p), s AS (SELECT *, sum(ch) OVER (PARTITION BY route ORDER BY pos) AS step FROM c)
 SELECT route, step::BIGINT AS step, name, round(sum(metres), 2) AS metres, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos FROM s GROUP BY route, step, name""")
