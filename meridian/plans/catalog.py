@@ -690,7 +690,7 @@ def hit_scores(spark, d):
     return read(spark, d, "events").select("event_id", F.round(search.online_score(s, i, m), 4).alias("online"), F.round(search.saved_score(s, m), 4).alias("saved"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN n < 0 THEN 'unknown size' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 104857600 THEN printf('%.1f MB', n / 1048576) WHEN n < 1073741824 THEN floor(n / 1048576 + 0.5)::BIGINT || ' MB' ELSE printf('%.1f GB', n / 1073741824) END AS size
+@query("""SELECT o_orderkey, CASE WHEN n < 0 THEN 'unknown size' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10) WHEN n < 104857600 THEN printf('%.1f MB', floor(n / 1048576 * 10 + 0.5) / 10) WHEN n < 1073741824 THEN floor(n / 1048576 + 0.5)::BIGINT || ' MB' ELSE printf('%.1f GB', floor(n / 1073741824 * 10 + 0.5) / 10) END AS size
 FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN -1 WHEN 1 THEN o_orderkey % 1024 WHEN 2 THEN o_orderkey * 101 WHEN 3 THEN o_orderkey * 40009 ELSE o_orderkey * 400009 END::BIGINT AS n FROM orders)""")
 def fmt_bytes(spark, d):
     k = F.col("o_orderkey")

@@ -109,8 +109,8 @@ def test_formats_of_files_and_sizes(spark):
     heads = [(b"\xef\xbb\xbf \n<?xml version", "xml"), (b"<!DOCTYPE html>", "html"), (b"\x00\x00\x00\x0d\x0a\tOSMHeader", "pbf"), (b"  \n", "unknown"), (b"", "unknown"), (b"<thing>", "unknown"), (None, "unknown")]
     got = spark.createDataFrame([(bytearray(h) if h is not None else None,) for h, _ in heads], "c binary").select(file_format(F.col("c")))
     assert [r[0] for r in got.collect()] == [w for _, w in heads]
-    sizes = spark.createDataFrame([(0.0,), (1023.0,), (1536.0,), (5.0 * 1048576,), (150.0 * 1048576,), (2.0**31,), (-1.0,), (float("nan"),)], "n double").select(geo.format_bytes(F.col("n")))
-    assert [r[0] for r in sizes.collect()] == ["0 B", "1023 B", "1.5 KB", "5.0 MB", "150 MB", "2.0 GB", "unknown size", "unknown size"]
+    sizes = spark.createDataFrame([(0.0,), (1023.0,), (1536.0,), (439552.0,), (5.0 * 1048576,), (150.0 * 1048576,), (2.0**31,), (-1.0,), (float("nan"),)], "n double").select(geo.format_bytes(F.col("n")))
+    assert [r[0] for r in sizes.collect()] == ["0 B", "1023 B", "1.5 KB", "429.3 KB", "5.0 MB", "150 MB", "2.0 GB", "unknown size", "unknown size"]
 
 
 def test_requests(spark):
