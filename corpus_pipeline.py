@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridian.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity
+from meridian.llm import exact_dedup, mixing, packing, shingle_dedup, toxicity
 from meridian.llm.common import stage, table
 
 
@@ -23,7 +23,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_dedup.keep_first(docs)
+    return shingle_dedup.keep_first(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,19 +32,25 @@ BLOCK = 512
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash over shingles of width words; a null or blank text has 0. Bounded memory for any length."""
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of a text's shingles of width words in order, in pieces of bounded size; none of a null or blank text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     n = max(1, len(words) - width + 1)
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, CHUNK):
-        h = np.array([hashed(joined[s:e], SEED) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], "<u8")
+        yield np.array([hashed(joined[s:e], SEED) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], "<u8")
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash over shingles of width words; a null or blank text has 0. Bounded memory for any length."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, width):
+        n += len(h)
         h = np.concatenate((h, np.zeros(-len(h) % 128, "<u8")))
         bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 128, 64)
         ones += bits.sum(1, dtype=np.uint8).sum(0, dtype=np.int64)  # at most 128 of a byte's 255
@@ -196,10 +202,11 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group stays: the smallest id's. Rows without an id have no group name and stay."""
+def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """One row of each group of found (doc_id, component_id), near_duplicates() if not given, stays: the smallest id's.
+    Rows without an id have no group name and stay."""
     names = docs.columns
-    dropped = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
+    dropped = (near_duplicates(docs) if found is None else found).filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
     rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
     left = rows.join(dropped, F.col("_id") == F.col("_drop"), "left_anti")
     return left.filter("_id IS NOT NULL").dropDuplicates(["_id"]).unionByName(left.filter("_id IS NULL")).select(*names)

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from meridian.llm import chat_format, common, embedding_dedup, exact_dedup, language_id, mixing, packing, pii, queries, simhash_dedup, toxicity, url_filter
+from meridian.llm import chat_format, common, embedding_dedup, exact_dedup, language_id, mixing, packing, pii, queries, shingle_dedup, simhash_dedup, toxicity, url_filter
 
 from ..conftest import SF
 
@@ -137,6 +137,35 @@ def test_simhash_odd_rows(spark):
     assert kept.columns == clashing(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 3, 6, 8]
 
 
+def test_near_dedup_stage_equals_brute_jaccard(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingle_dedup, "BLOCK", 500)
+    r = random.Random(4)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(3000)], k=r.choice([3, 20, 100, 400]))) for _ in range(60)]
+    for t in texts[:50]:
+        for changes in (1, 2, 3, 5, 8):
+            words = t.split()
+            for _ in range(changes):
+                words[r.randrange(len(words))] = "new"
+            texts.append(" ".join(words))
+    r.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    forest = simhash_dedup.Forest(len(texts))
+    forest.link(*np.nonzero([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]))
+    roots = forest.roots().tolist()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert {tuple(x) for x in shingle_dedup.near_duplicates(docs).collect()} == set(enumerate(roots))
+    assert sorted(x["doc_id"] for x in corpus_pipeline.simhash_dedup_stage(spark, docs, SF).collect()) == sorted(set(roots))
+    assert len({*roots}) < len(simhash_dedup.keep_first(docs).collect())
+
+
+def test_near_dedup_odd_rows(spark):
+    got = [(x["doc_id"] or 0, x["component_id"]) for x in shingle_dedup.near_duplicates(clashing(spark)).collect()]
+    assert sorted(got) == sorted([(1, 1), (2, 1), (2, 1), (0, 1), (3, 3), (4, 3), (5, 3), (0, 3), (6, 6), (7, 6), (8, 8)])
+    assert shingle_dedup.near_duplicates(none(spark)).count() == 0
+
+
 # --- 1 ---
 
 
