@@ -20,23 +20,23 @@ def token_and(posting: DataFrame, wanted: list[str]) -> DataFrame:
     return posting.filter(F.col("token").isin(wanted)).groupBy("id").agg(F.countDistinct("token").alias("hits")).filter(F.col("hits") == len(set(wanted))).select("id")
 
 
-#: Distinct query tokens of one search; a larger batch of queries is to be split by the caller.
-MAX_QUERY_TOKENS = 20_000
+#: Distinct query tokens and distinct vocabulary tokens that one task compares.
+QUERY_BLOCK, TOKEN_BLOCK = 2_000, 500
 
 
 def vocabulary_matches(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qtok, token) of the distinct query tokens and the vocabulary tokens they match; each distinct token is tested
-    once. The query tokens are the small, stated side: their number is checked before they are sent."""
-    wanted = [r[0] for r in queries.select("qtok").distinct().limit(MAX_QUERY_TOKENS + 1).collect()]
-    if len(wanted) > MAX_QUERY_TOKENS:
-        raise ValueError(f"more than {MAX_QUERY_TOKENS} query tokens: search in smaller batches")
-
-    def run(frames):
-        for f in frames:
-            pairs = [(q, t) for t in f["token"] for q in wanted if match(q, t)]
-            yield pd.DataFrame(pairs, columns=["qtok", "token"])
-
-    return vocabulary.select("token").distinct().mapInPandas(run, "qtok string, token string")
+    """(qtok, token) of the distinct query tokens and the vocabulary tokens they match; each distinct pair is tested
+    once. Both sides are dealt into blocks and each pair of blocks is a group, so neither has to fit a task."""
+    wanted, words = queries.select("qtok").distinct(), vocabulary.select("token").distinct()
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((wanted, QUERY_BLOCK), (words, TOKEN_BLOCK)))
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = words.select("token", F.pmod(F.hash("token"), F.lit(m)).alias("i"), each(n).alias("j"))
+    right = wanted.select("qtok", each(m).alias("i"), F.pmod(F.hash("qtok"), F.lit(n)).alias("j"))
+
+    def run(ts: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(q, t) for t in ts["token"] for q in qs["qtok"] if match(q, t)], columns=["qtok", "token"])
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "qtok string, token string")
 
 
 def search(gazetteer: DataFrame, queries: DataFrame, limit: int = 12, by: list[str] | None = None, near: tuple[float, float] | None = None) -> DataFrame:

@@ -307,15 +307,12 @@ def gazetteer(spark, d):
     return read(spark, d, "part").select(k.alias("id"), F.concat_ws(" ", F.col("p_name"), F.col("p_brand")).alias("name"), (F.col("p_size") % 100).cast("double").alias("rank"), lon(k).alias("lon"), lat(k).alias("lat"), (k % 5).alias("region"))
 
 
-def asked(spark, words):
-    return spark.createDataFrame([(w,) for w in words], "q string")
-
-
 def some_queries(spark, d):
-    """Words of the names themselves, a typo, a prefix and a miss."""
-    names = [r[0] for r in read(spark, d, "part").select("p_name").distinct().orderBy("p_name").limit(6).collect()]
-    typo = [n[0] + n[2] + n[1] + n[3:] for n in names[:2] if len(n) > 5]
-    return asked(spark, [*names, *typo, names[0][:3], "zzqqxx"])
+    """The name of every part whose key 20 divides, with a typo (two letters swapped) and a prefix of each, and a miss."""
+    n = F.col("p_name")
+    typo = F.when(F.length(n) > 5, F.concat(F.substring(n, 1, 1), F.substring(n, 3, 1), F.substring(n, 2, 1), n.substr(F.lit(4), F.length(n))))
+    words = read(spark, d, "part").filter("p_partkey % 20 = 0").select(F.explode(F.array(n, typo, F.substring(n, 1, 3))).alias("q"))
+    return words.unionByName(spark.range(1).select(F.lit("zzqqxx").alias("q"))).filter("q IS NOT NULL").distinct()
 
 
 @query()

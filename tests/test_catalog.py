@@ -28,3 +28,35 @@ def test_entry_registers_everything(spark):
 
     assert set(NAMES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_search_queries_equal_brute_force(spark):
+    import re
+
+    from meridian.functions import text
+
+    fold = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip()
+    parts = spark.read.parquet(f"{SF}/part.parquet").collect()
+    names = {r["p_name"] for r in parts if r["p_partkey"] % 20 == 0}
+    asked = {*names, *(n[:3] for n in names), *(n[0] + n[2] + n[1] + n[3:] for n in names if len(n) > 5), "zzqqxx"}
+    assert {r["q"] for r in catalog.some_queries(spark, SF).collect()} == asked
+    hits = {}
+    for q in asked:
+        for r in parts:
+            name = f"{r['p_name']} {r['p_brand']}"
+            if (s := text.score_name(fold(q), fold(name))) is not None:
+                hits.setdefault(q, []).append((-round(s + r["p_size"] % 100, 4), r["p_partkey"] % 5, name, r["p_partkey"]))
+    best = {(q, h[3]) for q, found in hits.items() for h in sorted(found)[:20]}
+    assert {(r["q"], r["id"]) for r in catalog.search_multi_region(spark, SF).collect()} == best
+    got = {(r["q"], r["id"]) for r in catalog.search_topk(spark, SF).collect()}
+    assert got <= {(q, h[3]) for q, found in hits.items() for h in found}
+    assert all(sum(q == g for g, _ in got) == min(12, len(found)) for q, found in hits.items())
+    assert {r["q"] for r in catalog.merge_hits(spark, SF).collect()} == set(hits)
+    near = lambda a, b: (d := text.edit_distance(a, b, most := text.tolerance(len(a)) + (len(a) >= 8))) <= most and d
+    want = {}
+    for q in asked:
+        wide = fold(q + " Brand#11")
+        found = [(d, -(r["p_size"] % 100), n) for r in parts if abs(len(wide) - len(fold(n := f"{r['p_name']} {r['p_brand']}"))) <= 3 and (d := near(wide, fold(n))) is not False]
+        if found:
+            want[q + " Brand#11"] = (min(found)[2], min(found)[0])
+    assert {r["q"]: (r["name"], r["edits"]) for r in catalog.suggest_name(spark, SF).collect()} == want

@@ -114,3 +114,12 @@ def test_polyline_round_trip():
 def test_runs_of_equal_tiles_cross_blocks(spark):
     df = spark.createDataFrame([(i, b"a") for i in range(4090, 8200)] + [(9000, b"a"), (9001, b"b")], "tile_id long, data binary")
     assert sorted((r[0], r[1]) for r in tiles.dedup_runs(df).collect()) == [(4090, 4110), (9000, 1), (9001, 1)]
+
+
+def test_query_tokens_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "TOKEN_BLOCK", 7)
+    words = [f"{a}{b}" for a in ("north", "south", "lake", "par") for b in ("", "ern", "side", "k")]
+    asked = [*words[::2], "nroth", "laek", "zz"]
+    got = search.vocabulary_matches(spark.createDataFrame([(w,) for w in words * 2], "token string"), spark.createDataFrame([(q,) for q in asked * 2], "qtok string")).collect()
+    assert sorted(map(tuple, got)) == sorted((q, t) for q in asked for t in words if text.match(q, t))
