@@ -1,6 +1,6 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-One array of words serves all languages: bit l of a word is language l's filter. Looking an n-gram up ANDs the
+One array serves all languages: each position has a word for every 64 languages, in which a bit is a language's filter. Looking an n-gram up ANDs the
 words at its positions, which gives the languages that contain it, all at once. A language's popcount over a text,
 corrected for its filter's false positives, is its score.
 """
@@ -19,8 +19,8 @@ from .toxicity import is_held_out
 
 #: Characters of an n-gram; a code point has 21 bits, so three fit a long.
 N = 3
-#: Labelled documents learned from for each language, most languages (bits of a word), and most n-grams of a language.
-PER_LANGUAGE, MAX_LANGUAGES, MAX_GRAMS = 1500, 63, 65536
+#: Labelled documents learned from for each language, languages of a word (its bits), and most n-grams of a language.
+PER_LANGUAGE, WORD, MAX_GRAMS = 1500, 64, 65536
 #: An n-gram is in a language's filter when it is at least this frequent there, and at least this share of where it is most frequent.
 LEAST, SHARE = 2e-5, 0.25
 #: Positions of an n-gram and bits of a filter for each n-gram that it may hold.
@@ -60,16 +60,22 @@ def positions(packed: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 
 class Filters:
-    """languages, the words of the bit-sliced filters, and each language's rate of false positives."""
+    """languages, the words of the bit-sliced filters (a column for every WORD languages; one column may be flat), and each
+    language's rate of false positives."""
 
     def __init__(self, languages: list[str], words: np.ndarray):
         self.languages, self.words = languages, words
-        fill = np.array([(words >> np.uint64(k) & np.uint64(1)).mean() for k in range(len(languages))])
+        fill = np.array([self.bit(words, k).mean() for k in range(len(languages))])
         self.wrong = fill**HASHES
 
+    @staticmethod
+    def bit(words: np.ndarray, k: int) -> np.ndarray:
+        """Language k's bit of each row of words."""
+        return (words if words.ndim == 1 else words[:, k // WORD]) >> np.uint64(k % WORD) & np.uint64(1)
+
     def contains(self, packed: np.ndarray) -> np.ndarray:
-        """A bitmask of languages for each n-gram."""
-        mask = np.full(len(packed), ~np.uint64(0))
+        """A bitmask of languages for each n-gram, as wide as words."""
+        mask = np.full((len(packed), *self.words.shape[1:]), ~np.uint64(0))
         for at in positions(packed, len(self.words)):
             mask &= self.words[at]
         return mask
@@ -78,7 +84,7 @@ class Filters:
         hits, n, letter = np.zeros(len(self.languages)), 0, False
         for packed in grams(text or ""):
             mask, n = self.contains(packed), n + len(packed)
-            hits += [int((mask >> np.uint64(k) & np.uint64(1)).sum()) for k in range(len(self.languages))]
+            hits += [int(self.bit(mask, k).sum()) for k in range(len(self.languages))]
         letter = n > 0 or any(c.isalpha() for c in text or "")
         if not letter or not self.languages:
             return "und", 0.0
@@ -94,15 +100,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Fi
     """
     spark = docs.sparkSession
     own = docs.filter(~is_held_out("doc_id", 4, 2) & F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull() & F.col(text_col).isNotNull())
-    sizes = own.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = own.groupBy(F.col(lang_col).alias("lang")).count().collect()
     languages, counts = sorted(r["lang"] for r in sizes), {r["lang"]: r["count"] for r in sizes}
     if not languages:
         return Filters([], np.zeros(64, np.uint64))
     # a hash threshold that PER_LANGUAGE documents of each language pass on average: no sort, no counting beyond it
-    within = F.lit(False)
-    for lang in languages:
-        within |= (F.col(lang_col) == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, PER_LANGUAGE / counts[lang]) * (1 << 30))))
     place = F.array_position(F.array(*map(F.lit, languages)), F.col(lang_col)).cast("int") - 1
+    most = F.array(*(F.lit(int(min(1.0, PER_LANGUAGE / counts[lang]) * (1 << 30))) for lang in languages))
+    within = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.get(most, place)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,10 +128,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Fi
         parts.append(rows.select("gram").toArrow().column(0).to_numpy())
     wide.unpersist()
     size = 1 << max(6, int(np.ceil(np.log2(BITS_EACH * max(map(len, parts)) + 1))))
-    words = np.zeros(size, np.uint64)
+    words = np.zeros((size, -(-len(languages) // WORD)), np.uint64)
     for k, packed in enumerate(parts):
         for at in positions(packed, size):
-            np.bitwise_or.at(words, at, np.uint64(1 << k))
+            np.bitwise_or.at(words[:, k // WORD], at, np.uint64(1 << k % WORD))
     return Filters(languages, words)
 
 

@@ -322,6 +322,15 @@ def test_filters_have_no_false_negatives():
     assert (language_id.Filters(["a", "b"], words).contains(packed) & np.uint64(2)).all()
 
 
+def test_every_language_is_learned(spark):
+    r, names = random.Random(5), [f"l{k:02}" for k in range(70)]
+    word = {n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=30)) for n in names}
+    rows = [(100 * k + i, word[n] + " " + word[n], n, "s", 9) for k, n in enumerate(names) for i in range(8)]
+    filters = language_id.train(spark.createDataFrame(rows, DOCS))
+    assert filters.languages == names and filters.words.shape[1] == 2
+    assert [filters.decide(word[n])[0] for n in names] == names
+
+
 # --- 9 ---
 
 
