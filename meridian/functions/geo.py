@@ -35,6 +35,12 @@ def angle_delta(start: Column, end: Column) -> Column:
     return F.when(d > 180, d - 360).otherwise(d)
 
 
+def signed_turn(start: Column, end: Column) -> Column:
+    """The turn between two bearings in [-180, 180]: both ends stay, so about-turns keep their side."""
+    d = end - start
+    return F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
+
+
 def turn_kind(delta: Column) -> Column:
     """Null below 18 degrees, then slight, plain, sharp and u-turn from 18, 45, 115 and 150."""
     d, side = F.abs(delta), F.when(delta > 0, "right").otherwise("left")
@@ -56,7 +62,9 @@ def project(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Colu
 
 
 def distance_bias(metres: Column) -> Column:
-    return F.least(F.lit(120.0), metres / 500) + F.least(F.lit(350.0), F.greatest(F.lit(0.0), metres - 200000) / 3000)
+    """Points that a hit loses by its distance; null for null, which least() and greatest() would skip."""
+    bias = F.least(F.lit(120.0), metres / 500) + F.least(F.lit(350.0), F.greatest(F.lit(0.0), metres - 200000) / 3000)
+    return F.when(metres.isNotNull(), bias)
 
 
 def in_box(lon: Column, lat: Column, west: float, south: float, east: float, north: float, margin: float = 0.005) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -10,20 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import haversine
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Parquet in the folder that the cluster shares (spark.checkpoint.dir), read back: iterations restart from it."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        folder = "file://" + tempfile.mkdtemp(prefix="meridian-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import delete, shared_dir, stage, unstage
+from .graph import linked
 
 
 def runs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -59,14 +46,14 @@ def connected_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def merge(edges: DataFrame) -> DataFrame:
     """edges (region, ord, src, dst, cost, flags) of several extracts as one graph.
 
-    The first region to have a directed pair keeps all its records of it; the flags of every region are OR-ed into its
-    first record; self-loops go.
+    The first region to have a directed pair keeps all its records of it; the flags that other regions give the pair are
+    OR-ed into the first of them, its own parallels' are not; self-loops go.
     """
     pair = Window.partitionBy("src", "dst")
-    ranked = edges.filter("src <> dst").withColumns({
-        "first": F.min("region").over(pair), "all": F.expr("bit_or(flags)").over(pair), "rank": F.row_number().over(pair.orderBy("region", "ord")),
-    })
-    return ranked.filter("region = first").select("src", "dst", "cost", F.when(F.col("rank") == 1, F.col("all")).otherwise(F.col("flags")).alias("flags"), "region", "ord")
+    own = edges.filter("src <> dst").withColumns({"first": F.min("region").over(pair), "rank": F.row_number().over(pair.orderBy("region", "ord"))})
+    own = own.withColumn("others", F.coalesce(F.expr("bit_or(CASE WHEN region <> first THEN flags END)").over(pair), F.lit(0)))
+    flags = F.when(F.col("rank") == 1, F.col("flags").bitwiseOR(F.col("others"))).otherwise(F.col("flags"))
+    return own.filter("region = first").select("src", "dst", "cost", flags.alias("flags"), "region", "ord")
 
 
 def shared_edges(edges: DataFrame) -> DataFrame:
@@ -76,37 +63,37 @@ def shared_edges(edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links reach whatever their direction; lone nodes count.
-
-    Rounds of min-label propagation and pointer jumping, each stored; the number of changed labels ends them.
-    """
-    links = stored(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct(), "links")
-    labels = stored(nodes.select("node", F.col("node").alias("component")).distinct(), "labels")
-    while True:
-        near = links.join(labels, links["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("near"))
-        low = labels.join(near, labels["node"] == near["src"], "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("beyond"))
-        new = stored(low.join(jump, "low", "left").select("node", "was", F.least("low", F.coalesce("beyond", "low")).alias("component")), "labels")
-        if new.filter("component <> was").isEmpty():
-            return new.select("node", "component")
-        labels = new.select("node", "component")
+    """(node, component): the smallest node that links reach whatever their direction; lone nodes count."""
+    alone = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    return linked(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(alone)).withColumnRenamed("root", "component")
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame, hops: int = 6) -> DataFrame:
+def shortest_costs(edges: DataFrame, sources: DataFrame, hops: int = 12) -> DataFrame:
     """(source, node, cost) for every node that a source reaches: frontier relaxation for all sources at once.
 
-    A round relaxes hops times before it is stored; labels that its last step set are the next round's frontier, as
-    the others have been relaxed in it. Costs are float32 by edge, summed as doubles.
+    Edges are stored once, bucketed by their start, and every frontier is dealt by node, so a relaxation moves the
+    frontier alone. A round relaxes hops times before its labels are stored and those before deleted; labels that its
+    last relaxation set are the next frontier, as the others have been relaxed in it. Costs are float32 by edge, summed
+    as doubles.
     """
-    edges = stored(edges.groupBy(F.col("src").alias("node"), "dst").agg(F.min("cost").cast("double").alias("w")), "edges")
-    best = stored(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), F.lit(True).alias("new")), "best")
+    spark, name = edges.sparkSession, "edges_" + uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    least = edges.groupBy(F.col("src").alias("node"), "dst").agg(F.min("cost").cast("double").alias("w"))
+    least.write.bucketBy(buckets, "node").sortBy("node").option("path", path).saveAsTable(name)
+    dealt = spark.table(name)
+    best = stage(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), F.lit(True).alias("new")).distinct(), "best")
     while True:
-        front, every = best.filter("new").select("source", "node", "cost"), best.withColumn("new", F.lit(False))
+        front, every = best.filter("new").select("source", "node", "cost"), best.withColumn("new", F.lit(False)).repartition(buckets, "node")
         for hop in range(1, hops + 1):
-            front = front.join(edges, "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("cost"))
+            reached = front.join(dealt, "node").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
+            front = reached.repartition(buckets, "node").groupBy("source", "node").agg(F.min("cost").alias("cost"))
             every = every.unionByName(front.withColumn("new", F.lit(hop == hops)))
-        best = stored(every.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min_by("new", F.struct("cost", "new")).alias("new")), "best")
+        last, best = best, stage(every.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min_by("new", F.struct("cost", "new")).alias("new")), "best")
+        unstage(last)
         if best.filter("new").isEmpty():
+            spark.sql(f"DROP TABLE {name}")
+            delete(spark, path)
             return best.drop("new")
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import angle_delta, announce_band, bearing, turn_kind
+from ..functions.geo import announce_band, bearing, signed_turn, turn_kind
 
 
 def threshold(speed: Column) -> Column:
-    return 25 + F.least(F.lit(65.0), 2 * speed)
+    """Metres off the route that a fix may lie, by its speed in m/s; null for null."""
+    return F.when(speed.isNotNull(), 25 + F.least(F.lit(65.0), 2 * speed))
 
 
 def off_route(fixes: DataFrame, limit: Column, hold_ms: int) -> DataFrame:
@@ -41,14 +42,16 @@ def turns(line: DataFrame, stride: int = 8) -> DataFrame:
     at = at.filter((F.col("pos") % stride == 0) & (F.col("pos") >= stride) & (F.col("pos") < F.col("n") - stride) & (F.col("n") > 2 * stride))
     into = bearing(F.col("back.lon"), F.col("back.lat"), F.col("lon"), F.col("lat"))
     out = bearing(F.col("lon"), F.col("lat"), F.col("ahead.lon"), F.col("ahead.lat"))
-    return at.withColumn("delta", angle_delta(into, out)).withColumn("kind", turn_kind(F.col("delta"))).filter("kind IS NOT NULL").select("route", "pos", "delta", "kind")
+    return at.withColumn("delta", signed_turn(into, out)).withColumn("kind", turn_kind(F.col("delta"))).filter("kind IS NOT NULL").select("route", "pos", "delta", "kind")
 
 
 def bins(line: DataFrame, stride: int = 8) -> DataFrame:
-    """Chunks of stride vertices that share their ends: (route, bin, first_pos, last_pos)."""
-    last = line.groupBy("route").agg(F.max("pos").alias("last"))
+    """Chunks of stride vertices that share their ends: (route, bin, first_pos, last_pos). What is left at the end is a
+    chunk of the last stride vertices, so it reaches back into the one before."""
+    last = line.groupBy("route").agg(F.max("pos").cast("long").alias("last"))
     cut = last.filter("last > 0").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - 1) / stride))))
-    return cut.select("route", "bin", (F.col("bin") * stride).alias("first_pos"), F.least(F.col("last").cast("long"), (F.col("bin") + 1) * stride).alias("last_pos"))
+    start = F.when((F.col("bin") + 1) * stride > F.col("last"), F.greatest(F.lit(0).cast("long"), F.col("last") - stride)).otherwise(F.col("bin") * stride)
+    return cut.select("route", "bin", start.alias("first_pos"), F.least(F.col("last"), (F.col("bin") + 1) * stride).alias("last_pos"))
 
 
 def announcements(rows: DataFrame, units: str = "metric") -> DataFrame:

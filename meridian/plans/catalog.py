@@ -227,7 +227,10 @@ def extracts(spark, d):
 EXTRACTS = "x AS (SELECT (l_orderkey % 2)::INT AS region, l_orderkey * 100000 + l_linenumber * 1000 + l_partkey % 1000 AS ord, l_suppkey % 40 AS src, l_partkey % 40 AS dst, (l_linenumber % 3 + 1)::INT AS flags FROM lineitem)"
 
 
-@query(f"WITH {EXTRACTS}, m AS (SELECT *, min(region) OVER p AS fr, bit_or(flags) OVER p AS af, row_number() OVER (PARTITION BY src, dst ORDER BY region, ord) AS rn FROM x WHERE src <> dst WINDOW p AS (PARTITION BY src, dst)) SELECT src, dst, count(*) AS records, max(CASE WHEN rn = 1 THEN af END) AS first_flags, sum(CASE WHEN rn > 1 THEN flags ELSE 0 END)::BIGINT AS other_flags FROM m WHERE region = fr GROUP BY src, dst")
+@query(f"""WITH {EXTRACTS}, f AS (SELECT src, dst, min(region) AS fr FROM x WHERE src <> dst GROUP BY src, dst),
+o AS (SELECT src, dst, bit_or(flags) AS others FROM x JOIN f USING (src, dst) WHERE region <> fr GROUP BY src, dst),
+m AS (SELECT x.*, others, row_number() OVER (PARTITION BY src, dst ORDER BY ord) AS rn FROM x JOIN f USING (src, dst) LEFT JOIN o USING (src, dst) WHERE region = fr)
+SELECT src, dst, count(*) AS records, max(CASE WHEN rn = 1 THEN flags | coalesce(others, 0) END) AS first_flags, sum(CASE WHEN rn > 1 THEN flags ELSE 0 END)::BIGINT AS other_flags FROM m GROUP BY src, dst""")
 def graph_merge(spark, d):
     first = Window.partitionBy("src", "dst").orderBy("region", "ord")
     m = roads.merge(extracts(spark, d)).withColumn("rn", F.row_number().over(first))
@@ -252,18 +255,18 @@ def components(spark, d):
 
 
 def grid_edges(spark, d):
-    """Four-neighbour roads of the first 400 grid points (20 x 20), slower on every third row."""
+    """Four-neighbour roads of all grid points (rows of 100), slower on every third row."""
     k = F.col("c_custkey")
-    p = read(spark, d, "customer").filter("c_custkey < 400").select(k.alias("k"), (k % 20).alias("x"), F.floor(k / 20).alias("y"))
-    right = p.filter("x < 19").select(F.col("k").alias("src"), (F.col("k") + 1).alias("dst"), F.when(F.col("y") % 3 == 0, 3.5).otherwise(1.25).alias("w"))
-    up = p.select(F.col("k").alias("src"), (F.col("k") + 20).alias("dst"), F.lit(2.0).alias("w"))
+    p = read(spark, d, "customer").select(k.alias("k"), (k % 100).alias("x"), F.floor(k / 100).alias("y"))
+    right = p.filter("x < 99").select(F.col("k").alias("src"), (F.col("k") + 1).alias("dst"), F.when(F.col("y") % 3 == 0, 3.5).otherwise(1.25).alias("w"))
+    up = p.select(F.col("k").alias("src"), (F.col("k") + 100).alias("dst"), F.lit(2.0).alias("w"))
     top = p.agg(F.max("k").alias("top"))
     one = right.unionByName(up).crossJoin(F.broadcast(top)).filter("dst <= top").drop("top")
     return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).select("src", "dst", F.col("w").cast("float").alias("cost"))
 
 
-COSTS = """WITH RECURSIVE p AS (SELECT c_custkey AS k, c_custkey % 20 AS x, c_custkey // 20 AS y FROM customer WHERE c_custkey < 400),
-o AS (SELECT k AS a, k + 1 AS b, CASE WHEN y % 3 = 0 THEN 3.5::DOUBLE ELSE 1.25 END AS w FROM p WHERE x < 19 UNION ALL SELECT k, k + 20, 2.0::DOUBLE FROM p),
+COSTS = """WITH RECURSIVE p AS (SELECT c_custkey AS k, c_custkey % 100 AS x, c_custkey // 100 AS y FROM customer),
+o AS (SELECT k AS a, k + 1 AS b, CASE WHEN y % 3 = 0 THEN 3.5::DOUBLE ELSE 1.25 END AS w FROM p WHERE x < 99 UNION ALL SELECT k, k + 100, 2.0::DOUBLE FROM p),
 e AS (SELECT a, b, w FROM o WHERE b <= (SELECT max(k) FROM p) UNION ALL SELECT b, a, w FROM o WHERE b <= (SELECT max(k) FROM p)),
 r(source, node, cost) USING KEY (source, node) AS (SELECT k, k, 0.0::DOUBLE FROM p WHERE k IN (0, 7)
  UNION SELECT r.source, e.b, min(r.cost + e.w) FROM r JOIN e ON e.a = r.node LEFT JOIN recurring.r AS old ON old.source = r.source AND old.node = e.b WHERE old.cost IS NULL OR r.cost + e.w < old.cost GROUP BY r.source, e.b)"""
@@ -455,13 +458,13 @@ def brg(a: str, b: str, c: str, e: str) -> str:
 
 @query(f"""WITH {LINES}, w AS (SELECT *, lag(lon, 8) OVER o AS blon, lag(lat, 8) OVER o AS blat, lead(lon, 8) OVER o AS alon, lead(lat, 8) OVER o AS alat, count(*) OVER (PARTITION BY route) AS n FROM l WINDOW o AS (PARTITION BY route ORDER BY pos)),
 t AS (SELECT route, pos, {brg('lon', 'lat', 'alon', 'alat')} - {brg('blon', 'blat', 'lon', 'lat')} AS raw FROM w WHERE pos % 8 = 0 AND pos >= 8 AND pos < n - 8 AND n > 16),
-u AS (SELECT route, pos, CASE WHEN raw <= -180 THEN raw + 360 WHEN raw > 180 THEN raw - 360 ELSE raw END AS delta FROM t)
+u AS (SELECT route, pos, CASE WHEN raw < -180 THEN raw + 360 WHEN raw > 180 THEN raw - 360 ELSE raw END AS delta FROM t)
 SELECT route, pos::INT AS pos, round(delta, 4) AS delta, CASE WHEN abs(delta) >= 150 THEN 'uturn-' WHEN abs(delta) >= 115 THEN 'sharp-' WHEN abs(delta) >= 45 THEN '' ELSE 'slight-' END || CASE WHEN delta > 0 THEN 'right' ELSE 'left' END AS kind FROM u WHERE abs(delta) >= 18""")
 def turn_inference(spark, d):
     return trips.turns(lines(spark, d)).select("route", "pos", F.round("delta", 4).alias("delta"), "kind")
 
 
-@query(f"WITH {LINES}, m AS (SELECT route, max(pos) AS last FROM l GROUP BY route) SELECT route, b AS bin, b * 8 AS first_pos, least(last, b * 8 + 8) AS last_pos FROM (SELECT route, last, unnest(generate_series(0, (last - 1) // 8)) AS b FROM m WHERE last > 0)")
+@query(f"WITH {LINES}, m AS (SELECT route, max(pos) AS last FROM l GROUP BY route) SELECT route, b AS bin, CASE WHEN b * 8 + 8 > last THEN greatest(0, last - 8) ELSE b * 8 END AS first_pos, least(last, b * 8 + 8) AS last_pos FROM (SELECT route, last, unnest(generate_series(0, (last - 1) // 8)) AS b FROM m WHERE last > 0)")
 def traffic_bins(spark, d):
     return trips.bins(lines(spark, d))
 
