@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,7 +33,8 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def unstage(*frames: DataFrame) -> None:
-    """Delete the files behind staged frames that nothing will read again."""
+    """Delete the staged files that frames read and that nothing will read again."""
     for df in frames:
-        for name in df.inputFiles()[:1]:
-            delete(df.sparkSession, name.rsplit("/", 1)[0])
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if re.search("-[0-9a-f]{32}$", folder):
+                delete(df.sparkSession, folder)
