@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than one row in this many; at most this many keys can be hot.
-HOT_SHARE = 1000
+from ..operators.graph import attach, linked as components
+from ..storage import delete, shared_dir, stage, unstage
+
+__all__ = ["WS", "attach", "components", "delete", "first_row", "free_name", "one_of_each", "topped", "row_key", "shared_dir", "sheltered", "stage", "table", "unstage"]
 
 #: ASCII white space, as Java's and Python's regular expressions write it.
 WS = r"[\x20\x09-\x0D]+"
@@ -19,89 +18,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may lack it."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="meridian-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete the files behind a staged frame that nothing will read again."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def attach(rows: DataFrame, found: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Inner join of rows with found (one row for each key) that no key can skew.
-
-    weight is found's count of rows by key, total their sum. Keys with more than total / HOT_SHARE rows number
-    fewer than HOT_SHARE, so they are broadcast; what is left has no group larger than that share.
-    """
-    spark, most = rows.sparkSession, max(50, total // HOT_SHARE)
-    hot = found.filter(F.col(weight) > most).collect()
-    if not hot:
-        return rows.join(found, key)
-    few = spark.createDataFrame(hot, found.schema)
-    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(found.filter(F.col(weight) <= most), key)
-    return rows.join(F.broadcast(few), key).unionByName(rest)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node that links reach.
-
-    Alternating large-star and small-star steps; each ends in the shared folder. A self-loop only adds its node.
-    """
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node"))
-    links = stage(_ordered(edges.filter("a <> b"), "a", "b"), "links")
-    last = None
-    while True:
-        now = links.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h"), F.max("d")).first()
-        if last == (now[0], now[1]) and (now[2] or 0) == 0:
-            break
-        last = (now[0], now[1])
-        grown = stage(_star(links, large=True), "links")
-        unstage(links)
-        links = stage(_star(grown, large=False), "links")
-        unstage(grown)
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        nodes.distinct().join(links.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.col("node").alias("root"))
-    )
-
-
-def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Each link once, its larger end first; d tells whether the smaller end has a link downwards (unknown: 1)."""
-    return df.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().withColumn("d", F.lit(1))
-
-
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    if large:
-        seen = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        seen = links.select("u", "v")
-    least = stage(seen.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "least")
-    total = (2 if large else 1) * links.count()
-    joined = attach(seen, least, "u", "n", total)
-    if large:
-        made = joined.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        made = joined.select(F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").filter("a <> b")
-    return _ordered(made, "a", "b").withColumn("d", F.lit(0))
-
-
-def clean_id(name: str) -> Column:
-    """A column cast to long, as ids are compared."""
-    return F.col(name).cast("long")
+def free_name(df: DataFrame, wish: str) -> str:
+    """wish, or wish with underscores before it that no column of df has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
+def sheltered(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of these names renamed to free ones, and {new name: old name} to undo it."""
+    back = {}
+    for c in [c for c in df.columns if c.lower() in names]:
+        new = free_name(df, "own_" + c)
+        df, back[new] = df.withColumnRenamed(c, new), c
+    return df, back
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """128 bits that tell rows of different ids or texts apart, hexadecimal; a null text is an empty one."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("~")), F.lit("|"), F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def one_of_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose row_key() is in keys (key), one of each key; columns as in docs."""
+    own = free_name(docs, "key")
+    rows = docs.withColumn(own, row_key())
+    return rows.join(keys.select(F.col("key").alias(own)), own, "left_semi").dropDuplicates([own]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def first_row() -> Column:
+    """Aggregate: the struct (none, id, key) of the row with the smallest id, null ids last, then the smallest key."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+
+
+def topped(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Staged classes (cid, first, ...) with top, the least first among the classes that edges (a, b) of cids reach. Staged
+    files that edges are read from are deleted."""
+    found = components(edges)
+    inside = stage(classes.join(found.withColumnRenamed("node", "cid"), "cid"), "inside")
+    tops = stage(inside.groupBy("root").agg(F.min("first").alias("top"), F.count("*").alias("m")), "tops")
+    linked = attach(inside, tops, "root", "m", inside.count()).select(*classes.columns, "top")
+    alone = classes.join(inside.select("cid"), "cid", "left_anti").withColumn("top", F.col("first"))
+    out = stage(linked.unionByName(alone), "named")
+    unstage(found, inside, tops)
+    return out

@@ -9,13 +9,14 @@ then join on their own, each cut into blocks of bounded size. Equal vectors are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, components, stage, table
+from .common import attach, stage, table, topped, unstage
 from .simhash_dedup import Forest
 
 #: Classes wanted in a cell, and the most pivots. Pivots come from a sample of at most PIVOT_SAMPLE vectors.
@@ -69,33 +70,30 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     vectors of different lengths. Repeated rows and equal vectors link with each other. A null id is counted in
     others' n_links but its own component_id is its class's. Empty input gives no rows; other columns are not read.
     """
-    vec = F.col(vec_col).cast("array<double>")
+    spark, vec = vectors.sparkSession, F.col(vec_col).cast("array<double>")
     ok = F.col(vec_col).isNotNull() & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(vec, lambda v: v != 0)
     norm = F.aggregate(vec, F.lit(0.0), lambda s, v: s + v * v)  # must neither overflow nor vanish
     ok = F.coalesce(ok & (norm < F.lit(float("inf"))) & (norm > 1e-300), F.lit(False))
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(ok, F.transform(vec, lambda v: v + 0.0)).alias("vec"))
     base = stage(base.withColumn("key", F.unhex(F.sha2(F.to_json("vec"), 256))), "vectors")
-    classes = base.filter("vec IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    none = F.lit(2**62) + F.pmod(F.xxhash64("key"), F.lit(2**62))  # a class without an id: above every id
-    classes = stage(classes.select("key", F.coalesce("first", none).alias("cid"), "n", "vec", F.size("vec").alias("dim")), "classes")
-    forests, counts = [], []
+    classes = base.filter("vec IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"), F.count("*").alias("n"), F.first("vec").alias("vec"))
+    classes = stage(classes.select("key", F.monotonically_increasing_id().alias("cid"), "first", "n", "vec", F.size("vec").alias("dim")), "classes")
+    none = spark.createDataFrame([], "a long, b long, links long")
+    parts = []
     for dim, total in sorted(map(tuple, classes.groupBy("dim").count().collect())):
-        found = stage(_join(classes.filter(F.col("dim") == dim).select("cid", "n", "vec"), total, least), "found")
-        forests.append(found.filter("b IS NOT NULL").select("a", "b"))
-        counts.append(found.filter("b IS NULL").select("a", "links"))
+        made = _join(classes.filter(F.col("dim") == dim).select("cid", "n", "vec"), total, least)
+        parts.append(stage(made, "found"))
+        unstage(made)
+    found = reduce(DataFrame.unionByName, parts, none)
+    extra = stage(found.filter("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links")), "extra")
+    named = topped(classes.select("key", "cid", "first", "n"), found.filter("b IS NOT NULL").select("a", "b"))
+    answer = named.join(extra, "cid", "left").select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("top.id").alias("component_id"))
+    known = stage(answer, "known")
+    unstage(named, classes, extra)
+    rows = attach(base.filter("vec IS NOT NULL").select("id", "key"), known, "key", "n", base.count()).select("id", "n_links", "component_id")
     alone = base.filter("vec IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    if not forests:
-        joined = alone
-    else:
-        both = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(both(parts[1:]))
-        found = components(both(forests)).filter("node <> root").withColumnRenamed("node", "cid")
-        extra = both(counts).groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-        named = classes.join(found, "cid", "left").join(extra, "cid", "left")
-        named = stage(named.select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "cid").alias("component_id")), "named")
-        rows = base.filter("vec IS NOT NULL").select("id", "key")
-        joined = attach(rows, named, "key", "n", base.count()).select("id", "n_links", "component_id").unionByName(alone)
-    name = F.when(F.col("component_id") < 2**62, F.col("component_id"))
-    return joined.select(F.col("id").alias(id_col), "n_links", name.alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
+    return rows.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept"))
 
 
 def _join(classes: DataFrame, total: int, least: float) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS, stage, table
+from .common import WS, sheltered, stage, table, unstage
 
 LEVELS = ("domain", "lang", "source")
 #: Hex digits of the order hash that name a part; only a leaf's boundary part is sorted.
@@ -164,5 +164,12 @@ SELECT doc_id, domain, lang, source, epoch, tokens FROM (
 
 def keep_mixed(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: the whole corpus's tokens as budget, so that a source short of its weight passes the rest on
-    and no more than two epochs of any are taken; columns as in docs."""
-    return mix(docs, domain(), F.sum("tokens"), weights(), EPOCHS).select(*docs.columns)
+    and no more than two epochs of any are taken; columns as in docs, whatever their names.
+
+    Null lang or source is a name of its own, a null text has no tokens; repeated rows count each; no rows give none.
+    """
+    names = docs.columns
+    rows, back = sheltered(docs, ["domain", "tokens", "epoch", "row"])
+    out = mix(rows, domain(), F.sum("tokens"), weights(), EPOCHS)
+    renamed = {old: new for new, old in back.items()}
+    return out.select(*(F.col(renamed.get(c, c)).alias(c) for c in names))

@@ -8,6 +8,7 @@ Spark tokenises, counts, ranks the pieces of a length and looks each rank up in
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -30,6 +31,14 @@ CACHE = 400_000
 
 #: Pieces of lower-cased text that the tokenizer splits at, in the characters for which Python and it agree.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+(?:_+[^\s\w]*)*|_[^\s\w]*(?:_+[^\s\w]*)*")
+#: The normaliser and the cuts for which PIECE and PLAIN hold; a file with others is left to its own tokenizer.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
 #: Letters with one lower case and no decomposition to compose: other texts go to the tokenizer whole.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ňŊ-ž‐-‧‰-⁞€]*")
 
@@ -43,8 +52,8 @@ def default_tokenizer() -> str:
 class WordTokenizer:
     """ids of a text as little-endian 32-bit integers; a word between white space is tokenised once while remembered.
 
-    Texts of PLAIN characters are cut as the tokenizer cuts them and its model tokenises the pieces; other texts, and
-    those that may hold a special token, go to the tokenizer whole. Both give the tokenizer's own ids.
+    If the file cuts texts as KNOWN says, texts of PLAIN characters are cut so here and its model tokenises the pieces; all
+    others, and those that may hold an added token, go to the tokenizer whole. Both give the tokenizer's own ids.
     """
 
     def __init__(self, path: str):
@@ -52,6 +61,9 @@ class WordTokenizer:
 
         self.whole, self.known = Tokenizer.from_file(path), {}
         self.model = self.whole.model
+        own = json.loads(self.whole.to_str())
+        added = [t["content"] for t in own["added_tokens"]]
+        self.plain = all(own[k] == v for k, v in KNOWN.items()) and all("<|" in t for t in added)
         own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes written as themselves, as byte-level BPE does
         rest = [b for b in range(256) if b not in own]
         self.bytes = {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
@@ -68,7 +80,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         known = self.known
-        if "<|" in text or not PLAIN.fullmatch(text):
+        if not self.plain or "<|" in text or not PLAIN.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.lower().split()
         if len(known) > CACHE:

@@ -1,8 +1,8 @@
 """PII by a semi-Markov conditional random field over base patterns.
 
-The base patterns give spans that always stay. Around digits and at signs, the field then scores candidate segments
-by features of the whole span and a dynamic program over segments of bounded length chooses boundaries and types
-jointly; its spans that do not overlap a base span are added. It finds what a pattern misses: a number whose
+The base patterns give spans that always stay. Around digits, at signs and the words that stand for signs of an address,
+the field then scores candidate segments by features of the whole span and a dynamic program over segments of bounded
+length chooses boundaries and types jointly; its spans that do not overlap a base span are added. It finds what a pattern misses: a number whose
 neighbours were swallowed with it, addresses and numbers written in other ways, and secrets.
 """
 
@@ -30,7 +30,8 @@ LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+# the rest of a token from its first digit on; every candidate holds a digit, @, the word dot or (at)
+TRIGGER = re.compile(r"(?i:\d[^\W_]*+|@|\bdot\b|\(\s?at\s?\))")
 
 
 def luhn(digits: str) -> bool:
@@ -68,27 +69,47 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the field ---
 
 TOKEN = re.compile(r"[^\W_]+|[^\s]")
-#: Tokens of a segment at most; characters that a zone reaches beyond its triggers; tokens that are decoded together.
-LONGEST, REACH, ZONE = 12, 48, 4096
+#: Tokens of a segment at most.
+LONGEST = 12
+AFTER = re.compile(rf"(?:\s*+(?:[^\W_]++|\S)){{0,{LONGEST}}}")
+
+
+def _before(text: str, at: int, least: int) -> int:
+    """Where the LONGEST-th token before a place starts, or least if that comes first."""
+    width = 16 * LONGEST
+    while True:
+        lo = max(least, at - width)
+        starts = [m.start() for m in TOKEN.finditer(text, lo, at)]
+        if lo == least:
+            return starts[-LONGEST - 1] if len(starts) > LONGEST + 1 else least
+        if len(starts) > LONGEST + 1:  # the first one may be the end of a longer token
+            return starts[-LONGEST - 1]
+        width *= 4
 
 
 def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and at signs, cut between words; all else is outside every candidate."""
-    start = end = None
+    """Stretches that hold every candidate and the token before it: LONGEST tokens around each trigger."""
+    start, last, end = None, 0, 0
     for m in TRIGGER.finditer(text):
-        if end is not None and m.start() - REACH > end:
-            yield start, end
-            start = None
-        if start is None:
-            start = max(end or 0, m.start() - REACH)
-        end = min(len(text), m.end() + REACH)
+        if start is not None and m.start() > end:
+            end = AFTER.match(text, last).end()
+        if start is None or m.start() > end:
+            low = _before(text, m.start(), end)
+            if start is not None and low > end:
+                yield start, end
+                start = None
+            start = low if start is None else start
+        last = m.end()
+        end = max(end, last)
     if start is not None:
-        yield start, end
+        yield start, AFTER.match(text, last).end()
 
 
-def segments(tokens: list[tuple[int, int, str]], closed: list[bool]) -> Iterator[tuple[int, int]]:
-    """Candidates: at most LONGEST tokens, at most a space apart, with a digit, an at sign or at and dot, not over a closed token."""
-    for i, (_, _, first) in enumerate(tokens):
+def segments(tokens: list[tuple[int, int, str]], closed: list[bool], only: int | None = None) -> Iterator[tuple[int, int]]:
+    """Candidates: at most LONGEST tokens, at most a space apart, with a digit, an at sign or at and dot, not over a closed
+    token; only those from one token on if asked for."""
+    for i in range(len(tokens)) if only is None else (only,):
+        first = tokens[i][2]
         if closed[i] or not (first[0].isalnum() or first in "+("):
             continue
         rich = at = False
@@ -143,33 +164,51 @@ class Field:
     def scores(self, found: list[str]) -> list[float]:
         return [sum(map(w.get, found, (0.0,) * len(found))) for w in (self.weights[k] for k in KINDS)]
 
-    def decode(self, text: str, start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-        """The best segmentation of a zone; taken spans are closed."""
-        found = []
-        tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text, start, end)]
-        for lo in range(0, len(tokens), ZONE):
-            found += self._decode(text, tokens[lo : lo + ZONE], taken)
-        return found
-
-    def _decode(self, text, tokens, taken):
-        closed = [any(a < e and s < b for a, b in taken) for s, e, _ in tokens] if taken else [False] * len(tokens)
-        best, back, into = [0.0] * (len(tokens) + 1), [None] * (len(tokens) + 1), defaultdict(list)
-        for i, j in segments(tokens, closed):
-            s = self.scores(features(text, tokens, i, j))
-            k = max(range(len(KINDS)), key=s.__getitem__)
-            if s[k] > 0:
-                into[j].append((i, s[k], KINDS[k]))
-        for j in range(1, len(tokens) + 1):
-            best[j] = best[j - 1]
-            for i, s, kind in into.get(j, ()):
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (i, kind)
-        out, j = [], len(tokens)
-        while j > 0:
-            if back[j]:
-                i, kind = back[j]
-                out.append((kind, tokens[i][0], tokens[j - 1][1]))
-                j = i
+    def decode(self, text: str, start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+        """The spans of the best segmentation of a zone; taken spans, in order, are closed.
+
+        One pass: tokens stream through a window of LONGEST, and whenever no candidate reaches over a place, what lies
+        before it is settled and dropped. So a zone of any length is decoded whole in little memory.
+        """
+        source = iter(TOKEN.finditer(text, start, end))
+        tokens, closed, places = [], [], iter(taken)  # from the token before the present one on
+        a, b = next(places, (end, end))
+        best, back, far, i = {0: 0.0}, {}, 0, 0  # scores of places not settled, their last spans, the farthest end of one
+        while True:
+            while len(tokens) <= LONGEST + min(i, 1) and (m := next(source, None)):
+                while b <= m.start() and b < end:
+                    a, b = next(places, (end, end))
+                tokens.append((m.start(), m.end(), m[0]))
+                closed.append(a < m.end() and m.start() < b)
+            at = min(i, 1)
+            if at >= len(tokens):
+                break
+            if i and best.get(i, -1.0) <= best[i - 1]:
+                best[i] = best[i - 1]
+                back.pop(i, None)
+            if far <= i:
+                yield from self._settle(i, back)
+                best, back = {i: 0.0}, {}
+            for lo, hi in segments(tokens, closed, at):
+                s = self.scores(features(text, tokens, lo, hi))
+                k = max(range(len(KINDS)), key=s.__getitem__)
+                j = i + hi - lo
+                if s[k] > 0 and best[i] + s[k] > best.get(j, 0.0):
+                    best[j], back[j], far = best[i] + s[k], (i, KINDS[k], tokens[lo][0], tokens[hi - 1][1]), max(far, j)
+            i += 1
+            if i > 1:
+                del tokens[0], closed[0]
+        if i and best.get(i, -1.0) <= best.get(i - 1, 0.0):
+            back.pop(i, None)
+        yield from self._settle(i, back)
+
+    @staticmethod
+    def _settle(j: int, back: dict[int, tuple]) -> list[tuple[str, int, int]]:
+        out = []
+        while back and j >= min(back):
+            if j in back:
+                j, *span = back[j]
+                out.append(tuple(span))
             else:
                 j -= 1
         return out
@@ -202,7 +241,7 @@ def _examples(n: int, seed: int) -> Iterator[tuple[str, list[tuple[str, int, int
         "secret": lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64]))),
     }
     noise = [lambda: str(r.randint(1900, 2030)), lambda: num(r.randint(1, 8)), lambda: f"{num(1)}.{num(2)}", lambda: f"{num(2)}.{num(1)}.{num(2)}", lambda: ".".join(str(r.randint(256, 999)) for _ in range(4)), lambda: num(r.randint(20, 30)),
-             lambda: f"{r.randint(1, 28):02}-{r.randint(1, 12):02}-{r.randint(1990, 2030)}", lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"${num(3)},{num(3)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"@{word()}", lambda: f"{word()} at {word()}",
+             lambda: f"{r.randint(1, 28):02}-{r.randint(1, 12):02}-{r.randint(1990, 2030)}", lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"${num(3)},{num(3)}.{num(2)}", lambda: f"{num(2)}:{num(2)}", lambda: f"@{word()}", lambda: f"{word()} at {word()}", lambda: f"{word()} at the {word()} of {word()} dot {word()}", lambda: f"the dot {word()}",
              lambda: next(d for d in iter(lambda: num(16), None) if not luhn(d)), lambda: f"v{num(1)}.{num(1)}.{num(1)}", lambda: f"{num(3)}-{num(4)}", lambda: f"{word()}{num(2)}", lambda: f"{num(2)}/{num(2)}/{num(4)}"]
     for _ in range(n):
         text, spans = "", []
@@ -280,13 +319,16 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 
 def detect(docs: DataFrame, field: Field) -> DataFrame:
-    """A row for each row of docs: counts and digest of the base spans, and all spans as kind:start:end in code points.
+    """A row for each row of docs: counts and digest of the base spans, all spans as kind:start:end in code points, and how
+    many of them the field has added.
 
-    A null text is empty and has no spans; repeated rows repeat; whole texts are read; other columns are not.
+    A null text is empty and has no spans; repeated rows repeat; no rows give none. Very long texts are read whole, a zone
+    at a time. Of segmentations with equal scores the one with fewer and earlier spans is taken. Columns besides doc_id and
+    text are not read, so their names do not matter.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
@@ -295,8 +337,8 @@ def detect(docs: DataFrame, field: Field) -> DataFrame:
             rows = []
             for text in b.column(1).to_pylist():
                 base, spans = find(text or "", sent.value)
-                rows.append((*(sum(k == s[0] for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            kinds = (*[pa.int64()] * 4, pa.string(), pa.string())
+                rows.append((*(sum(k == s[0] for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)))
+            kinds = (*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

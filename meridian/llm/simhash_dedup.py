@@ -3,27 +3,29 @@
 A vantage point and a radius split a set of fingerprints by Hamming distance. A fingerprint whose distance is at
 most the radius plus the link distance also goes inside, so by the triangle inequality both ends of every link
 meet in at least one shard. Within a shard the same splitting goes on until a block is small enough to compare.
-A shard returns a spanning forest of its links, never its pairs; components() joins the forests.
+A shard returns a spanning forest of its links, never its pairs; components of the forests' edges are the groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, components, stage, table
+from .common import attach, first_row, one_of_each, row_key, stage, table, topped, unstage
 
 SEED = 42
 #: Bits in which two linked fingerprints may differ.
 LINK_BITS = 2
-#: Distinct fingerprints that a shard holds before replication, and the most shards that the driver's tree has.
-SHARD_ROWS, MAX_SHARDS = 4096, 16384
+#: Distinct fingerprints that a shard is to hold before replication, which each level of the tree multiplies by about 1.2:
+#: at most SHARD_ROWS (4 MB with ids), fewer, down to LEAST_ROWS, while there are cores that have none.
+SHARD_ROWS, LEAST_ROWS, MAX_SHARDS = 1 << 18, 1 << 13, 1 << 16
+#: A shard of more routed rows is dealt into blocks, and its pairs of blocks are linked apart.
+SPLIT_ROWS = 1 << 20
 #: Fingerprints of the sample for each shard; the sample that the driver sees has at most MAX_SHARDS times as many.
 SAMPLE_PER_SHARD = 32
 #: Blocks of at most this many fingerprints are compared directly.
@@ -46,10 +48,10 @@ def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
         yield np.array([hashed(joined[s:e], SEED) for s, e in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])], "<u8")
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash over shingles of width words; a null or blank text has 0. Bounded memory for any length."""
+def bits_of(pieces: Iterable[np.ndarray]) -> int:
+    """64-bit SimHash of hashes that come in pieces; 0 of none."""
     n, ones = 0, np.zeros(64, np.int64)
-    for h in shingle_hashes(text, width):
+    for h in pieces:
         n += len(h)
         h = np.concatenate((h, np.zeros(-len(h) % 128, "<u8")))
         bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 128, 64)
@@ -57,15 +59,20 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash over shingles of width words; a null or blank text has 0. Bounded memory for any length."""
+    return bits_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+    """(id, key, fp): row_key() and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x.as_py(), width) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+            fps = np.array([fingerprint(x.as_py(), width) for x in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col)).mapInArrow(run, "id long, key string, fp long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -150,33 +157,53 @@ def link_all(fps: np.ndarray, rows: np.ndarray, bits: int, forest: Forest) -> No
     link_all(fps, rows[near > split[1]], bits, forest)
 
 
+def shard_count(total: int, cores: int) -> int:
+    return max(1, min(MAX_SHARDS, max(-(-total // SHARD_ROWS), min(-(-total // LEAST_ROWS), cores))))
+
+
 def links(classes: DataFrame, total: int, bits: int = LINK_BITS) -> DataFrame:
     """(a, b): a spanning forest of the links between distinct fingerprints (cid, fp), shard by shard."""
     spark = classes.sparkSession
-    shards = max(1, min(MAX_SHARDS, -(-total // SHARD_ROWS)))
+    shards = shard_count(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
     want = SAMPLE_PER_SHARD * shards
     some = classes if total <= want else classes.filter(F.pmod(F.xxhash64("fp"), F.lit(total)) < 2 * want)
-    sample = np.array([r[0] for r in some.select("fp").orderBy(F.xxhash64("fp")).limit(want).collect()], np.int64).view(np.uint64)
+    sample = some.select("fp").orderBy(F.xxhash64("fp")).limit(want).toArrow().column(0).to_numpy().view(np.uint64)  # 16 MB at most
     tree = spark.sparkContext.broadcast(build_tree(sample, shards, bits))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cid, fp = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for leaf, rows in route(tree.value, fp.view(np.uint64), np.arange(len(fp)), bits)[0]:
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(cid[rows]), pa.array(fp[rows])], ["shard", "cid", "fp"])
+            found = route(tree.value, fp.view(np.uint64), np.arange(len(fp)), bits)[0]
+            leaf = np.repeat(np.array([k for k, _ in found], np.int32), [len(rows) for _, rows in found])
+            rows = np.concatenate([rows for _, rows in found])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(cid[rows]), pa.array(fp[rows])], ["shard", "cid", "fp"])
 
-    def connect(group: pd.DataFrame) -> pd.DataFrame:
-        fps, cid = group["fp"].to_numpy().view(np.uint64), group["cid"].to_numpy()
+    def connect(group: pa.Table) -> pa.Table:
+        cid, fps = group.column("cid").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
         order = np.argsort(cid, kind="stable")
         fps, cid, forest = fps[order], cid[order], Forest(len(cid))
         link_all(fps, np.arange(len(cid)), bits, forest)
         up = forest.roots()
         new = up != np.arange(len(up))
-        return pd.DataFrame({"a": cid[new], "b": cid[up[new]]})
+        return pa.table({"a": cid[new], "b": cid[up[new]]})
+
+    routed = stage(classes.select("cid", "fp").mapInArrow(assign, "shard int, cid long, fp long"), "routed")
+    sizes = routed.groupBy("shard").agg(F.ceil(F.count("*") / SPLIT_ROWS).cast("int").alias("blocks")).filter("blocks > 1")  # a row for each big shard
+    blocks = F.coalesce("blocks", F.lit(1))
+    at = F.pmod(F.xxhash64("cid"), blocks).cast("int")
+    dealt = routed.join(F.broadcast(sizes), "shard", "left").withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("shard", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "cid", "fp")
+    return dealt.groupBy("shard", "i", "j").applyInArrow(connect, "a long, b long")
 
-    routed = classes.select("cid", "fp").mapInArrow(assign, "shard int, cid long, fp long")
-    return routed.groupBy("shard").applyInPandas(connect, "a long, b long")
+
+def _named(docs: DataFrame, id_col: str, text_col: str, width: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, fp), and classes (fp, n, top) of which top is the first row of its group."""
+    prints = stage(fingerprints(docs, id_col, text_col, width), "prints")
+    classes = stage(prints.groupBy("fp").agg(first_row().alias("first"), F.count("*").alias("n")).withColumn("cid", F.col("fp")), "classes")
+    found = links(classes, classes.count(), bits)
+    named = topped(classes, stage(found, "forest"))
+    unstage(found, classes)
+    return prints, named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, bits: int = LINK_BITS) -> DataFrame:
@@ -186,15 +213,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names a component (its component_id is null if only such rows are linked). Repeated rows stay. Empty input
     gives no rows. Other columns are not read.
     """
-    prints = stage(fingerprints(docs, id_col, text_col, width), "prints")
-    classes = prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    # a class without any id takes a number above every id, so that it never names a component that has one
-    classes = stage(classes.withColumn("cid", F.coalesce("first", F.lit(2**62) + F.pmod(F.col("fp"), F.lit(2**62)))), "classes")
-    forest = stage(links(classes, classes.count(), bits), "forest")
-    found = components(forest).filter("node <> root").withColumnRenamed("node", "cid")
-    named = classes.join(found, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    named = stage(named.select("fp", "n", F.when(F.col("root") < 2**62, F.col("root")).alias("component_id")), "named")
-    return attach(prints, named, "fp", "n", prints.count()).select(F.col("id").alias(id_col), "fp", "component_id")
+    prints, named = _named(docs, id_col, text_col, width, bits)
+    return attach(prints, named, "fp", "n", prints.count()).select(F.col("id").alias(id_col), "fp", F.col("top.id").alias("component_id"))
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,11 +222,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """One row of each group of found (doc_id, component_id), near_duplicates() if not given, stays: the smallest id's.
-    Rows without an id have no group name and stay."""
-    names = docs.columns
-    dropped = (near_duplicates(docs) if found is None else found).filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    left = rows.join(dropped, F.col("_id") == F.col("_drop"), "left_anti")
-    return left.filter("_id IS NOT NULL").dropDuplicates(["_id"]).unionByName(left.filter("_id IS NULL")).select(*names)
+def keep_first(docs: DataFrame, width: int = 3, bits: int = LINK_BITS) -> DataFrame:
+    """One row of each group of near copies stays: the smallest id's, null ids last, and of one id the smallest key's.
+
+    Rows of one id and different texts are told apart; columns of any name pass through; no rows give none.
+    """
+    prints, named = _named(docs, "doc_id", "text", width, bits)
+    return one_of_each(docs, named.select("top.key").distinct())

@@ -3,7 +3,8 @@
 The corpus's complete key universe is cut into shards by hash. In a shard, level 1 is a Bloom filter of the listed
 keys; level 2 holds the other keys that level 1 takes in; level 3 the listed keys that level 2 takes in; and so on
 until none is left. A key of the universe is listed just when the first level that lets it fall has an even number,
-so pages are judged by looking bits up, without a join.
+so pages are judged by looking bits up, without a join. Filters of a proven small size are broadcast; larger ones stay in
+the shared folder, and each shard's levels meet the pages of the shard once, in one scan of the pages.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import free_name, stage, table, unstage
 
-#: Keys wanted in a shard; bits and positions for each key of a level; bytes of filters that a pass broadcasts.
-SHARD_KEYS, BITS_EACH, HASHES, PASS_BYTES = 100_000, 8, 4, 32 << 20
+#: Keys wanted in a shard; bits and positions for each key of a level; most bytes of filters that are broadcast; rows of a
+#: shard that are judged together when its levels are not broadcast, so that a hot host is split.
+SHARD_KEYS, BITS_EACH, HASHES, BROADCAST_BYTES, GROUP_ROWS = 100_000, 8, 4, 32 << 20, 200_000
 
 #: (verdict, host, path) of the query.
 RULES = (
@@ -112,44 +114,53 @@ class UrlFilter:
 
         made = keys.withColumn("shard", self.shard(F.col("key"))).groupBy("shard").applyInPandas(build, "shard int, level int, bits binary")
         self.levels = stage(made, "levels")
+        unstage(keys)
 
     def shard(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.shards)).cast("int")
 
     def judge(self, rows: DataFrame, key: str = "host") -> DataFrame:
-        """rows with a boolean column listed. Filters beyond PASS_BYTES are sent in several passes over rows."""
-        spark, parts = rows.sparkSession, [[]]
-        used = 0
-        for shard, size in sorted(map(tuple, self.levels.groupBy("shard").agg(F.sum(F.length("bits"))).collect())):
-            if used + size > PASS_BYTES and parts[-1]:
-                parts.append([])
-                used = 0
-            parts[-1].append(shard)
-            used += size
-        schema = rows.drop("listed").select("*", F.lit(False).alias("listed")).schema
-        names, out = [f.name for f in schema][:-1], None
-        for k, part in enumerate(parts):
+        """rows with a boolean column listed; a null key is not listed. rows are read once (and their shards counted first
+        when the filters are too large to broadcast)."""
+        rows = rows.drop("listed")
+        schema = rows.select("*", F.lit(False).alias("listed")).schema
+        names, at = rows.columns, free_name(rows, "shard")
+        dealt = rows.withColumn(at, self.shard(F.coalesce(F.col(key), F.lit(""))))
+        if (self.levels.agg(F.sum(F.length("bits"))).first()[0] or 0) <= BROADCAST_BYTES:
             own = {}
-            for r in self.levels.filter(F.col("shard").isin(part)).orderBy("shard", "level").collect() if part else []:
+            for r in self.levels.orderBy("shard", "level").collect():
                 own.setdefault(r["shard"], []).append(np.frombuffer(bytes(r["bits"]), np.uint8))
-            sent = spark.sparkContext.broadcast(own)
+            sent = rows.sparkSession.sparkContext.broadcast(own)
 
-            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
-                    keys, at = b.column(b.schema.names.index(key)).to_pylist(), b.column(len(names)).to_numpy(zero_copy_only=False)
+                    keys, shards = b.column(names.index(key)), b.column(len(names)).to_numpy()
                     found = np.zeros(len(keys), bool)
-                    for s in np.unique(at):
-                        own = np.nonzero(at == s)[0]
-                        found[own] = is_listed(sent.value.get(int(s), []), [keys[i] or "" for i in own])
-                    found &= np.array([x is not None for x in keys], bool)
+                    for s in np.unique(shards):
+                        mine = np.nonzero(shards == s)[0]
+                        found[mine] = listed(sent.value.get(int(s), []), keys.take(pa.array(mine)))
                     yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found)], [*names, "listed"])
 
-            dealt = rows.drop("listed").withColumn("_shard", self.shard(F.coalesce(F.col(key), F.lit(""))))
-            first = F.col("_shard") <= F.lit(part[-1] if part else self.shards)
-            mine = dealt if len(parts) == 1 else dealt.filter((first if k == 0 else F.col("_shard") > F.lit(parts[k - 1][-1])) & (F.lit(True) if k == len(parts) - 1 else F.col("_shard") <= F.lit(part[-1])))
-            made = mine.mapInArrow(run, schema)
-            out = made if out is None else out.unionByName(made)
-        return out
+            return dealt.mapInArrow(run, schema)
+
+        part, parts = free_name(rows, "part"), free_name(rows, "parts")
+        sizes = stage(dealt.groupBy(at).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(parts)), "sizes")  # a row for each shard
+        split = F.broadcast(sizes.filter(F.col(parts) > 1))
+        dealt = dealt.join(split, at, "left").withColumn(part, F.floor(F.rand(1) * F.coalesce(F.col(parts), F.lit(1))).cast("int")).drop(parts)
+        copies = self.levels.join(F.broadcast(sizes), self.levels["shard"] == sizes[at]).select("shard", "level", "bits", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)).alias("part"))
+
+        def meet(pages: pa.Table, levels: pa.Table) -> pa.Table:
+            levels = levels.sort_by("level").column("bits").to_pylist()
+            found = listed([np.frombuffer(x, np.uint8) for x in levels], pages.column(key).combine_chunks())
+            return pages.select(names).append_column("listed", pa.array(found))
+
+        return dealt.groupBy(at, part).cogroup(copies.groupBy("shard", "part")).applyInArrow(meet, schema)
+
+
+def listed(levels: list[np.ndarray], keys: pa.Array) -> np.ndarray:
+    """is_listed() of keys that may be null."""
+    found = is_listed(levels, ["" if k is None else k for k in keys.to_pylist()])
+    return found & keys.is_valid().to_numpy(zero_copy_only=False)
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:

@@ -21,7 +21,7 @@ ODD = [
     (3, None, None, None, None), (4, "", "en", "src0", 0), (5, " \n ", "en", "src0", 3), (None, "Hello world again", "de", "src2", 2),
     (None, None, None, None, None), (6, LONG, "en", "src0", 9), (7, LONG, "en", "src0", 9), (8, "日本語 ünïcode \U0001f600", "fr", "odd", 1),
 ]
-CLASH = ["digest", "row", "id", "key", "fp", "score", "epoch", "piece", "n", "part", "kept", "_id", "length"]
+CLASH = ["digest", "row", "id", "key", "fp", "score", "epoch", "piece", "n", "part", "kept", "_id", "_digest", "length", "domain", "tokens", "top", "set", "root"]
 
 
 def odd(spark):
@@ -32,6 +32,13 @@ def clashing(spark):
     return odd(spark).select("*", *(F.lit("x").alias(c) for c in CLASH))
 
 
+def assert_passed_through(kept, docs, ids):
+    """kept are rows of docs, values of all columns included, with these ids."""
+    rows, every = kept.collect(), set(map(tuple, docs.collect()))
+    assert kept.columns == docs.columns and all(tuple(r) in every for r in rows)
+    assert sorted(r["doc_id"] or 0 for r in rows) == ids
+
+
 def none(spark):
     return spark.createDataFrame([], DOCS)
 
@@ -45,7 +52,7 @@ def test_sql(name, same):
 
 
 def test_exact_dedup_odd_rows(spark):
-    got = exact_dedup.production_index(spark).ingest(clashing(spark)).collect()
+    got = exact_dedup.production_index(spark).ingest(clashing(spark), "all").collect()
     assert len(got) == len(ODD)
     groups = {}
     for r in got:
@@ -54,24 +61,25 @@ def test_exact_dedup_odd_rows(spark):
         assert {r["group_size"] for r in g} == {len(g)} and sum(r["kept"] for r in g) == 1
         ids = [r["doc_id"] for r in g if r["doc_id"] is not None]
         assert {r["keep_id"] for r in g} == {min(ids, default=None)}
-    assert exact_dedup.production_index(spark).ingest(none(spark)).count() == 0
+    assert exact_dedup.production_index(spark).ingest(none(spark), "none").count() == 0
     kept = exact_dedup.keep_first(clashing(spark))
-    assert kept.columns == clashing(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 3, 5, 6, 8]
+    assert_passed_through(kept, clashing(spark), [1, 3, 5, 6, 8])
+    assert exact_dedup.keep_first(none(spark)).count() == 0
 
 
 def test_index_persists_and_compacts(spark, tmp_path):
     docs = odd(spark).filter("doc_id IS NOT NULL")
     index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
-    index.ingest(docs.filter("doc_id > 1"))
+    index.ingest(docs.filter("doc_id > 1"), "one")
     again = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", 4)
-    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in again.ingest(docs.filter("doc_id = 1")).collect()}
+    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in again.ingest(docs.filter("doc_id = 1"), "two").collect()}
     assert got == {1: (2, False)}
     assert again.compact(f"file://{tmp_path}/other").rows().count() == again.rows().count()
 
 
 def test_exact_dedup_is_native_and_leaves_the_index_in_place(spark):
     index = exact_dedup.production_index(spark)
-    index.ingest(spark.read.parquet(f"{SF}/documents.parquet"))
+    index.ingest(spark.read.parquet(f"{SF}/documents.parquet"), "all")
     new = spark.range(100).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
     groups = new.repartition(index.buckets, "digest").hint("merge").join(index.rows(), "digest", "left_anti")
     plan = groups._jdf.queryExecution().executedPlan().toString()
@@ -123,6 +131,7 @@ def test_vantage_tree_loses_no_link(spark, monkeypatch):
     fps = np.unique(np.concatenate((base, base[rng.integers(0, 300, 900)] ^ bit)))
     monkeypatch.setattr(simhash_dedup, "SHARD_ROWS", 100)
     classes = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fps.view(np.int64))], "cid long, fp long")
+    monkeypatch.setattr(simhash_dedup, "SPLIT_ROWS", 150)
     got = {tuple(r) for r in common.components(simhash_dedup.links(classes, len(fps))).collect() if r[0] != r[1]}
     forest = simhash_dedup.Forest(len(fps))
     forest.link(*np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2))
@@ -134,7 +143,7 @@ def test_simhash_odd_rows(spark):
     assert sorted((a or 0, b) for a, b in got) == sorted([(1, 1), (2, 1), (2, 1), (0, 1), (3, 3), (4, 3), (5, 3), (0, 3), (6, 6), (7, 6), (8, 8)])
     assert simhash_dedup.near_duplicates(none(spark)).count() == 0
     kept = simhash_dedup.keep_first(clashing(spark))
-    assert kept.columns == clashing(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 3, 6, 8]
+    assert_passed_through(kept, clashing(spark), [1, 3, 6, 8])
 
 
 def test_near_dedup_stage_equals_brute_jaccard(spark, monkeypatch):
@@ -157,7 +166,7 @@ def test_near_dedup_stage_equals_brute_jaccard(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     assert {tuple(x) for x in shingle_dedup.near_duplicates(docs).collect()} == set(enumerate(roots))
     assert sorted(x["doc_id"] for x in corpus_pipeline.simhash_dedup_stage(spark, docs, SF).collect()) == sorted(set(roots))
-    assert len({*roots}) < len(simhash_dedup.keep_first(docs).collect())
+    assert len({*roots}) < simhash_dedup.keep_first(docs).count()
 
 
 def test_near_dedup_odd_rows(spark):
@@ -253,7 +262,8 @@ def test_mixing_odd_rows(spark):
     taken = out.agg(F.sum("tokens")).first()[0]
     assert taken <= sum(len((t or "").split()) for _, t, *_ in ODD)
     assert mixing.keep_mixed(none(spark)).count() == 0
-    assert mixing.keep_mixed(clashing(spark)).columns == clashing(spark).columns
+    kept = mixing.keep_mixed(clashing(spark))
+    assert kept.columns == clashing(spark).columns and kept.count() > 0 and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in clashing(spark).collect()}
 
 
 # --- 5 ---
@@ -297,6 +307,8 @@ def test_toxicity_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     model = toxicity.train(odd(spark), labels)
     got = toxicity.score(clashing(spark), model).collect()
+    assert_passed_through(toxicity.keep_clean(clashing(spark), labels), clashing(spark), sorted(r[0] or 0 for r in ODD))
+    assert toxicity.keep_clean(none(spark), labels).count() == 0
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score(none(spark), toxicity.train(none(spark), labels.limit(0))).count() == 0
 
@@ -354,9 +366,10 @@ def test_urls_odd_rows(spark):
     assert url_filter.judge(pages.limit(0), spark.createDataFrame([], "key string")).count() == 0
 
 
-def test_cascade_in_passes(spark, monkeypatch, same):
+def test_large_cascades_meet_pages_by_shard(spark, monkeypatch, same):
     monkeypatch.setattr(url_filter, "SHARD_KEYS", 10)
-    monkeypatch.setattr(url_filter, "PASS_BYTES", 100)
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(url_filter, "GROUP_ROWS", 7)
     same(url_filter.op9_url_filter, url_filter.ORACLE)
 
 
@@ -423,6 +436,9 @@ def test_pipeline_stages(spark):
             texts = {re.sub(r"[\x20\x09-\x0D]+", " ", r["text"]): 1 for r in before.collect()}
             assert docs.count() == len(texts)
         if name == "simhash_dedup":
-            want = {i for i, _, root in brute_simhash([(r["doc_id"], r["text"]) for r in before.collect()]) if i == root}
-            assert {r["doc_id"] for r in docs.collect()} == want
+            rows = before.orderBy("doc_id").collect()
+            sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (r["text"].lower().split() for r in rows)]
+            forest = simhash_dedup.Forest(len(rows))
+            forest.link(*np.nonzero([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]))
+            assert {r["doc_id"] for r in docs.collect()} == {rows[k]["doc_id"] for k in set(forest.roots().tolist())}
         before = docs
