@@ -145,7 +145,10 @@ def features(text: str, tokens: list[tuple[int, int, str]], i: int, j: int) -> l
     if 13 <= len(digits) <= 19 and not letters:
         out.append("luhn" if luhn(digits) else "no luhn")
     if "@" in words or "at" in words:
-        out.append(f"at dots={min(3, sum(t == '.' or t.lower() == 'dot' for _, _, t in tokens[i:j]))}")
+        inside = [t.lower() for _, _, t in tokens[i:j]]
+        where = next(k for k, t in enumerate(inside) if t in ("at", "@"))
+        out.append(f"at dots={min(3, sum(t in ('.', 'dot') for t in inside))}")
+        out += [f"before at={min(6, where)}", "domain ends=" + (inside[-1] if len(inside[-1]) < 5 else "long")]
     if shape.count(".") == 3 and not letters:
         out.append("octets" if all(int(t) < 256 for _, _, t in tokens[i:j] if t.isdigit() and len(t) < 9) else "no octets")
     if j - i == 1 and len(span) >= 20 and letters and digits:

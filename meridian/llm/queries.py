@@ -1,4 +1,4 @@
-"""The ten operators' queries and the pipeline, with SQL where SQL can say the same."""
+"""The ten operators' queries, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from . import chat_format, embedding_dedup, exact_dedup, language_id, mixing, pa
 
 
 def queries() -> dict:
-    import corpus_pipeline
-
     return {
         "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -19,7 +17,6 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_packing": packing.op10_packing,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -77,6 +77,18 @@ def test_index_persists_and_compacts(spark, tmp_path):
     assert again.compact(f"file://{tmp_path}/other").rows().count() == again.rows().count()
 
 
+def test_a_batch_that_is_started_again_keeps_its_rows(spark):
+    docs, index = odd(spark), exact_dedup.production_index(spark)
+    answer = lambda d, name: sorted(map(str, index.ingest(d, name).collect()))
+    first = answer(docs, "a")
+    assert answer(docs, "a") == first and any("kept=True" in r for r in first)
+    assert not any("kept=True" in r for r in answer(docs, "b"))
+    before = {t.name for t in spark.catalog.listTables()}
+    index.drop()
+    exact_dedup.op2_exact_dedup(spark, SF).count()
+    assert {t.name for t in spark.catalog.listTables()} == before - {index.name}
+
+
 def test_exact_dedup_is_native_and_leaves_the_index_in_place(spark):
     index = exact_dedup.production_index(spark)
     index.ingest(spark.read.parquet(f"{SF}/documents.parquet"), "all")
@@ -195,6 +207,31 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert {tuple(r) for r in embedding_dedup.near_duplicates(df).collect()} == want
 
 
+def test_embedding_query_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    ok = [r for r in rows if r["embedding"] and all(v is not None and np.isfinite(v) for v in r["embedding"]) and any(r["embedding"])]
+    x = np.array([r["embedding"] for r in ok], np.float64)
+    norm = np.sqrt((x * x).sum(1))
+    near = (x @ x.T) / np.outer(norm, norm) >= 0.95
+    np.fill_diagonal(near, False)
+    ids, forest = np.array([r["vec_id"] for r in ok]), simhash_dedup.Forest(len(ok))
+    order = np.argsort(ids)
+    near, ids = near[order][:, order], ids[order]
+    forest.link(*np.nonzero(near))
+    want = {(int(i), int(n), int(ids[k])) for i, n, k in zip(ids, near.sum(1), forest.roots())}
+    want |= {(r["vec_id"], 0, r["vec_id"]) for r in rows if r["vec_id"] not in set(ids.tolist())}
+    assert {(r[0], r[1], r[2]) for r in embedding_dedup.op1_embedding_dedup(spark, SF).collect()} == want
+
+
+def test_repeated_ids_do_not_join_groups(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])]
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+    docs = spark.createDataFrame([(1, "one two three four five six", "en", "s", 1), (1, "quite another text than the first of them", "en", "s", 1)], DOCS)
+    for keep in (simhash_dedup.keep_first, shingle_dedup.keep_first, exact_dedup.keep_first):
+        assert keep(docs).count() == 2
+
+
 def test_embeddings_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [inf, 1.0]), (7, [nan, 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
@@ -247,6 +284,40 @@ def test_pii_odd_rows(spark):
     assert pii.detect(none(spark), pii.train(5, 1)).count() == 0
 
 
+def test_segmentation_is_the_best_of_all():
+    field = pii.train()
+
+    def best(text):
+        tokens = [(m.start(), m.end(), m[0]) for m in pii.TOKEN.finditer(text)]
+        found = {}
+        for i, j in pii.segments(tokens, [False] * len(tokens)):
+            found.setdefault(i, []).append((j, max(field.scores(pii.features(text, tokens, i, j)))))
+        value = [0.0] * (len(tokens) + 1)
+        for i in range(len(tokens) - 1, -1, -1):
+            value[i] = max(value[i + 1], *(s + value[j] for j, s in found.get(i, ())), 0.0)
+        return value[0], tokens
+
+    for text, _ in pii._examples(150, 99):
+        want, tokens = best(text)
+        starts, ends = [t[0] for t in tokens], [t[1] for t in tokens]
+        got = [(k, starts.index(a), ends.index(b) + 1) for k, a, b in field.decode(text, 0, len(text), [])]
+        assert all(j <= i for (_, _, j), (_, i, _) in zip(sorted(got, key=lambda s: s[1]), sorted(got, key=lambda s: s[1])[1:]))
+        assert abs(sum(field.scores(pii.features(text, tokens, i, j))[pii.KINDS.index(k)] for k, i, j in got) - want) < 1e-6
+
+
+def test_zones_lose_no_span():
+    field, r = pii.train(), random.Random(1)
+    filler = "the of and at dot in house (at) . , dotted".split()
+    for _ in range(80):
+        text = " ".join(x if r.random() < 0.3 else " ".join(r.choices(filler, k=r.randrange(40))) for x, _ in pii._examples(6, r.randrange(10**6)))
+        base = sorted((a, b) for _, a, b in pii.base_spans(text))
+        assert pii.find(text, field)[1] == sorted([*pii.base_spans(text), *field.decode(text, 0, len(text), base)], key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+    assert pii.find("so I wrote to maria at example dot com yesterday", field)[1] == [("email", 14, 38)]
+    for n in (4089, 4091, 4093, 4096):
+        text = "1 " * n + "word (269) 555-3296 end"
+        assert ("phone", 2 * n + 5, 2 * n + 19) in pii.find(text, field)[1]
+
+
 # --- 4 ---
 
 
@@ -294,6 +365,85 @@ def test_chat_odd_rows(spark):
 # --- 6, 8 ---
 
 
+def test_weights_equal_a_plain_ftrl():
+    r, p = random.Random(8), toxicity.Params(bits=12, l1=0.5, epochs=3)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(toxicity.features(" ".join(r.choices(words[: 40 if y else 60], k=r.randrange(1, 30))), p.bits), y) for y in r.choices([0, 1], k=120)]
+    base, z, n = toxicity.base_odds(3, 9), {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= p.l1:
+            return 0.0
+        return -(z[i] - (p.l1 if z[i] > 0 else -p.l1)) / ((p.beta + n[i] ** 0.5) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for x, y in rows:
+            s, own = 1 / (1 + np.log1p(len(x))) ** 0.5, {int(i): weight(int(i)) for i in x}
+            guess = 1 / (1 + np.exp(-(base + s * sum(own.values()))))
+            g = (guess - y) * s * (p.weight if y else 1)
+            for i, w in own.items():
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / p.alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w, n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    at, got = toxicity.fit(rows, base, p)
+    assert at.tolist() == sorted(want) and np.allclose(got, [want[i] for i in sorted(want)])
+
+
+def test_training_in_a_task_equals_training_here(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    order = [r[0] for r in docs.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").collect() if r[0] in known]
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    at, w = toxicity.fit([(toxicity.features(texts[i], 18), known[i]) for i in order], toxicity.base_odds(sum(known.values()), len(known) - sum(known.values())), toxicity.Params())
+    assert model.coordinates.tolist() == at.tolist() and np.allclose(model.weights, w)
+
+
+def test_no_evidence_keeps_every_document(spark):
+    docs = spark.createDataFrame([(k, f"some words {k}", "en", "s", 1) for k in range(1, 9)], DOCS)
+    for rows in ([], [(1, 0), (2, 0), (3, 0)]):
+        assert toxicity.keep_clean(docs, spark.createDataFrame(rows, "doc_id long, toxic int")).count() == 8
+    few = toxicity.Params(coordinates=12)
+    assert toxicity.train(docs, spark.createDataFrame([(k, 0) for k in range(1, 9)], "doc_id long, toxic int"), few).weights.size == 0
+
+
+def test_filters_decide_as_exact_sets_do(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").collect()
+    learned = [r for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    counts = {}
+    for r in learned:
+        own = counts.setdefault(r["lang"], {})
+        for g in language_id.grams(r["text"]):
+            for x in g.tolist():
+                own[x] = own.get(x, 0) + 1
+    rates = {k: {x: n / sum(c.values()) for x, n in c.items()} for k, c in counts.items()}
+    top = {}
+    for c in rates.values():
+        for x, n in c.items():
+            top[x] = max(n, top.get(x, 0))
+    sets = {k: {x for x, n in c.items() if n >= language_id.LEAST and n >= language_id.SHARE * top[x]} for k, c in rates.items()}
+    filters = language_id.train(spark.read.parquet(f"{d}/documents.parquet"))
+    assert set(filters.languages) == set(sets)
+    for k, lang in enumerate(filters.languages):  # no false negatives, and about as many false positives as corrected for
+        assert (filters.bit(filters.contains(np.array(sorted(sets[lang]))), k) == 1).all()
+        others = np.array(sorted(set().union(*sets.values()) - sets[lang]))
+        assert filters.bit(filters.contains(others), k).mean() < 3 * filters.wrong[k] + 0.01
+    got = want = 0
+    for r in (r for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2):
+        own = [x for g in language_id.grams(r["text"]) for x in g.tolist()]
+        if own:
+            want += 1
+            got += filters.decide(r["text"])[0] == max(filters.languages, key=lambda k: sum(x in sets[k] for x in own))
+    assert want > 100 and got >= 0.99 * want
+
+
+def test_short_texts_and_ties():
+    filters = language_id.Filters(["most", "less"], np.zeros(64, np.uint64))
+    assert [filters.decide(t) for t in ("a", "hi", "", "12", None)] == [("most", 0.0)] * 2 + [("und", 0.0)] * 3
+    assert [len(np.concatenate(list(language_id.grams(t)))) for t in ("a", "le", "a b", "1")] == [1, 2, 3, 0]
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     got = toxicity.op6_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").collect()
@@ -387,6 +537,27 @@ def test_words_equal_tokenizer():
         assert own.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_other_tokenizers_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer().replace("word_bpe_49k", "byte_bpe_50k")
+    whole, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    for t in ("Hello  World", "don't", "a\n\nb", "Ünï 123"):
+        assert own.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_fullest_equals_enumeration():
+    from itertools import product
+
+    r = random.Random(2)
+    for _ in range(200):
+        counts = [0] + [r.choice([0, 0, 1, 2]) for _ in range(8)]
+        room = r.randrange(1, 14)
+        found = packing.fullest(counts + [0] * 8, room)
+        sums = [sum(k * n for k, n in enumerate(c)) for c in product(*(range(n + 1) for n in counts))]
+        assert sum(k * n for k, n in found) == max(x for x in sums if x <= room) and all(n <= counts[k] for k, n in found)
+
+
 def test_packing_round_trip(spark):
     out = packing.pack_documents(clashing(spark), with_ids=True).collect()
     bins = {}
@@ -442,3 +613,12 @@ def test_pipeline_stages(spark):
             forest.link(*np.nonzero([[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]))
             assert {r["doc_id"] for r in docs.collect()} == {rows[k]["doc_id"] for k in set(forest.roots().tolist())}
         before = docs
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as p
+
+    for docs in (clashing(spark), none(spark)):
+        for name, step in p.STAGES:
+            columns, docs = docs.columns, common.stage(step(spark, docs, SF), name)
+            assert name == "packing" or docs.columns == columns
