@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.geo import distance_bias, haversine
-from ..functions.text import fold, label_key, match, score_names, tokens
+from ..functions.text import EXPANSIONS, edit_distance, fold, forms, label_key, match, score_names, tokens, tolerance
+from ..storage import stage
 
 
 def postings(names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
@@ -20,47 +24,130 @@ def token_and(posting: DataFrame, wanted: list[str]) -> DataFrame:
     return posting.filter(F.col("token").isin(wanted)).groupBy("id").agg(F.countDistinct("token").alias("hits")).filter(F.col("hits") == len(set(wanted))).select("id")
 
 
-#: Distinct query tokens and distinct vocabulary tokens that one task compares.
-QUERY_BLOCK, TOKEN_BLOCK = 2_000, 500
+#: Tokens longer than this are compared with all of about their length, as they have too many ways to lose two letters.
+LONG = 24
+
+
+def _cuts(words: Column) -> Column:
+    """Each word without one of its letters, for arrays of words."""
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
+
+
+def _keys(form: Column, asked: bool) -> Column:
+    """Keys of a form of a query's token or of a name's, such that forms that match have one in common: a first letter, the
+    first three letters anywhere, a whole form that the other starts with, what is left without up to two letters."""
+    n = F.length(form)
+    mark = lambda kind, words: F.transform(words, lambda w: F.concat(F.lit(kind), w))
+    pieces = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.substring(form, i, F.lit(k)))
+    none = F.array().cast("array<string>")
+    less = _cuts(F.array(form))
+    if asked:
+        head = F.when(n == 1, mark("p", F.array(form))).otherwise(mark("s", F.array(F.substring(form, 1, 3))))
+        whole = F.when(n > 1, mark("r", F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), n)), lambda i: F.substring(form, F.lit(1), i)))).otherwise(none)
+        near = F.when(n <= 3, none).when(n <= 5, F.array_union(F.array(form), less)).when(n <= LONG, F.array_union(F.array(form), F.array_union(less, _cuts(less)))).otherwise(none)
+        lengths = F.when(n > LONG - 2, F.transform(F.sequence(n - 2, n + 2), lambda k: k.cast("string"))).otherwise(none)
+    else:
+        head = F.concat(mark("p", F.array(F.substring(form, 1, 1))), mark("s", pieces(3)), F.when(n > 1, mark("s", pieces(2))).otherwise(none))
+        whole = F.when(n > 1, mark("r", F.array(form))).otherwise(none)
+        near = F.when(n <= LONG, F.array_union(F.array(form), F.array_union(less, _cuts(less)))).otherwise(none)
+        lengths = F.when(n > LONG - 2, F.array(n.cast("string"))).otherwise(none)
+    return F.array_distinct(F.concat(head, whole, mark("d", near), mark("l", lengths)))
 
 
 def vocabulary_matches(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qtok, token) of the distinct query tokens and the vocabulary tokens they match; each distinct pair is tested
-    once. Both sides are dealt into blocks and each pair of blocks is a group, so neither has to fit a task."""
-    wanted, words = queries.select("qtok").distinct(), vocabulary.select("token").distinct()
-    n, m = (max(1, -(-df.count() // size)) for df, size in ((wanted, QUERY_BLOCK), (words, TOKEN_BLOCK)))
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = words.select("token", F.pmod(F.hash("token"), F.lit(m)).alias("i"), each(n).alias("j"))
-    right = wanted.select("qtok", each(m).alias("i"), F.pmod(F.hash("qtok"), F.lit(n)).alias("j"))
+    """(qtok, token) of the distinct query tokens and the vocabulary tokens they match. Pairs that share a key meet in an
+    equi-join in the JVM; only they are tested."""
+    full = F.create_map(*(x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    forms = lambda c: F.concat(F.array(c), F.coalesce(F.element_at(full, F.col(c)), F.array().cast("array<string>")))
+    keyed = lambda df, c, asked: df.select(c).distinct().withColumn("form", F.explode(forms(c))).select(c, F.explode(_keys(F.col("form"), asked)).alias("key"))
+    pairs = keyed(queries, "qtok", True).join(keyed(vocabulary, "token", False), "key").select("qtok", "token").distinct()
+    return pairs.filter(_matches("qtok", "token"))
+
+
+@F.pandas_udf(T.BooleanType())
+def _matches(query: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([match(q, n) is not None for q, n in zip(query, name)], dtype=bool)
+
+
+def house_boost(query: str, house: str | None, street: str | None, name: str) -> float | None:
+    """The score of a folded query that has a folded house number; its other words must fit the street (the name if there
+    is none). None without the number, or for the right number of another street."""
+    words = query.split()
+    if house is None or house not in words:
+        return None
+    at = words.index(house)
+    rest, target = words[:at] + words[at + 1 :], (street if street is not None else name).split()
+    if not rest:
+        return 900.0
+    best = [min((m for n in target if (m := match(q, n))), default=None) for q in rest]
+    return None if any(m is None or m[1] > 1 for m in best) else 930.0 - 2 * sum(m[0] for m in best)
+
 
-    def run(ts: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(q, t) for t in ts["token"] for q in qs["qtok"] if match(q, t)], columns=["qtok", "token"])
+@F.pandas_udf(T.DoubleType())
+def house_boosts(query: pd.Series, house: pd.Series, street: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([house_boost(*row) for row in zip(query, house, street, name)], dtype="float64")
 
-    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "qtok string, token string")
+
+def name_forms(gazetteer: DataFrame, by: list[str]) -> DataFrame:
+    """(id, ..., name, folded, own): a row for each name of an entry; own marks the first name, the others are alternates."""
+    every = F.array(F.struct(F.col("name").alias("text"), F.lit(True).alias("own")))
+    if "alt" in gazetteer.columns:
+        every = F.concat(every, F.transform(F.coalesce("alt", F.array().cast("array<string>")), lambda t: F.struct(t.alias("text"), F.lit(False).alias("own"))))
+    return gazetteer.withColumn("form", F.explode(every)).select("id", *by, "name", fold(F.col("form.text")).alias("folded"), F.col("form.own").alias("own")).filter("folded IS NOT NULL")
 
 
 def search(gazetteer: DataFrame, queries: DataFrame, limit: int = 12, by: list[str] | None = None, near: tuple[float, float] | None = None) -> DataFrame:
     """queries (q) over gazetteer: (q, id, name, score, place), the best limit of each q (and of each value of by).
 
-    Tokens without digits must all match; if a query has only numbers, any may. Scores add the rank and subtract the
-    distance bias; ties go by name, then id.
+    gazetteer has id, name, rank, lon and lat, and may have alt (alternate names), importance (which then counts as 100
+    times it instead of the rank), house and street. The best of an entry's names counts, or the boost of its house number
+    if that is more. Tokens without digits must all match; if a query has only numbers, any may. Scores add the rank and
+    subtract the distance bias, which a null place does not have; ties go by name, then id.
     """
     by = by or []
     asked = queries.select("q", fold(F.col("q")).alias("norm")).filter("norm <> ''").distinct()
-    parts = asked.select("q", F.explode(F.array_distinct(tokens(F.col("norm")))).alias("qtok"))
-    parts = parts.withColumn("number", F.col("qtok").rlike("^[0-9]+$"))
-    needed = parts.groupBy("q").agg(F.count_if(~F.col("number")).alias("words"))
-    named = gazetteer.withColumn("folded", fold(F.col("name")))
-    posting = named.select("id", *by, F.explode(F.array_distinct(tokens(F.col("folded")))).alias("token"))
-    found = parts.join(vocabulary_matches(posting, parts), "qtok").join(posting, "token").groupBy("q", "id", *by).agg(F.countDistinct(F.when(~F.col("number"), F.col("qtok"))).alias("words_hit"))
-    candidates = found.join(needed, "q").filter("words_hit = words").select("q", "id", *by)
-    scored = candidates.join(asked, "q").join(named, ["id", *by]).withColumn("raw", score_names("norm", "folded")).filter("raw IS NOT NULL AND NOT isnan(raw)")
-    bias = distance_bias(haversine(F.lit(near[0]), F.lit(near[1]), F.col("lon"), F.col("lat"))) if near else F.lit(0.0)
-    scored = scored.withColumn("score", F.round(F.col("raw") + F.col("rank") - bias, 4))
+    parts = asked.select("q", F.explode(F.array_distinct(tokens(F.col("norm")))).alias("qtok")).withColumn("number", F.col("qtok").rlike("^[0-9]+$"))
+    forms = name_forms(gazetteer, by)
+    posting = forms.select("id", *by, F.explode(tokens(F.col("folded"))).alias("token")).distinct()
+    sizes = posting.groupBy("token").agg(F.count("*").alias("rows"))
+    found = stage(vocabulary_matches(sizes, parts).join(sizes, "token"), "matches")
+    # a query's rarest word without digits brings its candidates, as all must match; a query of numbers takes them all
+    weights = parts.join(found.groupBy("qtok").agg(F.sum("rows").alias("weight")), "qtok", "left")
+    of = Window.partitionBy("q")
+    weights = weights.withColumns({"words": F.count_if(~F.col("number")).over(of), "lost": F.count_if(~F.col("number") & F.col("weight").isNull()).over(of)})
+    rank = F.row_number().over(of.orderBy("number", "weight", "qtok"))
+    wanted = weights.withColumn("at", rank).filter((F.col("lost") == 0) & ((F.col("words") == 0) | (F.col("at") == 1))).select("q", "qtok")
+    total = found.select("token", "rows").distinct().agg(F.sum("rows")).first()[0] or 0
+    candidates = _dealt(wanted.join(found, "qtok"), posting, max(1000, total // 1000)).select("q", "id", *by).distinct()
+    pairs = candidates.join(asked, "q").join(forms, ["id", *by])
+    raw = pairs.withColumn("raw", score_names("norm", "folded")).filter("raw IS NOT NULL AND NOT isnan(raw)").groupBy("q", "norm", "id", *by).agg(F.max("raw").alias("raw"))
+    if "house" in gazetteer.columns:
+        street = fold(F.col("street")) if "street" in gazetteer.columns else F.lit(None).cast("string")
+        houses = gazetteer.filter("house IS NOT NULL").select("id", *by, fold(F.col("house").cast("string")).alias("house"), street.alias("street"), fold(F.col("name")).alias("folded"))
+        boosted = candidates.join(asked, "q").join(houses, ["id", *by]).withColumn("raw", house_boosts("norm", "house", "street", "folded")).filter("raw IS NOT NULL AND NOT isnan(raw)")
+        # what the boost lets in must still have every word without digits among its names
+        words = parts.filter("NOT number").join(found, "qtok").join(posting.join(boosted.select("id", *by).distinct(), ["id", *by]), "token").groupBy("q", "id", *by).agg(F.countDistinct("qtok").alias("hit"))
+        needed = parts.groupBy("q").agg(F.count_if(~F.col("number")).alias("need"))
+        boosted = boosted.join(needed, "q").join(words, ["q", "id", *by], "left").filter(F.coalesce("hit", F.lit(0)) == F.col("need"))
+        raw = raw.unionByName(boosted.select("q", "norm", "id", *by, "raw")).groupBy("q", "norm", "id", *by).agg(F.max("raw").alias("raw"))
+    weight = F.col("rank")
+    if "importance" in gazetteer.columns:
+        weight = F.when(F.col("importance").isNull(), F.col("rank")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "importance")) * 100)
+    places = gazetteer.select("id", *by, "name", weight.alias("weight"), "lon", "lat")
+    bias = F.coalesce(distance_bias(haversine(F.lit(near[0]), F.lit(near[1]), F.col("lon"), F.col("lat"))), F.lit(0.0)) if near else F.lit(0.0)
+    scored = raw.join(places, ["id", *by]).withColumn("score", F.round(F.col("raw") + F.col("weight") - bias, 4))
     order = Window.partitionBy("q", *by).orderBy(F.desc("score"), "name", "id")
     return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("q", *by, "id", "name", "score", "place")
 
 
+def _dealt(wanted: DataFrame, posting: DataFrame, most: int) -> DataFrame:
+    """wanted (token, rows, ...) joined with posting on token; a token of more than most rows is dealt by id into parts."""
+    parts = F.ceil(F.col("rows") / most).cast("int")
+    hot = F.broadcast(wanted.filter(F.col("rows") > most).select("token", parts.alias("parts")).distinct())  # few: each holds a share of all rows
+    dealt = posting.join(hot, "token", "left").withColumn("part", F.pmod(F.hash("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    return wanted.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("rows").join(dealt, ["token", "part"])
+
+
 def merge_hits(hits: DataFrame, metres: float = 120.0) -> DataFrame:
     """hits (q, source, identity, label, score, lon, lat) in score order, without repeats and shadows.
 
@@ -89,19 +176,55 @@ def merge_hits(hits: DataFrame, metres: float = 120.0) -> DataFrame:
     return keyed.groupBy("q").applyInPandas(walk, keyed.schema).drop("key")
 
 
-def suggest(names: DataFrame, queries: DataFrame) -> DataFrame:
-    """(q, name): the nearest name by edit distance, then rank, then name; null without one near enough."""
-    from ..functions.text import edit_distance, tolerance
+def suggest(names: DataFrame, queries: DataFrame, near: tuple[float, float] | None = None) -> DataFrame:
+    """(q, name, edits) for each q: the nearest name by edit distance, then by rank, by distance from near, and by name;
+    null without one near enough, or if q has fewer than three letters. names has name and rank, and lon and lat for near.
+
+    Names of about a query's length meet it; the JVM's own edit distance, in which a swap costs two, leaves few to test.
+    """
 
     @F.pandas_udf("int")
     def far(a: pd.Series, b: pd.Series) -> pd.Series:
         most = lambda x: tolerance(len(x)) + (len(x) >= 8)
         return pd.Series([d if (d := edit_distance(x, y, most(x))) <= most(x) else -1 for x, y in zip(a, b)], dtype="int32")
 
-    q = queries.select("q", fold(F.col("q")).alias("qn")).distinct()
-    n = names.select("name", "rank", fold(F.col("name")).alias("nn")).withColumn("size", F.explode(F.sequence(F.length("nn") - 3, F.length("nn") + 3)))
-    pairs = q.withColumn("size", F.length("qn")).join(n, "size").withColumn("d", far("qn", "nn")).filter("d >= 0")
-    return pairs.groupBy("q").agg(F.min(F.struct("d", (-F.col("rank")).alias("r"), "name")).alias("m")).select("q", F.col("m.name").alias("name"), F.col("m.d").alias("edits"))
+    asked = queries.select("q", fold(F.col("q")).alias("qn")).distinct()
+    metres = haversine(F.lit(near[0]), F.lit(near[1]), F.col("lon"), F.col("lat")) if near else F.lit(0.0)
+    n = names.select("name", "rank", metres.alias("metres"), fold(F.col("name")).alias("nn")).withColumn("size", F.explode(F.sequence(F.length("nn") - 3, F.length("nn") + 3)))
+    pairs = asked.filter(F.length("qn") >= 3).withColumn("size", F.length("qn")).join(n, "size").filter(F.levenshtein("qn", "nn", 6) >= 0).withColumn("d", far("qn", "nn")).filter("d >= 0")
+    best = pairs.groupBy("q").agg(F.min(F.struct("d", (-F.col("rank")).alias("r"), "metres", "name")).alias("m"))
+    return asked.select("q").join(best, "q", "left").select("q", F.col("m.name").alias("name"), F.col("m.d").alias("edits"))
+
+
+def highlights(rows: DataFrame, label: str = "label", query: str = "q") -> DataFrame:
+    """rows with ranges, array<struct<start, end>>: where a label shows what a query asks for, in code points.
+
+    For each token of two letters or more the longest form that starts a word of the label: its expansions, then the token,
+    then ever shorter beginnings of it; overlapping and touching ranges are one.
+    """
+    return rows.withColumn("_folded", fold(F.col(query))).withColumn("ranges", _ranges(F.col(label), F.col("_folded"))).drop("_folded")
+
+
+def highlight_ranges(label: str, folded: str) -> list[tuple[int, int]]:
+    low, found = label.lower(), []
+    for t in (t for t in folded.split() if len(t) >= 2):
+        for needle in (*forms(t)[1:], *(t[:n] for n in range(len(t), 1, -1))):
+            at = [m.start() for m in re.finditer(f"(?={re.escape(needle)})", low) if m.start() == 0 or not low[m.start() - 1].isalnum()]
+            if at:
+                found += [(a, a + len(needle)) for a in at]
+                break
+    merged = []
+    for a, b in sorted(found, key=lambda r: r[0]):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = merged[-1][0], max(merged[-1][1], b)
+        else:
+            merged.append((a, b))
+    return merged
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType())))
+def _ranges(label: pd.Series, folded: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or q is None else [{"start": a, "end": b} for a, b in highlight_ranges(x, q)] for x, q in zip(label, folded)])
 
 
 def category_nearest(places: DataFrame, category: str, lon: float, lat: float, limit: int = 20) -> DataFrame:

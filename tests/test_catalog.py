@@ -57,6 +57,5 @@ def test_search_queries_equal_brute_force(spark):
     for q in asked:
         wide = fold(q + " Brand#11")
         found = [(d, -(r["p_size"] % 100), n) for r in parts if abs(len(wide) - len(fold(n := f"{r['p_name']} {r['p_brand']}"))) <= 3 and (d := near(wide, fold(n))) is not False]
-        if found:
-            want[q + " Brand#11"] = (min(found)[2], min(found)[0])
+        want[q + " Brand#11"] = (min(found)[2], min(found)[0]) if found else (None, None)
     assert {r["q"]: (r["name"], r["edits"]) for r in catalog.suggest_name(spark, SF).collect()} == want

@@ -63,7 +63,39 @@ def test_index_equals_scan(spark):
 def test_suggest(spark):
     names = spark.createDataFrame([("Edmonton", 5.0), ("Calgary", 9.0)], "name string, rank double")
     got = search.suggest(names, spark.createDataFrame([("calgray",), ("edmnton",), ("xx",)], "q string")).collect()
-    assert {tuple(x) for x in got} == {("calgray", "Calgary", 1), ("edmnton", "Edmonton", 1)}
+    assert {tuple(x) for x in got} == {("calgray", "Calgary", 1), ("edmnton", "Edmonton", 1), ("xx", None, None)}
+    ties = spark.createDataFrame([("Calgary", 9.0, 1.0, 1.0), ("Calgari", 9.0, 0.0, 0.0)], "name string, rank double, lon double, lat double")
+    got = search.suggest(ties, spark.createDataFrame([("calgarx",), ("ca",)], "q string"), near=(0.0, 0.0)).collect()
+    assert {tuple(x) for x in got} == {("calgarx", "Calgari", 1), ("ca", None, None)}
+
+
+def test_search_by_alternates_houses_and_importance(spark):
+    rows = [(1, "Main Street 123", 5.0, None, None, 0.5, "Main Street", "123"), (2, "Main Street", 5.0, ["Rue Principale"], None, None, None, None), (3, "Oak Street 123", 5.0, None, None, 2.0, "Oak Street", "123"), (4, "Principal Road", 1.0, [], None, None, None, None)]
+    gaz = spark.createDataFrame(rows, "id long, name string, rank double, alt array<string>, lon double, importance double, street string, house string").withColumn("lat", F.lit(None).cast("double"))
+    got = search.search(gaz, spark.createDataFrame([("123 main",), ("123",), ("rue principale",), ("principal",)], "q string"), near=(0.0, 0.0)).collect()
+    best = {(r["q"], r["place"]): (r["id"], r["score"]) for r in got}
+    assert best["123 main", 1] == (1, 930.0 - 2 * 0 + 50)
+    assert best["123", 1] == (3, 1000.0) and best["123", 2] == (1, 950.0)
+    assert best["rue principale", 1] == (2, 1005.0) and best["principal", 1] == (4, 796.0)
+
+
+def test_vocabulary_matches_equal_every_pair(spark):
+    import random
+
+    from meridian.functions.text import match
+
+    r = random.Random(5)
+    words = ["street", "st", "saint", "a", "ab", "north", "n", "12", "x" * 30, "x" * 28 + "yx"] + ["".join(r.choices("abcs", k=r.randrange(1, 9))) for _ in range(250)]
+    asked = words[::3] + ["stret", "sr", "nroth"]
+    frame = lambda c, ws: spark.createDataFrame([(w,) for w in ws], f"{c} string")
+    got = {tuple(x) for x in search.vocabulary_matches(frame("token", words), frame("qtok", asked)).collect()}
+    assert got == {(q, t) for q in asked for t in words if match(q, t)}
+
+
+def test_highlights(spark):
+    rows = [("Main Street", "st"), ("Saint Mary", "st mar"), ("Restaurant", "st"), ("Calgary", "calgry"), ("Élan Café", "cafe"), ("A b", "a")]
+    got = [[tuple(x) for x in r["ranges"]] for r in search.highlights(spark.createDataFrame(rows, "label string, q string")).collect()]
+    assert got == [[(5, 11)], [(0, 5), (6, 9)], [], [(0, 4)], [(5, 8)], []]
 
 
 def test_runs_split_at_missing_nodes(spark):
@@ -114,12 +146,3 @@ def test_polyline_round_trip():
 def test_runs_of_equal_tiles_cross_blocks(spark):
     df = spark.createDataFrame([(i, b"a") for i in range(4090, 8200)] + [(9000, b"a"), (9001, b"b")], "tile_id long, data binary")
     assert sorted((r[0], r[1]) for r in tiles.dedup_runs(df).collect()) == [(4090, 4110), (9000, 1), (9001, 1)]
-
-
-def test_query_tokens_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(search, "TOKEN_BLOCK", 7)
-    words = [f"{a}{b}" for a in ("north", "south", "lake", "par") for b in ("", "ern", "side", "k")]
-    asked = [*words[::2], "nroth", "laek", "zz"]
-    got = search.vocabulary_matches(spark.createDataFrame([(w,) for w in words * 2], "token string"), spark.createDataFrame([(q,) for q in asked * 2], "qtok string")).collect()
-    assert sorted(map(tuple, got)) == sorted((q, t) for q in asked for t in words if text.match(q, t))
