@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.geo import distance_bias, haversine
 from ..functions.text import EXPANSIONS, edit_distance, fold, forms, label_key, match, score_names, tokens, tolerance
 from ..storage import stage
+from .areas import in_boxes
 
 
 def postings(names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
@@ -233,13 +234,9 @@ def category_nearest(places: DataFrame, category: str, lon: float, lat: float, l
 
 
 def covering(points: DataFrame, boxes: DataFrame, cell: float = 0.5, by: Column | None = None) -> DataFrame:
-    """(point, box): the smallest box around each point, or that with the least by, ties to the smaller box id. Boxes are
-    dealt to grid cells."""
-    at = lambda c: F.floor(F.col(c) / cell).cast("long")
-    dealt = boxes.withColumn("cx", F.explode(F.sequence(at("west"), at("east")))).withColumn("cy", F.explode(F.sequence(at("south"), at("north"))))
-    inside: Column = (F.col("lon") >= F.col("west")) & (F.col("lon") <= F.col("east")) & (F.col("lat") >= F.col("south")) & (F.col("lat") <= F.col("north"))
-    hits = points.withColumn("cx", at("lon")).withColumn("cy", at("lat")).join(dealt, ["cx", "cy"]).filter(inside)
+    """(point, box): the smallest box around each point, or that with the least by, ties to the smaller box id."""
     least = (F.col("east") - F.col("west")) * (F.col("north") - F.col("south")) if by is None else by
+    hits = in_boxes(points.select("point", "lon", "lat"), boxes, cell)
     return hits.groupBy("point").agg(F.min(F.struct(least.alias("least"), "box")).alias("m")).select("point", "m.box")
 
 

@@ -29,10 +29,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import areas  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 
