@@ -41,6 +41,19 @@ def signed_turn(start: Column, end: Column) -> Column:
     return F.when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
 
 
+def damp_angle(start: Column, end: Column, ms: Column, tau: float = 450.0, rate: float = 45.0) -> Column:
+    """start moved towards end for ms: exponentially, by at most rate degrees a second; where it is if no time passes."""
+    delta, most = angle_delta(start, end), rate * ms / 1000
+    step = delta * (1 - F.exp(-ms / tau))
+    return F.when((ms <= 0) | (delta == 0), start).otherwise(start + F.when(step > most, most).when(step < -most, -most).otherwise(step))
+
+
+def damp_point(lon: Column, lat: Column, to_lon: Column, to_lat: Column, ms: Column, tau: float = 350.0) -> Column:
+    """Struct (lon, lat) moved exponentially towards another point for ms."""
+    a = F.when(ms <= 0, 0.0).otherwise(1 - F.exp(-ms / tau))
+    return F.struct((lon + (to_lon - lon) * a).alias("lon"), (lat + (to_lat - lat) * a).alias("lat"))
+
+
 def turn_kind(delta: Column) -> Column:
     """Null below 18 degrees, then slight, plain, sharp and u-turn from 18, 45, 115 and 150."""
     d, side = F.abs(delta), F.when(delta > 0, "right").otherwise("left")

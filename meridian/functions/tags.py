@@ -16,6 +16,12 @@ SPEED = {
 MIN_ZOOM = {"motorway": 0, "trunk": 0, "primary": 8, "secondary": 10, "tertiary": 12, "unclassified": 13, "residential": 13, "living_street": 14, "service": 15, "road": 13, "track": 15}
 GREEN = ("forest", "wood", "grass", "meadow", "park", "garden", "recreation_ground", "grassland", "scrub", "heath", "nature_reserve")
 IMPORTANCE = {"country": 0.75, "state": 0.65, "city": 0.55, "town": 0.45, "village": 0.38, "suburb": 0.32, "street": 0.25, "house": 0.12}
+NODE_KEYS = (
+    "name", "place", "amenity", "shop", "tourism", "leisure", "highway", "railway", "landuse", "natural", "waterway", "building",
+    "office", "craft", "healthcare", "aeroway", "historic", "man_made", "addr:housenumber", "addr:street",
+)
+DRAWN_KEYS = ("name", "addr:housenumber", "highway", "waterway", "water", "landuse", "leisure", "natural", "boundary")
+ALTERNATE_KEYS = ("alt_name", "official_name", "ref", "short_name")
 FORWARD, BACKWARD = 1, 2
 
 
@@ -113,3 +119,44 @@ def area_layer(tags: Column) -> Column:
 def house_number(text: Column) -> Column:
     """The whole number that a house number starts with, null if none."""
     return F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1).try_cast("long")
+
+
+def node_tags(tags: Column) -> Column:
+    """The tags worth keeping on a node."""
+    return keep_keys(tags, NODE_KEYS)
+
+
+def interesting(tags: Column) -> Column:
+    """Whether an element is drawn or searched for; false for null."""
+    return F.coalesce(any_key(tags, DRAWN_KEYS), F.lit(False))
+
+
+def alternates(tags: Column, name: Column) -> Column:
+    """Other names, each once and in order: names in languages, official, short and alternative ones, references."""
+    other = F.map_filter(tags, lambda k, v: F.startswith(k, F.lit("name:")) | k.isin(*ALTERNATE_KEYS))
+    found = F.flatten(F.transform(F.map_values(other), lambda v: F.split(v, ";")))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda v: v != name)))
+
+
+def routable(tags: Column, served: bool) -> Column:
+    """Whether a way counts as routable: for the service any highway, for a client one that cars may use."""
+    return F.coalesce(tags["highway"].isNotNull() if served else speed(tags) > 0, F.lit(False))
+
+
+PLACES = ("city", "town", "village", "suburb", "neighbourhood", "hamlet", "country", "state")
+
+
+def search_type(kind: Column, osm: Column) -> Column:
+    """Struct (label, icon) of a hit by its kind, a point of interest's by the value after the slash of its tag."""
+    start = lambda c: F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
+    make = lambda label, icon: F.struct((F.lit(label) if isinstance(label, str) else label).alias("label"), F.lit(icon).alias("icon"))
+    rest = F.replace(F.coalesce(F.get(F.split(osm, "/"), 1), kind, F.lit("Place")), F.lit("_"), F.lit(" "))
+    fixed = F.when(kind.isin(*PLACES), make(start(kind), "city")).when(kind == "street", make("Street", "street")).when(kind.isin("house", "address"), make("Address", "address"))
+    return fixed.when(kind == "water", make("Water", "water")).when(kind == "area", make("Area", "area")).otherwise(make(start(rest), "poi"))
+
+
+def search_context(label: Column, city: Column, state: Column, country: Column, region: Column) -> Column:
+    """The line under a hit: its label, then where it lies, each name once; the region's name if nothing else is known."""
+    where = F.array_distinct(F.filter(F.array(city, state, country), lambda c: c.isNotNull() & (c != "")))
+    lies = F.when(F.size(where) > 0, where).otherwise(F.filter(F.array(region), lambda c: c.isNotNull() & (c != "")))
+    return F.array_join(F.concat(F.array(label), lies), " · ")

@@ -6,11 +6,13 @@ is an equi-join on the route followed by an aggregate that combines before the s
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.geo import half_up, haversine, mercator, project
+from ..functions.geo import M_PER_DEG, bearing, half_up, haversine, mercator, normalise_bearing, project
 
 
 def measured(line: DataFrame) -> DataFrame:
@@ -129,3 +131,132 @@ def merge_streets(runs: DataFrame) -> DataFrame:
     spot = F.struct(*order, (F.col("fx") + t * (F.col("lon") - F.col("fx"))).alias("lon"), (F.col("fy") + t * (F.col("lat") - F.col("fy"))).alias("lat"))
     found = r.groupBy(*street).agg(F.min(F.struct(*order, "name")).alias("first"), F.countDistinct("way").alias("ways"), F.sum("metres").alias("metres"), F.min(F.when(mid, spot)).alias("spot"))
     return found.select(*street, F.col("first.name").alias("name"), "ways", "metres", "spot.lon", "spot.lat")
+
+
+def vertex_at(line: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (id, route, metres): (id, pos) of the vertex nearest to that distance along the route; of two equally near the
+    later. Routes of one vertex answer it."""
+    cut = pieces(line).withColumnRenamed("metres", "size").withColumn("total", F.max(F.col("start") + F.col("size")).over(Window.partitionBy("route")))
+    hits = asked.join(cut, "route").withColumn("at", F.greatest(F.lit(0.0), F.least("metres", "total")))
+    first = hits.filter(F.col("start") + F.col("size") >= F.col("at")).groupBy("id").agg(F.min(F.struct("pos", (F.col("at") - F.col("start")).alias("into"), "size")).alias("s"))
+    found = first.select("id", (F.col("s.pos") + F.when(F.col("s.into") < F.col("s.size") - F.col("s.into"), 0).otherwise(1)).alias("pos"))
+    return asked.select("id").join(found, "id", "left").select("id", F.coalesce("pos", F.lit(0)).alias("pos"))
+
+
+def heading_along(line: DataFrame, asked: DataFrame, window: float = 45.0, ends: float = 5.0) -> DataFrame:
+    """asked (id, route, metres): (id, heading) from 0 to 360 of the chord window metres to both sides of that place. Within
+    ends metres of either end it is that of the first or last ends metres, of its segment if that is shorter."""
+    rows = Window.partitionBy("route")
+    cut = pieces(line).withColumn("total", F.max(F.col("start") + F.col("metres")).over(rows))
+    size = cut.groupBy("route").agg(F.max("total").alias("total"), F.min_by("metres", "pos").alias("head"), F.max_by("metres", "pos").alias("tail"))
+    at = F.greatest(F.lit(0.0), F.least("metres", "total"))
+    edge = lambda seg: F.least(F.lit(ends), F.when(F.col(seg) > 0, F.col(seg)).otherwise(F.lit(ends)), "total")
+    low = F.when(F.col("at") <= ends, 0.0).when(F.col("total") - F.col("at") <= ends, F.col("total") - edge("tail")).otherwise(F.greatest(F.lit(0.0), F.col("at") - window))
+    high = F.when(F.col("at") <= ends, edge("head")).when(F.col("total") - F.col("at") <= ends, F.col("total")).otherwise(F.least("total", F.col("at") + window))
+    spans = asked.join(size.filter("total > 0"), "route").withColumn("at", at)
+    places = spans.select("id", "route", F.explode(F.array(F.struct(F.lit(0).alias("end"), low.alias("metres")), F.struct(F.lit(1).alias("end"), high.alias("metres")))).alias("p"))
+    places = place_at(line, places.select(F.struct("id", "p.end").alias("id"), "route", "p.metres"))
+    both = places.groupBy(F.col("id.id").alias("id")).agg(*(F.max(F.when(F.col("id.end") == e, F.struct("lon", "lat"))).alias(n) for e, n in ((0, "a"), (1, "b"))))
+    turn = normalise_bearing(bearing(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat")))
+    return asked.select("id").join(both, "id", "left").select("id", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce(turn, F.lit(0.0))).alias("heading"))
+
+
+def kept_vertices(xy: np.ndarray, tolerance: float) -> np.ndarray:
+    """Whether each vertex stays: a stretch keeps its farthest vertex while that lies beyond the tolerance of its chord."""
+    keep, stack = np.zeros(len(xy), bool), [(0, len(xy) - 1)]
+    keep[[0, -1]] = True
+    while stack:
+        i, j = stack.pop()
+        if j - i < 2:
+            continue
+        a, d, p = xy[i], xy[j] - xy[i], xy[i + 1 : j] - xy[i]
+        size = d @ d
+        t = np.clip(p @ d / size, 0, 1) if size else np.zeros(len(p))
+        far = np.hypot(*(p - t[:, None] * d).T)
+        k = int(far.argmax())
+        if far[k] > tolerance:
+            keep[i + 1 + k] = True
+            stack += [(i, i + 1 + k), (i + 1 + k, j)]
+    return keep
+
+
+def simplified(line: DataFrame, metres: float) -> DataFrame:
+    """The vertices of line (route, pos, lon, lat) that Douglas and Peucker's method keeps, distances taken in degrees.
+
+    A route is simplified as a whole in one task, in 24 bytes a vertex.
+    """
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        return group[kept_vertices(group[["lon", "lat"]].to_numpy(float), metres / M_PER_DEG)]
+
+    rows = line.select("route", "pos", "lon", "lat")
+    return rows.groupBy("route").applyInPandas(run, rows.schema)
+
+
+def same_lines(a: DataFrame, b: DataFrame, within: float = 1e-5, samples: int = 20) -> DataFrame:
+    """(route, same): whether the lines of a route in a and b have as many vertices and agree at about samples of them."""
+    n = F.count("*").over(Window.partitionBy("route"))
+    left, right = (df.select("route", "pos", F.col("lon").alias(f"{k}x"), F.col("lat").alias(f"{k}y"), n.alias(f"{k}n")) for df, k in ((a, "a"), (b, "b")))
+    both = left.join(right, ["route", "pos"], "full")
+    near = (F.abs(F.col("ax") - F.col("bx")) <= within) & (F.abs(F.col("ay") - F.col("by")) <= within)
+    asked = F.col("pos") % F.greatest(F.lit(1), F.floor(F.coalesce("an", "bn") / samples)) == 0
+    return both.groupBy("route").agg((F.every(F.coalesce(F.col("an") == F.col("bn"), F.lit(False))) & F.every(~asked | F.coalesce(near, F.lit(False)))).alias("same"))
+
+
+def clipped(line: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """line (route, pos, x, y) inside a rectangle: (route, part, pos, x, y). A segment is cut where it crosses the border
+    (Liang and Barsky's bounds, all in columns); a part ends where the line leaves the rectangle."""
+    order = Window.partitionBy("route").orderBy("pos")
+    cut = line.select("route", "pos", F.col("x").cast("double").alias("ax"), F.col("y").cast("double").alias("ay")).withColumns({"bx": F.lead("ax").over(order), "by": F.lead("ay").over(order)}).filter("bx IS NOT NULL")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    sides = [(-dx, F.col("ax") - west), (dx, east - F.col("ax")), (-dy, F.col("ay") - south), (dy, north - F.col("ay"))]
+    enter = F.greatest(F.lit(0.0), *(F.when(p < 0, q / F.nullif(p, F.lit(0.0))) for p, q in sides))
+    leave = F.least(F.lit(1.0), *(F.when(p > 0, q / F.nullif(p, F.lit(0.0))) for p, q in sides))
+    outside = F.greatest(*(F.when((p == 0) & (q < 0), 1).otherwise(0) for p, q in sides)) == 1
+    cut = cut.withColumns({"t": enter, "u": leave}).filter(~outside & (F.col("t") <= F.col("u")) & ((F.col("t") < F.col("u")) | ((dx == 0) & (dy == 0))))
+    new = ~F.coalesce((F.col("t") == 0) & (F.lag("u").over(order) == 1) & (F.lag("pos").over(order) == F.col("pos") - 1), F.lit(False))
+    cut = cut.withColumn("part", F.sum(new.cast("int")).over(order) - 1).withColumn("new", new)
+    at = lambda t: F.struct((F.col("ax") + t * dx).alias("x"), (F.col("ay") + t * dy).alias("y"))
+    ends = F.when(F.col("new"), F.array(at(F.col("t")), at(F.col("u")))).otherwise(F.array(at(F.col("u"))))
+    points = cut.select("route", "part", "pos", F.posexplode(ends).alias("k", "p"))
+    return points.select("route", "part", (F.row_number().over(Window.partitionBy("route", "part").orderBy("pos", "k")) - 1).alias("pos"), "p.x", "p.y")
+
+
+def clip_ring(ring: list[tuple[float, float]], west: float, south: float, east: float, north: float) -> list[tuple[float, float]]:
+    """An open ring inside a rectangle, cut side by side; parts of a ring that leaves and comes back are joined along the
+    border, which has no area."""
+    for axis, bound, sign in ((0, west, 1), (0, east, -1), (1, south, 1), (1, north, -1)):
+        out = []
+        for k, b in enumerate(ring):
+            a = ring[k - 1]
+            inside = [sign * (p[axis] - bound) >= 0 for p in (a, b)]
+            if inside[0] != inside[1]:
+                t = (bound - a[axis]) / (b[axis] - a[axis])
+                out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+            if inside[1]:
+                out.append(b)
+        ring = out
+    return ring
+
+
+def clipped_rings(ring: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """ring (route, pos, x, y), open: its part inside a rectangle, in the same columns; rings outside have no rows."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        found = clip_ring(list(zip(group["x"], group["y"])), west, south, east, north)
+        return pd.DataFrame({"route": group["route"].iloc[0], "pos": range(len(found)), "x": [p[0] for p in found], "y": [p[1] for p in found]})
+
+    rows = ring.select("route", F.col("pos").cast("int").alias("pos"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return rows.groupBy("route").applyInPandas(run, rows.schema)
+
+
+def wound(ring: DataFrame) -> DataFrame:
+    """ring (route, pos, x, y, outer), open or closed, as map tiles want it: open, outer rings with a positive area on a grid
+    whose y goes down, holes with a negative one; rings with an area under 4 have no rows."""
+    rows = Window.partitionBy("route")
+    order = rows.orderBy("pos")
+    first, last = F.first(F.struct("x", "y")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.max("pos").over(rows)
+    opened = ring.withColumns({"first": first, "last": last}).filter((F.col("pos") < F.col("last")) | (F.col("first") != F.struct("x", "y")) | (F.col("last") == 0))
+    areas = ring_areas(opened.select("route", "pos", "x", "y")).select("route", "area2")
+    turned = opened.join(areas, "route").withColumn("place", F.when((F.col("area2") > 0) == F.col("outer"), F.col("pos")).otherwise(-F.col("pos")))
+    return turned.select("route", (F.row_number().over(rows.orderBy("place")) - 1).alias("pos"), "x", "y", "outer")
