@@ -103,7 +103,7 @@ def encode_polyline(points: list[tuple[float, float]], digits: int = 6) -> str:
 
 
 def decode_polyline(text: str, digits: int = 6) -> list[tuple[float, float]]:
-    """The (lon, lat) points of a polyline; a truncated or foreign string raises ValueError."""
+    """The (lon, lat) points of a polyline; a truncated or foreign string, or one with places off the earth, raises ValueError."""
     def numbers() -> Iterator[int]:
         n = shift = 0
         for c in text:
@@ -123,15 +123,17 @@ def decode_polyline(text: str, digits: int = 6) -> list[tuple[float, float]]:
         raise ValueError("truncated polyline")
     for a, b in zip(found[::2], found[1::2]):
         lat, lon = lat + a, lon + b
+        if abs(lat) > 90 * 10**digits or abs(lon) > 180 * 10**digits:
+            raise ValueError("coordinates out of range")
         points.append((lon / 10**digits, lat / 10**digits))
     return points
 
 
 @F.pandas_udf(T.StringType())
 def polyline(points: pd.Series) -> pd.Series:
-    return pd.Series([encode_polyline([(p["lon"], p["lat"]) for p in ps]) for ps in points])
+    return pd.Series([None if ps is None else encode_polyline([(p["lon"], p["lat"]) for p in ps]) for ps in points])
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("lon", T.DoubleType()).add("lat", T.DoubleType())))
 def from_polyline(text: pd.Series) -> pd.Series:
-    return pd.Series([[{"lon": a, "lat": b} for a, b in decode_polyline(t)] for t in text])
+    return pd.Series([None if t is None else [{"lon": a, "lat": b} for a, b in decode_polyline(t)] for t in text])
