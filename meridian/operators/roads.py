@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import haversine
 from ..storage import delete, shared_dir, stage, unstage
+from .areas import in_boxes
 from .graph import linked
 
 
@@ -128,3 +129,80 @@ def nearest(queries: DataFrame, nodes: DataFrame, cell: float = 0.002, rings: in
     n = nodes.select("node", "lon", "lat", at("lon").alias("cx"), at("lat").alias("cy"))
     d = haversine(F.col("qlon"), F.col("qlat"), F.col("lon"), F.col("lat"))
     return q.join(n, ["cx", "cy"]).withColumn("metres", d).groupBy("query").agg(F.min(F.struct("metres", "node")).alias("m")).select("query", "m.node", "m.metres")
+
+
+def paths(tree: DataFrame, asked: DataFrame) -> DataFrame:
+    """(route, pos, node, cost): the nodes from source to goal of asked (route, source, goal), along a tree (source, node,
+    cost, before) of shortest_tree(). Goals that a source does not reach have no rows; a goal that is the source has one.
+
+    Steps towards the source are doubled in each round, so a path of n nodes takes log n rounds.
+    """
+    jump = tree.filter("before IS NOT NULL").select("source", "node", F.col("before").alias("to"))
+    reached = asked.join(tree.select("source", F.col("node").alias("goal")), ["source", "goal"], "left_semi")
+    found = stage(reached.select("route", "source", F.col("goal").alias("node")), "paths")
+    jump = stage(jump, "jumps")
+    while True:
+        more = found.join(jump, ["source", "node"]).select("route", "source", F.col("to").alias("node"))
+        if more.isEmpty():
+            break
+        grown = stage(found.unionByName(more).distinct(), "paths")
+        further = jump.alias("a").join(jump.alias("b"), (F.col("a.source") == F.col("b.source")) & (F.col("a.to") == F.col("b.node"))).select("a.source", "a.node", F.col("b.to").alias("to"))
+        doubled = stage(further, "jumps")
+        unstage(found, jump)
+        found, jump = grown, doubled
+    unstage(jump)
+    order = Window.partitionBy("route").orderBy("cost", "node")
+    placed = found.join(tree.select("source", "node", "cost"), ["source", "node"])
+    return placed.select("route", (F.row_number().over(order) - 1).alias("pos"), "node", "cost")
+
+
+def route_lines(path: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(route, pos, node, lon, lat) of paths; a route that starts where it ends has its point twice, so that it is a line."""
+    line = path.join(nodes.select("node", "lon", "lat"), "node")
+    alone = line.withColumn("n", F.count("*").over(Window.partitionBy("route"))).filter("n = 1").withColumn("pos", F.col("pos") + 1).drop("n")
+    return line.unionByName(alone).select("route", "pos", "node", "lon", "lat")
+
+
+def route_summaries(path: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(route, metres, seconds, points) of paths."""
+    line = route_lines(path, nodes)
+    order = Window.partitionBy("route").orderBy("pos")
+    step = F.coalesce(haversine(F.lag("lon").over(order), F.lag("lat").over(order), F.col("lon"), F.col("lat")), F.lit(0.0))
+    metres = line.withColumn("step", step).groupBy("route").agg(F.sum("step").alias("metres"), F.count("*").alias("points"))
+    return metres.join(path.groupBy("route").agg(F.max("cost").alias("seconds")), "route").select("route", "metres", "seconds", "points")
+
+
+def penalties(nodes: DataFrame, junction: Column, seconds: float) -> DataFrame:
+    """(node, penalty): the seconds that passing a node costs, those of junctions not."""
+    return nodes.select("node", F.when(junction, 0.0).otherwise(seconds).alias("penalty"))
+
+
+def region_plans(trips: DataFrame, boxes: DataFrame) -> DataFrame:
+    """trips (trip, from_lon, from_lat, to_lon, to_lat) with plan: 'single' and the smallest region that holds both ends,
+    'merged' and the regions that hold either, or null where an end lies in none. boxes are (region, west, south, east, north).
+    """
+    ends = trips.select("trip", F.explode(F.array(*(F.struct(F.lit(e).alias("end"), F.col(f"{e}_lon").alias("lon"), F.col(f"{e}_lat").alias("lat")) for e in ("from", "to")))).alias("p")).select("trip", "p.*")
+    hits = in_boxes(ends, boxes, 0.05).withColumn("area", (F.col("east") - F.col("west")) * (F.col("north") - F.col("south")))
+    by = hits.groupBy("trip", "region").agg(F.countDistinct("end").alias("ends"), F.first("area").alias("area"))
+    both = by.filter("ends = 2").groupBy("trip").agg(F.min(F.struct("area", "region")).alias("one"))
+    any_ = hits.groupBy("trip").agg(F.countDistinct("end").alias("ends"), F.array_sort(F.collect_set("region")).alias("regions"))
+    found = trips.select("trip").join(any_, "trip", "left").join(both, "trip", "left")
+    plan = F.when(F.col("one").isNotNull(), "single").when(F.col("ends") == 2, "merged")
+    chosen = F.when(F.col("one").isNotNull(), F.array("one.region")).when(F.col("ends") == 2, F.col("regions"))
+    return found.select("trip", plan.alias("plan"), chosen.alias("regions"))
+
+
+def adjacent(boxes: DataFrame, gap: float) -> DataFrame:
+    """(a, b), a < b: pairs of boxes (region, west, south, east, north) at most gap degrees apart in either direction; they
+    touch or overlap where the gap is 0. Boxes meet in the cells they reach, so far ones never do."""
+    wide = boxes.select("region", *((F.col(c) + s * gap / 2).alias(c) for c, s in (("west", -1), ("south", -1), ("east", 1), ("north", 1))))
+    cell = 1.0
+    dealt = wide.withColumn("cx", F.explode(F.sequence(F.floor(F.col("west") / cell), F.floor(F.col("east") / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("south") / cell), F.floor(F.col("north") / cell))))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    near = (F.col("a.west") <= F.col("b.east")) & (F.col("b.west") <= F.col("a.east")) & (F.col("a.south") <= F.col("b.north")) & (F.col("b.south") <= F.col("a.north"))
+    return a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.region") < F.col("b.region"))).filter(near).select(F.col("a.region").alias("a"), F.col("b.region").alias("b")).distinct()
+
+
+def plan_list(head: Column, tail: Column, barred: Column) -> Column:
+    """Engines to try in order: the head, then the tail without what the head has, both without barred ones."""
+    return F.array_except(F.concat(head, F.array_except(tail, head)), barred)
