@@ -161,17 +161,21 @@ def speed_table(spark, d):
 def way_refs(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     refs = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    return refs.select(F.col("l_orderkey").alias("way"), (F.row_number().over(order) - 1).alias("pos"), F.col("l_partkey").alias("node"))
+    return refs.select(F.col("l_orderkey").alias("way"), (F.row_number().over(order) - 1).alias("pos"), known(F.col("l_partkey")).alias("node"))
+
+
+def known(k: Column) -> Column:
+    """References to parts that 7 divides point nowhere: they are negated."""
+    return F.when(k % 7 == 0, -k).otherwise(k)
 
 
 def way_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Parts whose key is not a multiple of 7 exist; the others are missing references."""
     k = F.col("p_partkey")
-    return read(spark, d, "part").filter(k % 7 != 0).select(k.alias("node"), lon(k).alias("lon"), lat(k).alias("lat"))
+    return read(spark, d, "part").select(k.alias("node"), lon(k).alias("lon"), lat(k).alias("lat"))
 
 
-WAYS = """refs AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS pos, l_partkey AS node FROM lineitem),
-n AS (SELECT p_partkey AS node, -114.0 + (p_partkey % 100) * 0.003::DOUBLE AS lon, 51.0 + (p_partkey // 100) * 0.002::DOUBLE AS lat FROM part WHERE p_partkey % 7 <> 0),
+WAYS = """refs AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS pos, CASE WHEN l_partkey % 7 = 0 THEN -l_partkey ELSE l_partkey END AS node FROM lineitem),
+n AS (SELECT p_partkey AS node, -114.0 + (p_partkey % 100) * 0.003::DOUBLE AS lon, 51.0 + (p_partkey // 100) * 0.002::DOUBLE AS lat FROM part),
 j AS (SELECT way, pos, refs.node, lon, lat, sum(CASE WHEN lon IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY way ORDER BY pos) AS run FROM refs LEFT JOIN n USING (node)),
 r AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY way, run) AS k FROM j WHERE lon IS NOT NULL) WHERE k >= 2),
 """ + f"""s AS (SELECT way, run, pos, node AS src, nn AS dst, {hav('lon', 'lat', 'nlon', 'nlat')} AS metres FROM (SELECT *, lead(node) OVER w AS nn, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat FROM r WINDOW w AS (PARTITION BY way, run ORDER BY pos)) WHERE nn IS NOT NULL),
@@ -398,15 +402,15 @@ def sorted_check(spark, d):
     return way_refs(spark, d).withColumn("before", F.lag("node").over(order)).filter("before > node").groupBy(F.col("way").alias("l_orderkey")).agg(F.count("*").alias("violations"))
 
 
-@query("WITH u AS (SELECT c_custkey AS id, c_acctbal AS v, 0 AS input FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, -c_acctbal, 1 FROM customer WHERE c_custkey % 3 = 0) SELECT id, arg_min(v, input) AS v, min(input)::INT AS input FROM u GROUP BY id")
+@query("WITH u AS (SELECT c_custkey * 2 AS id, c_acctbal AS v, 0 AS input FROM customer UNION ALL SELECT c_custkey * 3, -c_acctbal, 1 FROM customer) SELECT id, arg_min(v, input) AS v, min(input)::INT AS input FROM u GROUP BY id")
 def union_dedup(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
-    both = c.filter("id % 2 = 0").withColumn("input", F.lit(0)).unionByName(c.filter("id % 3 = 0").withColumns({"v": -F.col("v"), "input": F.lit(1)}))
+    both = c.withColumns({"id": F.col("id") * 2, "input": F.lit(0)}).unionByName(c.withColumns({"id": F.col("id") * 3, "v": -F.col("v"), "input": F.lit(1)}))
     return both.groupBy("id").agg(F.min_by("v", "input").alias("v"), F.min("input").alias("input"))
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) > 1)")
-def bundle_integrity(spark, d):
+def equal_contents(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
     twice = docs.groupBy("sha256").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     return docs.join(twice, "sha256", "left_semi").select("doc_id", "sha256", "bytes")
@@ -508,10 +512,10 @@ def tile_cover(spark, d):
     return tiles.cover(boxes, 14)
 
 
-@query("WITH t AS (SELECT c_custkey AS tile_id, sha256((c_custkey // 7 % 3)::VARCHAR) AS h FROM customer WHERE c_custkey % 50 <> 0), g AS (SELECT *, tile_id - row_number() OVER (PARTITION BY h ORDER BY tile_id) AS grp FROM t) SELECT min(tile_id) AS first_id, count(*) AS run_length, h AS hash FROM g GROUP BY h, grp")
+@query("WITH t AS (SELECT c_custkey + c_custkey // 50 AS tile_id, sha256((c_custkey // 7 % 3)::VARCHAR) AS h FROM customer), g AS (SELECT *, tile_id - row_number() OVER (PARTITION BY h ORDER BY tile_id) AS grp FROM t) SELECT min(tile_id) AS first_id, count(*) AS run_length, h AS hash FROM g GROUP BY h, grp")
 def tile_dedup_rle(spark, d):
     k = F.col("c_custkey")
-    t = read(spark, d, "customer").filter(k % 50 != 0).select(k.alias("tile_id"), (F.floor(k / 7) % 3).cast("string").cast("binary").alias("data"))
+    t = read(spark, d, "customer").select((k + F.floor(k / 50)).alias("tile_id"), (F.floor(k / 7) % 3).cast("string").cast("binary").alias("data"))
     return tiles.dedup_runs(t)
 
 
@@ -657,14 +661,17 @@ def nation_boxes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "nation").select(k.alias("box"), west.alias("west"), south.alias("south"), (west + 0.05 + k * 0.0013).alias("east"), (south + 0.005 + k * 0.00013).alias("north"))
 
 
-@query(f"""WITH {NATION_BOX}, p AS (SELECT a.box AS a, b.box AS b, least(a.east, b.east) - greatest(a.west, b.west) AS w, least(a.north, b.north) - greatest(a.south, b.south) AS h, (a.east - a.west) * (a.north - a.south) AS area FROM nation_box a JOIN nation_box b ON b.box = a.box + 1 OR b.box = a.box + 5)
-SELECT a, b, round(CASE WHEN w > 0 AND h > 0 THEN w * h / area ELSE 0.0 END, 6) AS share FROM p""")
+@query(f"""WITH {NATION_BOX}, p AS (SELECT a.box AS a, b.box AS b, least(a.east, b.east) - greatest(a.west, b.west) AS w, least(a.north, b.north) - greatest(a.south, b.south) AS h, (a.east - a.west) * (a.north - a.south) AS area FROM nation_box a JOIN nation_box b ON a.box <> b.box)
+SELECT a, b, round(w * h / area, 6) AS share FROM p WHERE w > 0 AND h > 0""")
 def box_overlap(spark, d):
+    """The share of each box that another covers, of all pairs that overlap."""
     names = ("west", "south", "east", "north")
-    boxes = nation_boxes(spark, d).withColumnRenamed("box", "a")
-    other = boxes.select(F.col("a").alias("b"), *(F.col(c).alias(f"o_{c}") for c in names))
-    near = boxes.withColumn("b", F.explode(F.array(F.col("a") + 1, F.col("a") + 5))).join(other, "b")
-    return near.select("a", "b", F.round(geo.overlap_share([F.col(c) for c in names], [F.col(f"o_{c}") for c in names]), 6).alias("share"))
+    boxes = nation_boxes(spark, d)
+    near = roads.adjacent(boxes.withColumnRenamed("box", "region"), 0.0)
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = both.join(boxes.withColumnRenamed("box", "a"), "a").join(boxes.select(F.col("box").alias("b"), *(F.col(c).alias(f"o_{c}") for c in names)), "b")
+    share = geo.overlap_share([F.col(c) for c in names], [F.col(f"o_{c}") for c in names])
+    return pairs.select("a", "b", F.round(share, 6).alias("share")).filter(share > 0)
 
 
 @query("""WITH t AS (SELECT p_partkey AS k, p_name AS name, CASE WHEN p_partkey % 9 = 0 THEN p_size || 'A' END AS house, CASE WHEN p_partkey % 4 = 1 THEN 'town' END AS place, CASE WHEN p_partkey % 5 = 2 THEN 'primary' END AS highway,

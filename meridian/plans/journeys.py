@@ -246,8 +246,8 @@ def tagged_ways(spark, d):
     return refs.join(named, "way").select("way", "refs", made.alias("tags"))
 
 
-@query(f"""WITH refs AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS pos, l_partkey AS node FROM lineitem),
-n AS (SELECT p_partkey AS node, -114.0 + (p_partkey % 100) * 0.003::DOUBLE AS lon, 51.0 + (p_partkey // 100) * 0.002::DOUBLE AS lat FROM part WHERE p_partkey % 7 <> 0),
+@query(f"""WITH refs AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS pos, CASE WHEN l_partkey % 7 = 0 THEN -l_partkey ELSE l_partkey END AS node FROM lineitem),
+n AS (SELECT p_partkey AS node, -114.0 + (p_partkey % 100) * 0.003::DOUBLE AS lon, 51.0 + (p_partkey // 100) * 0.002::DOUBLE AS lat FROM part),
 b AS (SELECT way, row_number() OVER (PARTITION BY way ORDER BY pos) - 1 AS pos, lon, lat FROM refs JOIN n USING (node)), w AS (SELECT o_orderkey AS way, o_orderpriority AS name FROM orders WHERE o_orderkey IN (SELECT way FROM refs)),
 g AS (SELECT *, CASE WHEN lag(lon) OVER o IS NOT NULL THEN {hav('lag(lon) OVER o', 'lag(lat) OVER o', 'lon', 'lat')} END AS metres FROM b WINDOW o AS (PARTITION BY way ORDER BY pos)),
 s AS (SELECT way, pos, greatest(1, floor(metres / 25 + 0.5))::BIGINT AS steps FROM g WHERE metres IS NOT NULL), c AS (SELECT way, (sum(steps) OVER (PARTITION BY way ORDER BY pos ROWS UNBOUNDED PRECEDING) - steps)::BIGINT AS before, steps FROM s),
