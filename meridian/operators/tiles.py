@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,31 +61,67 @@ def _field(number: int, body: bytes) -> bytes:
     return _varint(number << 3 | 2) + _varint(len(body)) + body
 
 
-def encode_layer(name: str, features: list[tuple[str, list[tuple[int, int]], bool]], extent: int = 4096) -> bytes:
-    """A version 2 vector-tile layer of lines and polygons with a class each."""
-    values, body = {}, _field(1, name.encode())
-    for kind, points, polygon in features:
-        x0, y0 = 0, 0
-        geometry = []
-        for k, (x, y) in enumerate(points):
-            geometry += [9] if k == 0 else [len(points) - 1 << 3 | 2] if k == 1 else []
-            geometry += [_zigzag(x - x0), _zigzag(y - y0)]
-            x0, y0 = x, y
-        geometry += [15] if polygon else []
-        tags = _varint(0) + _varint(values.setdefault(kind, len(values)))
-        body += _field(2, _field(2, tags) + _varint(3 << 3) + _varint(3 if polygon else 2) + _field(4, b"".join(map(_varint, geometry))))
-    body += _field(3, b"class") + b"".join(_field(4, _field(1, v.encode())) for v in values)
-    return _field(3, body + _varint(5 << 3) + _varint(extent) + _varint(15 << 3) + _varint(2))
+def _geometry(paths: list, polygon: bool) -> bytes:
+    """Commands of a feature's paths, each from where the one before ended; paths with too few points are left out."""
+    out, x0, y0 = [], 0, 0
+    for path in paths:
+        if len(path) < (3 if polygon else 2):
+            continue
+        for k, p in enumerate(path):
+            out += [9] if k == 0 else [len(path) - 1 << 3 | 2] if k == 1 else []
+            out += [_zigzag(p["x"] - x0), _zigzag(p["y"] - y0)]
+            x0, y0 = p["x"], p["y"]
+        out += [15] if polygon else []
+    return b"".join(map(_varint, out))
 
 
-def encode_tiles(features: DataFrame) -> DataFrame:
-    """features (tile_id, layer, class, points array<struct<x:int,y:int>>, polygon): (tile_id, data) with layers by name."""
+@F.arrow_udf(T.BinaryType())
+def _feature(kind: pa.Array, name: pa.Array, polygon: pa.Array, paths: pa.Array) -> pa.Array:
+    made = []
+    for k, n, area, parts in zip(*(c.to_pylist() for c in (kind, name, polygon, paths))):
+        tags = _varint(0) + _varint(k) + (b"" if n is None else _varint(1) + _varint(n))
+        made.append(_field(2, _field(2, tags) + _varint(3 << 3) + _varint(3 if area else 2) + _field(4, _geometry(parts, area))))
+    return pa.array(made, pa.binary())
+
+
+@F.arrow_udf(T.BinaryType())
+def _layer(name: pa.Array, features: pa.Array, values: pa.Array) -> pa.Array:
+    made = []
+    for n, parts, words in zip(*(c.to_pylist() for c in (name, features, values))):
+        body = _field(1, n.encode()) + b"".join(parts) + _field(3, b"class") + _field(3, b"name") + b"".join(_field(4, _field(1, v.encode())) for v in words)
+        made.append(_field(3, body + _varint(5 << 3) + _varint(EXTENT) + _varint(15 << 3) + _varint(2)))
+    return pa.array(made, pa.binary())
+
 
-    def encode(group: pd.DataFrame) -> pd.DataFrame:
-        layers = b"".join(encode_layer(n, [(r["class"], [(p["x"], p["y"]) for p in r["points"]], bool(r["polygon"])) for _, r in g.iterrows()]) for n, g in group.groupby("layer", sort=True))
-        return pd.DataFrame({"tile_id": [group["tile_id"].iloc[0]], "data": [layers]})
+@F.arrow_udf(T.BinaryType())
+def _joined(parts: pa.Array) -> pa.Array:
+    return pa.array([b"".join(x) for x in parts.to_pylist()], pa.binary())
 
-    return features.groupBy("tile_id").applyInPandas(encode, "tile_id long, data binary")
+
+#: Steps of a tile's grid.
+EXTENT = 4096
+
+
+def encode_tiles(features: DataFrame) -> DataFrame:
+    """features (tile_id, layer, seq, class, name, paths array<array<struct<x:int,y:int>>>, polygon): (tile_id, data), version
+    2 vector tiles with layers by name and features by seq, an order of a layer's own.
+
+    A layer's words are numbered in the order in which they come first, by a window over its distinct words; features are
+    encoded row by row, so that only their bytes meet in a tile, which is one value in the end. A null name is no name.
+    """
+    rows = features.withColumn("name", F.coalesce("name", F.lit("")))
+    layer = ["tile_id", "layer"]
+    said = rows.select(*layer, F.posexplode(F.array("class", "name")).alias("at", "word"), "seq").groupBy(*layer, "word").agg(F.min(F.struct("seq", "at")).alias("first"))
+    words = said.withColumn("number", F.row_number().over(Window.partitionBy(*layer).orderBy("first")) - 1)
+    number = lambda word: words.select(*layer, F.col("word").alias(word), F.col("number").alias(f"{word}_id"))
+    numbered = rows.join(number("class"), [*layer, "class"]).join(number("name"), [*layer, "name"])
+    named = F.when(F.col("name") != "", F.col("name_id"))
+    encoded = numbered.select(*layer, "seq", _feature("class_id", named, "polygon", "paths").alias("bytes"))
+    listed = lambda order, value: F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
+    parts = encoded.groupBy(*layer).agg(listed("seq", "bytes").alias("parts"))
+    whole = parts.join(words.groupBy(*layer).agg(listed("number", "word").alias("words")), layer)
+    layers = whole.select("tile_id", "layer", _layer("layer", "parts", "words").alias("bytes"))
+    return layers.groupBy("tile_id").agg(listed("layer", "bytes").alias("layers")).select("tile_id", _joined("layers").alias("data"))
 
 
 def encode_polyline(points: list[tuple[float, float]], digits: int = 6) -> str:

@@ -529,9 +529,11 @@ def polyline_roundtrip(spark, d):
 @query()
 def mvt_encode(spark, d):
     at = tiles.points_to_tiles(grid(spark, d), 12)
-    ring = F.array(*(F.struct((F.col("node") % 4000 + a).cast("int").alias("x"), (F.col("node") % 3000 + b).cast("int").alias("y")) for a, b in ((0, 0), (40, 0), (40, 40))))
-    f = at.select("tile_id", F.lit("green").alias("layer"), F.col("c_mktsegment").alias("class"), ring.alias("points"), (F.col("node") % 2 == 0).alias("polygon"))
-    return tiles.encode_tiles(f).select("tile_id", F.length("data").alias("bytes"))
+    spot = lambda a, b: F.struct((F.col("node") % 4000 + a).cast("int").alias("x"), (F.col("node") % 3000 + b).cast("int").alias("y"))
+    ring, hole = F.array(spot(0, 0), spot(40, 0), spot(40, 40)), F.array(spot(20, 5), spot(30, 15), spot(30, 5))
+    paths = F.when(F.col("node") % 2 == 0, F.array(ring, hole)).otherwise(F.array(ring))
+    f = at.select("tile_id", F.lit("green").alias("layer"), F.col("node").alias("seq"), F.col("c_mktsegment").alias("class"), F.when(F.col("node") % 3 == 0, F.col("c_name")).alias("name"), paths.alias("paths"), (F.col("node") % 2 == 0).alias("polygon"))
+    return tiles.encode_tiles(f).select("tile_id", F.length("data").alias("bytes"), F.md5("data").alias("digest"))
 
 
 # --- what Spark has beside ---

@@ -203,3 +203,48 @@ def test_reroutes_as_a_stream(spark, tmp_path):
     rows = [(1, 0, "fix", "off", 0.0, 0.0, None), (1, 1, "begin", None, None, None, None), (1, 600, "failed", None, None, None, "no road"), (1, 700, "fix", "off", 100.0, 0.0, None)]
     got = streamed(spark, spark.createDataFrame(rows, "trip long, ms long, kind string, state string, x double, y double, reason string"), policies.reroutes, tmp_path, "reroute_rows")
     assert [tuple(x)[1:] for x in sorted(got.collect(), key=lambda x: x["ms"])] == [(0, "rerouting", True, None), (1, "rerouting", False, None), (600, "failed", False, "no road"), (700, "failed", False, "no road")]
+
+
+def decoded(data):
+    """{layer: (extent, [(polygon, class, name, paths)])} of a vector tile, by the format's own rules."""
+    from meridian.sources.pbf import fields, packed
+
+    found = {}
+    for k, layer in fields(memoryview(data)):
+        parts = [(n, v) for n, v in fields(layer)]
+        keys = [bytes(v).decode() for n, v in parts if n == 3]
+        values = [bytes(dict(fields(v))[1]).decode() for n, v in parts if n == 4]
+        assert dict(parts)[15] == 2
+        features = []
+        for n, v in parts:
+            if n != 2:
+                continue
+            f = dict(fields(v))
+            tags = packed(f[2]).tolist()
+            said = {keys[a]: values[b] for a, b in zip(tags[::2], tags[1::2])}
+            nums, at, x, y, paths = packed(f[4]).tolist(), 0, 0, 0, []
+            while at < len(nums):
+                kind, count = nums[at] & 7, nums[at] >> 3
+                at += 1
+                if kind == 7:
+                    continue
+                for _ in range(count):
+                    dx, dy = ((w >> 1) ^ -(w & 1) for w in nums[at : at + 2])
+                    x, y, at = x + dx, y + dy, at + 2
+                    paths.append([(x, y)]) if kind == 1 else paths[-1].append((x, y))
+            features.append((f[3] == 3, said.get("class"), said.get("name"), paths))
+        found[bytes(dict(parts)[1]).decode()] = (dict(parts)[5], features)
+    return found
+
+
+def test_vector_tiles_read_back(spark):
+    from meridian.operators import tiles
+
+    outer, hole, line = [(0, 0), (40, 0), (40, 40)], [(20, 5), (30, 15), (30, 5)], [(-3, 7), (5000, 9), (1, 1)]
+    rows = [(7, "roads", 2, "primary", "Main", [line], False), (7, "roads", 1, "service", None, [line[:2], line[1:], line[:1]], False), (7, "green", 1, "park", "", [outer, hole], True), (9, "green", 1, "park", "primary", [outer], True)]
+    df = spark.createDataFrame(rows, "tile_id long, layer string, seq long, class string, name string, paths array<array<struct<x:int,y:int>>>, polygon boolean")
+    got = {r["tile_id"]: decoded(bytes(r["data"])) for r in tiles.encode_tiles(df).collect()}
+    assert got == {
+        7: {"green": (4096, [(True, "park", None, [outer, hole])]), "roads": (4096, [(False, "service", None, [line[:2], line[1:]]), (False, "primary", "Main", [line])])},
+        9: {"green": (4096, [(True, "park", "primary", [outer])])},
+    }
