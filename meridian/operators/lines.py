@@ -40,10 +40,18 @@ def snap(fixes: DataFrame, line: DataFrame) -> DataFrame:
     return near.groupBy("id").agg(best.alias("best")).select("id", "best.*")
 
 
+#: Metres of a stretch of a route: what asks for a place meets the segments of its stretch alone.
+STRETCH = 2000.0
+
+
 def place_at(line: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (id, route, metres): (id, pos, lon, lat) that far along the route, which its ends bound."""
-    cut = pieces(line).withColumn("total", F.max(F.col("start") + F.col("metres")).over(Window.partitionBy("route"))).withColumnRenamed("metres", "size")
-    hits = asked.join(cut, "route").withColumn("at", F.greatest(F.lit(0.0), F.least("metres", "total")))
+    cut = pieces(line).withColumnRenamed("metres", "size")
+    total = cut.groupBy("route").agg(F.max(F.col("start") + F.col("size")).alias("total"))
+    stretch = lambda m: F.floor(m / STRETCH)
+    dealt = cut.withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("start") + F.col("size")))))
+    at = F.greatest(F.lit(0.0), F.least("metres", "total"))
+    hits = asked.join(total, "route").withColumn("at", at).withColumn("stretch", stretch(F.col("at"))).join(dealt, ["route", "stretch"])
     hits = hits.filter((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("start") + F.col("size")))
     t = F.when(F.col("size") > 0, (F.col("at") - F.col("start")) / F.col("size")).otherwise(0.0)
     spot = F.struct("pos", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("lon"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("lat"))
@@ -118,19 +126,30 @@ def merge_streets(runs: DataFrame) -> DataFrame:
 
     (key, context, name, ways, metres, lon, lat): the runs are laid end to end by way, run and position, the point lies
     half way along them, gaps between runs not counted; the name is the first run's. A null context is one of its own.
+    Points are only ordered within their run; a street orders the sums of its runs.
     """
-    r = runs.withColumn("key", F.lower("name"))
-    street, order = ["key", "context"], ["way", "run", "pos"]
-    inside = Window.partitionBy("way", "run").orderBy("pos")
-    step = haversine(F.lag("lon").over(inside), F.lag("lat").over(inside), F.col("lon"), F.col("lat"))
-    r = r.withColumns({"fx": F.lag("lon").over(inside), "fy": F.lag("lat").over(inside), "metres": F.coalesce(step, F.lit(0.0))})
+    street, inside = ["key", "context"], Window.partitionBy("way", "run").orderBy("pos")
+    to = F.lead(F.struct("lon", "lat")).over(inside)
+    cut = runs.withColumn("to", to).withColumn("size", F.coalesce(haversine(F.col("lon"), F.col("lat"), F.col("to.lon"), F.col("to.lat")), F.lit(0.0)))
+    cut = cut.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = cut.groupBy("way", "run").agg(F.sum("size").alias("length"), F.min_by(F.struct("name", "context"), "pos").alias("n"), F.count("*").alias("points"))
+    sums = sums.select("way", "run", "length", "points", F.lower("n.name").alias("key"), F.col("n.context").alias("context"), F.col("n.name").alias("name"))
     by = Window.partitionBy(*street)
-    r = r.withColumns({"upto": F.sum("metres").over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), "half": F.sum("metres").over(by) / 2})
-    mid = F.col("fx").isNotNull() & (F.col("upto") >= F.col("half"))
-    t = F.when(F.col("metres") > 0, F.greatest(F.lit(0.0), F.col("half") - (F.col("upto") - F.col("metres"))) / F.col("metres")).otherwise(0.0)
-    spot = F.struct(*order, (F.col("fx") + t * (F.col("lon") - F.col("fx"))).alias("lon"), (F.col("fy") + t * (F.col("lat") - F.col("fy"))).alias("lat"))
-    found = r.groupBy(*street).agg(F.min(F.struct(*order, "name")).alias("first"), F.countDistinct("way").alias("ways"), F.sum("metres").alias("metres"), F.min(F.when(mid, spot)).alias("spot"))
-    return found.select(*street, F.col("first.name").alias("name"), "ways", "metres", "spot.lon", "spot.lat")
+    order = by.orderBy("way", "run")
+    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.withColumns({"before": before, "half": F.sum("length").over(by) / 2})
+    # of the runs that reach the middle the first has it; the last may miss it by a rounding
+    reaches = (F.col("points") > 1) & ((F.col("before") + F.col("length") >= F.col("half")) | (F.lead("way").over(order).isNull()))
+    holds = sums.filter("points > 1").withColumn("reaches", reaches).filter("reaches").withColumn("n", F.row_number().over(order)).filter("n = 1").select(*street, "way", "run", "before", "half")
+    end = F.col("before") + F.col("upto")
+    t = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("half") - end + F.col("size")) / F.col("size")))).otherwise(0.0)
+    spot = F.struct("pos", (F.col("lon") + t * (F.col("to.lon") - F.col("lon"))).alias("lon"), (F.col("lat") + t * (F.col("to.lat") - F.col("lat"))).alias("lat"))
+    last = F.lead("to.lon").over(inside).isNull()
+    mids = holds.join(cut.withColumn("last", last).filter("to IS NOT NULL").select("way", "run", "pos", "lon", "lat", "to", "size", "upto", "last"), ["way", "run"])
+    mids = mids.filter((end >= F.col("half")) | F.col("last")).groupBy(*street).agg(F.min(spot).alias("spot")).select(F.col("key").alias("_key"), F.col("context").alias("_context"), "spot")
+    found = sums.groupBy(*street).agg(F.min(F.struct("way", "run", "name")).alias("first"), F.countDistinct("way").alias("ways"), F.sum("length").alias("metres"))
+    same = (F.col("key") == F.col("_key")) & F.col("context").eqNullSafe(F.col("_context"))
+    return found.join(mids, same, "left").select(*street, F.col("first.name").alias("name"), "ways", "metres", "spot.lon", "spot.lat")
 
 
 def vertex_at(line: DataFrame, asked: DataFrame) -> DataFrame:
