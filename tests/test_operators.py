@@ -146,3 +146,15 @@ def test_polyline_round_trip():
 def test_runs_of_equal_tiles_cross_blocks(spark):
     df = spark.createDataFrame([(i, b"a") for i in range(4090, 8200)] + [(9000, b"a"), (9001, b"b")], "tile_id long, data binary")
     assert sorted((r[0], r[1]) for r in tiles.dedup_runs(df).collect()) == [(4090, 4110), (9000, 1), (9001, 1)]
+
+
+def test_fold_equals_decomposition(spark):
+    import re
+    import unicodedata
+
+    texts = [chr(c) + "a" for c in [*range(1, 0x250), *range(0x2010, 0x2028), 0x300, 0x1E9E, 0x4E00, 0xFB01, 0x1F600]] + ["Élan & Café’s — ﬁn", "ĳ ß Ø œ", ""]
+    got = [r["f"] for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.fold(F.col("t")).alias("f")).orderBy("k").collect()]
+    plain = spark.createDataFrame([(k, re.sub("[̀-ͯ]", "", unicodedata.normalize("NFKD", t))) for k, t in enumerate(texts)], "k int, t string")
+    low = F.regexp_replace(F.lower("t"), "['’ʼ]", "")
+    want = plain.select("k", F.trim(F.regexp_replace(F.replace(low, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " ")).alias("f")).orderBy("k").collect()
+    assert got == [r["f"] for r in want]
