@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from meridian.plans import catalog
@@ -35,6 +37,7 @@ def test_search_queries_equal_brute_force(spark):
 
     from meridian.functions import text
 
+    text_key = lambda s: " ".join(text.EXPANSIONS.get(t, (t,))[0] for t in fold(s).split())
     fold = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip()
     parts = spark.read.parquet(f"{SF}/part.parquet").collect()
     names = {r["p_name"] for r in parts if r["p_partkey"] % 20 == 0}
@@ -51,7 +54,25 @@ def test_search_queries_equal_brute_force(spark):
     got = {(r["q"], r["id"]) for r in catalog.search_topk(spark, SF).collect()}
     assert got <= {(q, h[3]) for q, found in hits.items() for h in found}
     assert all(sum(q == g for g, _ in got) == min(12, len(found)) for q, found in hits.items())
-    assert {r["q"] for r in catalog.merge_hits(spark, SF).collect()} == set(hits)
+    places = {r["p_partkey"]: (f"{r['p_name']} {r['p_brand']}", -114.0 + r["p_partkey"] % 100 * 0.003, 51.0 + r["p_partkey"] // 100 * 0.002) for r in parts}
+
+    def gap(a, b):
+        (_, x, y), (_, u, v) = places[a], places[b]
+        h = math.sin(math.radians(v - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(v)) * math.sin(math.radians(u - x) / 2) ** 2
+        return 2 * 6371008.8 * math.asin(min(1.0, math.sqrt(h)))
+
+    want = set()
+    for q, found in hits.items():
+        by_region = {}
+        for h in sorted(found):
+            by_region.setdefault(h[1], []).append(h)
+        kept, key = [], lambda i: text_key(places[i][0])
+        for score, region, _, i in sorted((h for own in by_region.values() for h in own[:20]), key=lambda h: (h[0], str(h[1]), str(h[3]))):
+            shadow = lambda o: o[0] != region and gap(o[1], i) <= 120 and (key(o[1]) == key(i) or key(o[1]).startswith(key(i) + " ") or key(i).startswith(key(o[1]) + " "))  # noqa: B023, E731
+            if not any(map(shadow, kept)):
+                kept.append((region, i))
+        want |= {(q, str(i)) for _, i in kept}
+    assert {(r["q"], r["identity"]) for r in catalog.merge_hits(spark, SF).collect()} == want
     near = lambda a, b: (d := text.edit_distance(a, b, most := text.tolerance(len(a)) + (len(a) >= 8))) <= most and d
     want = {}
     for q in asked:
