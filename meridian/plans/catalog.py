@@ -396,7 +396,7 @@ def scan_stats(spark, d):
     return g.agg(F.count("*").alias("nodes"), F.count_if(F.col("c_acctbal") > 0).alias("routable"), F.round(F.min("lon"), 6).alias("west"), F.round(F.min("lat"), 6).alias("south"), F.round(F.max("lon"), 6).alias("east"), F.round(F.max("lat"), 6).alias("north"))
 
 
-@query("SELECT l_orderkey, count(*) AS violations FROM (SELECT l_orderkey, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS before FROM lineitem) WHERE before > l_partkey GROUP BY l_orderkey")
+@query(f"WITH {WAYS} SELECT way AS l_orderkey, count(*) AS violations FROM (SELECT way, node, lag(node) OVER (PARTITION BY way ORDER BY pos) AS before FROM refs) WHERE before > node GROUP BY way")
 def sorted_check(spark, d):
     order = Window.partitionBy("way").orderBy("pos")
     return way_refs(spark, d).withColumn("before", F.lag("node").over(order)).filter("before > node").groupBy(F.col("way").alias("l_orderkey")).agg(F.count("*").alias("violations"))
