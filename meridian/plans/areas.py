@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import areas
+from ..storage import stage
 from .catalog import GRID, WAYS, grid, query, read, way_points
 
 # corners of relation k's rectangle and, for every third relation, of its hole; off the grid that points lie on
@@ -37,7 +38,7 @@ def relation_ways(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def relation_rings(spark: SparkSession, d: str) -> DataFrame:
     members, ways = relation_ways(spark, d)
-    return areas.rings(members, ways, relation_nodes(spark, d))
+    return stage(areas.rings(members, ways, relation_nodes(spark, d)), "rings")
 
 
 @query(f"""WITH {AREA} SELECT k AS relation, inner_ AS "inner", points, round(area2, 9) AS area2, round(west + wide / 2, 6) AS cx, round(south + high / 2, 6) AS cy FROM (SELECT *, FALSE AS inner_, 9::BIGINT AS points, 2 * wide * high AS area2 FROM b WHERE whole UNION ALL SELECT *, TRUE, 5, wide * high / 2 FROM b WHERE hole)""")
