@@ -67,14 +67,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     n_links counts the other rows with cosine >= least, component_id is the smallest id that links reach, itself
     included. A vector that is null, empty, zero or holds null or non-finite numbers links with nothing; nor do
-    vectors of different lengths. Repeated rows and equal vectors link with each other. A null id is counted in
+    vectors of different lengths. Very small and very large vectors are scaled by their largest component first. Repeated rows and equal vectors link with each other. A null id is counted in
     others' n_links but its own component_id is its class's. Empty input gives no rows; other columns are not read.
     """
     spark, vec = vectors.sparkSession, F.col(vec_col).cast("array<double>")
     ok = F.col(vec_col).isNotNull() & F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(vec, lambda v: v != 0)
-    norm = F.aggregate(vec, F.lit(0.0), lambda s, v: s + v * v)  # must neither overflow nor vanish
-    ok = F.coalesce(ok & (norm < F.lit(float("inf"))) & (norm > 1e-300), F.lit(False))
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(ok, F.transform(vec, lambda v: v + 0.0)).alias("vec"))
+    ok = F.coalesce(ok, F.lit(False))
+    norm, most = F.aggregate(vec, F.lit(0.0), lambda s, v: s + v * v), F.array_max(F.transform(vec, F.abs))
+    size = F.when((norm < 1e-250) | (norm > 1e250), most).otherwise(1.0)  # products must neither overflow nor vanish
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(ok, F.transform(vec, lambda v: v / size + 0.0)).alias("vec"))
     base = stage(base.withColumn("key", F.unhex(F.sha2(F.to_json("vec"), 256))), "vectors")
     classes = base.filter("vec IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     classes = stage(classes.select("key", F.monotonically_increasing_id().alias("cid"), "first", "n", "vec", F.size("vec").alias("dim")), "classes")

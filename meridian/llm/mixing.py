@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WS, sheltered, stage, table, unstage
+from .common import WS, free_name, sheltered, stage, table, unstage
 
 LEVELS = ("domain", "lang", "source")
 #: Hex digits of the order hash that name a part; only a leaf's boundary part is sorted.
@@ -74,15 +74,14 @@ def mix(docs: DataFrame, domain: Column, total: Column, weights: dict[str, Colum
     path's columns. A document whose tokens would pass its leaf's budget ends the prefix. Documents without words
     cost nothing and stay in order with the rest. Null lang or source is a name of its own; repeated rows count each;
     ties of the order go by id, then by row. An empty table gives no rows. Columns of docs that clash with the three
-    added ones are replaced.
+    added ones, whatever their case, are replaced; others pass through.
     """
     extra = ["domain", "tokens", "epoch"]
-    names = [c for c in docs.columns if c not in extra]
-    clash = docs.withColumnRenamed("row", "_row_of_docs")
-    kept = [c if c != "row" else "_row_of_docs" for c in names]
-    rows = clash.select(*kept, domain.alias("domain"), (n_words("text") if tokens is None else tokens).alias("tokens"))
-    rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    slim = rows.select("doc_id", *LEVELS, "tokens", "row")
+    names = [c for c in docs.columns if c.lower() not in extra]
+    own, taken_by = free_name(docs, "row"), free_name(docs, "taken")
+    rows = docs.select(*(F.col(f"`{c}`") for c in names), domain.alias("domain"), (n_words("text") if tokens is None else tokens).alias("tokens"))
+    rows = stage(rows.withColumn(own, F.monotonically_increasing_id()), "rows")
+    slim = rows.select("doc_id", *LEVELS, "tokens", F.col(own).alias("row"))
     plan = budgets(slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), total, weights, epochs)
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int")
     left = F.when(F.col("tokens") > 0, F.col("budget") - full * F.col("tokens")).otherwise(0)
@@ -100,9 +99,8 @@ def mix(docs: DataFrame, domain: Column, total: Column, weights: dict[str, Colum
     edge = placed.filter("upto > left").withColumn("at", F.col("before") + F.sum("tokens").over(run)).filter("at <= left").select("row", "full")
     last = stage(whole.unionByName(edge).select("row", F.col("full").alias("epoch")), "last")
     taken = slim.join(plan, same).filter("full > 0").select("row", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("epoch"))
-    picked = taken.unionByName(last).groupBy("row").agg(F.collect_list("epoch").alias("taken"))  # at most epochs + 1 each
-    out = rows.join(picked, "row").withColumn("epoch", F.explode("taken")).select(*kept, *extra)
-    return out.withColumnRenamed("_row_of_docs", "row")
+    picked = taken.unionByName(last).groupBy(F.col("row").alias(own)).agg(F.collect_list("epoch").alias(taken_by))  # at most epochs + 1 each
+    return rows.join(picked, own).withColumn("epoch", F.explode(taken_by)).select(*(F.col(f"`{c}`") for c in names), *extra)
 
 
 #: The query's and the pipeline's tree: a source's number names its domain; weights as a corpus owner might set them.

@@ -26,8 +26,8 @@ from .common import stage, table
 SEQUENCE = 2048
 #: A length's pieces are ranked in parts of at most this share of all pieces.
 PARTS = 8192
-#: Words whose ids a worker remembers.
-CACHE = 400_000
+#: Words whose ids a worker remembers, and the most letters of one.
+CACHE, LETTERS = 400_000, 64
 
 #: Pieces of lower-cased text that the tokenizer splits at, in the characters for which Python and it agree.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+(?:_+[^\s\w]*)*|_[^\s\w]*(?:_+[^\s\w]*)*")
@@ -73,9 +73,13 @@ class WordTokenizer:
         for piece in PIECE.findall(word):
             if (ids := self.known.get(piece)) is None:
                 letters = piece.encode().decode("latin-1").translate(self.bytes)
-                ids = self.known[piece] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                if len(piece) <= LETTERS:
+                    self.known[piece] = ids
             parts.append(ids)
-        found = self.known[word] = b"".join(parts)
+        found = b"".join(parts)
+        if len(word) <= LETTERS:
+            self.known[word] = found
         return found
 
     def encode(self, text: str) -> bytes:

@@ -118,7 +118,7 @@ def segments(tokens: list[tuple[int, int, str]], closed: list[bool], only: int |
                 break
             t = tokens[j][2]
             at = at or t.lower() == "at"
-            rich = rich or t == "@" or any(c.isdigit() for c in t) or at and (t.lower() == "dot" or j > i + 1 and tokens[j - 2][2] == "(")
+            rich = rich or t == "@" or any(c.isdecimal() for c in t) or at and (t.lower() == "dot" or j > i + 1 and tokens[j - 2][2] == "(")
             if rich and t[0].isalnum():
                 yield i, j + 1
 
@@ -129,7 +129,7 @@ def features(text: str, tokens: list[tuple[int, int, str]], i: int, j: int) -> l
     span = text[a:b]
     digits = only_digits(span)
     letters = sum(c.isalpha() for c in span)
-    shape = "".join("9" * min(5, len(t)) if t.isdigit() else "a" if t.isalpha() else "x" if t.isalnum() else t for _, _, t in tokens[i:j])
+    shape = "".join("9" * min(5, len(t)) if t.isdecimal() else "a" if t.isalpha() else "x" if t.isalnum() else t for _, _, t in tokens[i:j])
     words = {t.lower() for _, _, t in tokens[i:j]}
     out = [
         "shape=" + (shape if len(shape) < 24 else "long"),
@@ -137,7 +137,7 @@ def features(text: str, tokens: list[tuple[int, int, str]], i: int, j: int) -> l
         f"digits={min(20, len(digits))}",
         f"letters={min(4, letters)}{'+' if letters and digits else ''}",
         f"tokens={j - i}",
-        "first=" + (span[0] if not span[0].isalnum() else "9" if span[0].isdigit() else "a"),
+        "first=" + (span[0] if not span[0].isalnum() else "9" if span[0].isdecimal() else "a"),
         "before=" + (text[a - 1] if a and not text[a - 1].isalnum() else "w" if a else "^"),
         "after=" + (text[b] if b < len(text) and not text[b].isalnum() else "w" if b < len(text) else "$"),
         "left=" + (tokens[i - 1][2].lower() if i else "^"),
@@ -150,7 +150,7 @@ def features(text: str, tokens: list[tuple[int, int, str]], i: int, j: int) -> l
         out.append(f"at dots={min(3, sum(t in ('.', 'dot') for t in inside))}")
         out += [f"before at={min(6, where)}", "domain ends=" + (inside[-1] if len(inside[-1]) < 5 else "long")]
     if shape.count(".") == 3 and not letters:
-        out.append("octets" if all(int(t) < 256 for _, _, t in tokens[i:j] if t.isdigit() and len(t) < 9) else "no octets")
+        out.append("octets" if all(int(t) < 256 for _, _, t in tokens[i:j] if t.isdecimal() and len(t) < 9) else "no octets")
     if j - i == 1 and len(span) >= 20 and letters and digits:
         out.append("mixed" + ("hex" if all(c in "0123456789abcdefABCDEF" for c in span) else ""))
     if 7 <= len(digits) <= 15 and not letters and j - i > 2:

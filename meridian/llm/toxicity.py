@@ -60,7 +60,8 @@ _codes: dict[str, int] = {}
 def _code(word: str) -> int:
     if len(_codes) > 150_000:
         _codes.clear()
-    return _codes.setdefault(word, zlib.crc32(word.encode("utf-8", "surrogatepass")))
+    code = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return _codes.setdefault(word, code) if len(word) <= 64 else code  # long words would fill the worker
 
 
 def features(text: str | None, bits: int) -> np.ndarray:

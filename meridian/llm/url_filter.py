@@ -47,7 +47,7 @@ def path(url: str) -> Column:
 def rule(host: Column, path: Column, rules=RULES) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, ties in the order given; null if none does."""
     chosen = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for verdict, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # what comes last goes first
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
         chosen = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(chosen)
     return chosen
@@ -146,7 +146,7 @@ class UrlFilter:
         part, parts = free_name(rows, "part"), free_name(rows, "parts")
         sizes = stage(dealt.groupBy(at).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(parts)), "sizes")  # a row for each shard
         split = F.broadcast(sizes.filter(F.col(parts) > 1))
-        dealt = dealt.join(split, at, "left").withColumn(part, F.floor(F.rand(1) * F.coalesce(F.col(parts), F.lit(1))).cast("int")).drop(parts)
+        dealt = dealt.join(split, at, "left").withColumn(part, F.pmod(F.monotonically_increasing_id(), F.coalesce(F.col(parts), F.lit(1))).cast("int")).drop(parts)
         copies = self.levels.join(F.broadcast(sizes), self.levels["shard"] == sizes[at]).select("shard", "level", "bits", F.explode(F.sequence(F.lit(0), F.col(parts) - 1)).alias("part"))
 
         def meet(pages: pa.Table, levels: pa.Table) -> pa.Table:
