@@ -35,14 +35,16 @@ def bridged(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def client_gazetteer(places: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, lon, lat, cat, rank, street, house): named places, a row for each named street way, named areas that are no
-    buildings, house numbers, and addresses made up along streets."""
+    buildings, house numbers, and addresses made up along streets. Ways of one id are ways of their own. A named way that is
+    no street has a house number only if it is listed as an area itself."""
+    ways = roads.way_rows(ways).drop("id")
     t = F.col("tags")
     none = F.lit(None)
     pick = lambda name, lon, lat, cat, rank, street=none, house=none: [c.alias(n) for c, n in zip((name, lon, lat, cat, F.lit(rank) if isinstance(rank, int) else rank, street.cast("string"), house.cast("long")), ("name", "lon", "lat", "cat", "rank", "street", "house"))]
     lon, lat = F.col("lon"), F.col("lat")
     rank = F.when(T.place_rank(t) > 50, T.place_rank(t)).when(t["amenity"].isin(*PLACE_CATS), 70).otherwise(50)
     named = places.filter(t["name"].isNotNull()).select(*pick(t["name"], lon, lat, F.coalesce(*(t[k] for k in CLIENT_CATS), F.lit("place")), rank))
-    line = bridged(ways, nodes)
+    line = stage(bridged(ways, nodes), "lines")
     first = line.filter("pos = 0").select("way", "lon", "lat")
     kept = ways.select("way", "tags", F.element_at("refs", 1).alias("node"))
     roads_ = kept.filter(t["highway"].isNotNull() & t["name"].isNotNull())
@@ -53,7 +55,8 @@ def client_gazetteer(places: DataFrame, ways: DataFrame, nodes: DataFrame) -> Da
     low = F.when(t["landuse"].isNotNull() | t["natural"].isNotNull(), 20).otherwise(65)
     named_areas = areas_.join(areas.mean_centres(line), "way").select(*pick(t["name"], lon, lat, cat, low))
     number, street = T.house_number(t["addr:housenumber"]), t["addr:street"]
-    houses = kept.filter(number.isNotNull() & street.isNotNull()).join(nodes.select("node", "lon", "lat"), "node")
+    listed = t["name"].isNull() | t["highway"].isNotNull() | (t["building"].isNull() & cat.isNotNull())
+    houses = kept.filter(number.isNotNull() & street.isNotNull() & listed).join(nodes.select("node", "lon", "lat"), "node")
     houses = houses.select(*pick(F.concat_ws(" ", street, number.cast("string")), lon, lat, F.lit("address"), 40, street, number))
     made = lines.addresses(line.withColumnRenamed("way", "route")).join(roads_.select(F.col("way").alias("route"), t["name"].alias("street")), "route")
     made = made.select(*pick(F.concat_ws(" ", "street", F.col("house").cast("string")), lon, lat, F.lit("address"), 20, F.col("street"), F.col("house")))

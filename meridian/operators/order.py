@@ -46,3 +46,32 @@ def running(df: DataFrame, key: str, at: Column, values: dict[str, Callable], co
     inside = Window.partitionBy(key, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     found = rows.withColumns({c: f(c).over(inside) for c, f in values.items()}).join(bases, [key, "_block"], "left")
     return found.select(*own, *(combine(F.col(c), F.coalesce(f"_{c}", F.lit(none))).alias(c) for c in values))
+
+
+#: Rows of a block of numbered rows; what blocks add up to is one row each.
+ROWS = 1 << 16
+
+
+def sums_before(df: DataFrame, value: str, *order: Column | str, name: str = "before") -> DataFrame:
+    """df with the sum of value over the rows before it in this order, which no two rows may share. A block of ROWS rows is
+    one window, and the sums of blocks, 16 bytes each, are added up in the driver."""
+    rows = numbered(df, *order, name="_number").withColumn("_block", F.floor(F.col("_number") / ROWS))
+    sums = sorted(map(tuple, rows.groupBy("_block").agg(F.sum(value)).collect()))
+    before = df.sparkSession.createDataFrame([(b, t - (n or 0)) for (b, n), t in zip(sums, accumulate(n or 0 for _, n in sums))], "_block long, _before long")
+    inside = F.sum(value).over(Window.partitionBy("_block").orderBy("_number").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn(name, F.coalesce(inside, F.lit(0))).join(F.broadcast(before), "_block").select(*df.columns, (F.col(name) + F.col("_before")).alias(name))
+
+
+def with_previous(df: DataFrame, number: str, value: Column, name: str = "previous") -> DataFrame:
+    """df with the value of the row whose number is one less, null for the first. Numbers have no gaps. Blocks of ROWS rows
+    look back on their own; only the last row of each is handed to the next, where the first row takes it."""
+    rows = df.withColumns({"_block": F.floor(F.col(number) / ROWS), name: value})
+    lasts = rows.groupBy((F.col("_block") + 1).alias("_block")).agg(F.max_by(name, number).alias("_seam"))
+    inside = F.lag(name).over(Window.partitionBy("_block").orderBy(number))
+    found = rows.join(lasts, "_block", "left").withColumn("_inside", inside)
+    return found.withColumn(name, F.when(F.col(number) % ROWS == 0, F.col("_seam")).otherwise(F.col("_inside"))).select(*df.columns, name)
+
+
+def disorder(df: DataFrame, number: str, *key: str) -> DataFrame:
+    """The rows of df, numbered in the order they are stored in, whose key is less than that of the row before (previous)."""
+    return with_previous(df, number, F.struct(*key)).filter(F.col("previous") > F.struct(*key))

@@ -12,11 +12,18 @@ from ..functions.geo import haversine
 from ..storage import delete, shared_dir, stage, unstage
 from .areas import in_boxes
 from .graph import linked
+from .order import numbered
+
+
+def way_rows(ways: DataFrame) -> DataFrame:
+    """ways (way, ...) staged with a number of its own for each row as way and its id as id: sources may give several ways
+    one id, and what is keyed by way must not be laid through all of them."""
+    return stage(ways.withColumnRenamed("way", "id").withColumn("way", F.monotonically_increasing_id()), "ways")
 
 
 def runs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """refs (way, pos, node) joined with nodes (node, lon, lat): (way, run, pos, node, lon, lat). A reference without a
-    node ends a run; runs of one point are dropped."""
+    node ends a run; runs of one point are dropped. way names one way (see way_rows)."""
     joined = refs.join(nodes, "node", "left").withColumn("gap", F.col("lon").isNull().cast("int"))
     order = Window.partitionBy("way").orderBy("pos")
     cut = joined.withColumn("run", F.sum("gap").over(order)).filter("gap = 0")
@@ -44,6 +51,19 @@ def connected_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "node", "left_semi")
 
 
+def slots(nodes: DataFrame) -> DataFrame:
+    """(node, slot): the nodes of stored nodes (node), each once, numbered from 0 without gaps in the order of their ids."""
+    return numbered(stage(nodes.select("node").distinct(), "nodes"), "node", name="slot")
+
+
+def slotted(edges: DataFrame, slots: DataFrame) -> DataFrame:
+    """edges (src, dst, ...) over slots (node, slot); those with an end that has none go."""
+    out = edges
+    for end in ("src", "dst"):
+        out = out.join(slots.select(F.col("node").alias(end), F.col("slot").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+    return out.select(*edges.columns)
+
+
 def merge(edges: DataFrame) -> DataFrame:
     """edges (region, ord, src, dst, cost, flags) of several extracts as one graph.
 

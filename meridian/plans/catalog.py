@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import areas, journeys  # noqa: F401
+    from . import archives, areas, journeys  # noqa: F401
 
     return dict(QUERIES)
 

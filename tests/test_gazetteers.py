@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.operators import areas, gazetteers
+from meridian.operators import areas, gazetteers, roads
 
 
 def ways_of(spark, rows):
@@ -67,3 +67,23 @@ def test_client_gazetteer(world):
     assert got == [("address", "Oak 7", 40), ("bakery", "Shop", 50), ("park", "Green", 65), ("street", "Main Street", 30), ("street", "main street", 30), ("town", "Hollow", 100)]
     made = gazetteers.client_gazetteer(places, ways, nodes).filter("rank = 20")
     assert made.count() > 100 and made.filter("house % 12 <> 0").count() == 0
+
+
+def test_ways_of_one_id_are_ways_of_their_own(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.001, 0.0), (3, 1.0, 0.0), (4, 1.001, 0.0)], "node long, lon double, lat double")
+    ways = ways_of(spark, [(9, [1, 2], {"highway": "primary", "name": "A"}), (9, [3, 4], {"highway": "primary", "name": "B"})])
+    rows = roads.way_rows(ways)
+    found = roads.segments(roads.runs(rows.select("way", F.posexplode("refs").alias("pos", "node")), nodes)).collect()
+    assert {(r["src"], r["dst"]) for r in found} == {(1, 2), (3, 4)} and max(r["metres"] for r in found) < 120
+    places = spark.createDataFrame([], "id long, lon double, lat double, tags map<string,string>")
+    got = gazetteers.client_gazetteer(places, ways, nodes).collect()
+    assert {(r["name"], r["lon"]) for r in got if r["cat"] == "street"} == {("A", 0.0), ("B", 1.0)} and len(got) == 2
+
+
+def test_a_named_building_has_no_address_row(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.001, 0.0)], "node long, lon double, lat double")
+    number = {"addr:housenumber": "5", "addr:street": "Oak"}
+    ways = ways_of(spark, [(k, [1, 2], {**number, **own}) for k, own in enumerate([{"name": "Hall", "building": "yes"}, {"name": "Lot"}, {"building": "yes"}, {"name": "Park", "leisure": "park"}, {"name": "Way", "highway": "service"}])])
+    places = spark.createDataFrame([], "id long, lon double, lat double, tags map<string,string>")
+    got = gazetteers.client_gazetteer(places, ways, nodes).collect()
+    assert sorted(r["name"] for r in got) == ["Oak 5", "Oak 5", "Oak 5", "Park", "Way"]

@@ -39,3 +39,21 @@ def test_running_values_of_long_groups(spark, monkeypatch):
             total ^= v
             want_down.add((g, at, total))
     assert up == want_up and down == want_down
+
+
+def test_sums_and_previous_rows_over_block_seams(spark, monkeypatch):
+    monkeypatch.setattr(order, "ROWS", 64)
+    r = random.Random(3)
+    rows = [(k, r.randrange(100)) for k in r.sample(range(10**6), 1000)]
+    df = stage(spark.createDataFrame(rows, "k long, v long").repartition(5), "rows")
+    total, want = 0, {}
+    for k, v in sorted(rows):
+        want[k], total = total, total + v
+    assert {x["k"]: x["before"] for x in order.sums_before(df, "v", "k").collect()} == want
+    placed = order.numbered(df, "k", name="place")
+    values = [v for _, v in sorted(rows)]
+    got = {x["place"]: x["previous"] for x in order.with_previous(placed, "place", F.col("v")).collect()}
+    assert got == {k: values[k - 1] if k else None for k in range(1000)}
+    found = order.disorder(placed, "place", "v")
+    assert {x["place"] for x in found.collect()} == {k for k in range(1, 1000) if values[k - 1] > values[k]}
+    assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
