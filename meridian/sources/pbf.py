@@ -1,8 +1,9 @@
 """Map extracts in the PBF format, as DataFrames of nodes, ways and relations.
 
-A file is cut into its blobs by one pass over its bytes that inflates nothing; the blobs are dealt out and decoded in
-parallel. Files are read as Spark reads binary files, from any store it knows, so none may exceed 2 GB: larger extracts
-come in several files.
+elements() is a data source of its own: the driver walks the blobs' headers with seeks, a partition is a range of blobs, and
+a task reads and decodes one blob after the other, so files of any size are read by ranges. Filters on kind and on a
+box of coordinates reach the decoder, which then makes no rows for what they rule out. The files must be in a store that
+pyarrow can open. whole_files() reads them as Spark reads binary files, from any store it knows: at most 2 GB each.
 """
 
 from __future__ import annotations
@@ -13,11 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: Most bytes of a blob's header and of its inflated content that the format allows.
-HEADER_MOST, BLOB_MOST = 64 << 10, 32 << 20
+HEADER_MOST, BLOB_MOST = 64 << 10, 96 << 20
+#: Bytes of a file that one task reads, unless the option says otherwise.
+RANGE = 64 << 20
+COMPRESSIONS = {4: "lzma", 5: "bzip2", 6: "lz4", 7: "zstd"}
 KNOWN = ("OsmSchema-V0.6", "DenseNodes", "HistoricalInformation")
 TAGS = "map<string,string>"
 
@@ -95,12 +101,41 @@ def blobs(data: memoryview) -> Iterator[tuple[str, memoryview]]:
 
 
 def inflated(blob: memoryview) -> memoryview:
+    """A blob's content. What it inflates to is bounded whatever size it declares; unknown compressions are named."""
     found = dict(fields(blob))
-    if 1 in found:
+    if 1 in found and len(found[1]) <= BLOB_MOST:
         return found[1]
-    if 3 not in found or found.get(2, 0) > BLOB_MOST:
-        raise ValueError("blob of an unknown compression or size")
-    return memoryview(zlib.decompress(found[3]))
+    if 3 not in found:
+        raise ValueError(f"blob of compression {next((COMPRESSIONS[k] for k in found if k in COMPRESSIONS), 'none, too large' if 1 in found else 'unknown')}")
+    if found.get(2, 0) > BLOB_MOST:
+        raise ValueError("blob of too large a size")
+    engine = zlib.decompressobj()
+    data = engine.decompress(found[3], BLOB_MOST + 1)
+    if len(data) > BLOB_MOST:
+        raise ValueError("blob of too large a size")
+    if not engine.eof:
+        raise ValueError("truncated blob")
+    return memoryview(data)
+
+
+def grouped(message: memoryview) -> dict[int, list]:
+    """A message's values by field, as often as they come."""
+    found = {}
+    for k, v in fields(message):
+        found.setdefault(k, []).append(v)
+    return found
+
+
+def numbers(parts: list) -> np.ndarray:
+    """The numbers of a repeated field, whose parts may each be packed or alone."""
+    if len(parts) == 1 and not isinstance(parts[0], int):
+        return packed(parts[0])
+    return np.concatenate([np.empty(0, np.uint64), *(np.array([p], np.uint64) if isinstance(p, int) else packed(p) for p in parts)])
+
+
+def deleted(info: list) -> bool:
+    """Whether an element's own history says that it is not visible."""
+    return any(k == 6 and not v for part in info for k, v in fields(part))
 
 
 def check_header(blob: memoryview) -> None:
@@ -109,8 +144,12 @@ def check_header(blob: memoryview) -> None:
         raise ValueError(f"needs {unknown}")
 
 
-def block(data: memoryview) -> Iterator[tuple]:
-    """(kind, id, lat, lon, refs, types, roles, tags) of a block's elements; kind is n, w or r."""
+EVERYWHERE = (-float("inf"), -float("inf"), float("inf"), float("inf"))
+
+
+def block(data: memoryview, kinds: str = "nwr", box: tuple[float, float, float, float] = EVERYWHERE) -> Iterator[tuple]:
+    """(kind, id, lat, lon, refs, types, roles, tags) of a block's elements of these kinds; kind is n, w or r. Nodes outside
+    the box (west, south, east, north) and elements that a history marks as deleted are left out."""
     strings, groups, step, lat0, lon0 = [], [], 100, 0, 0
     for k, v in fields(data):
         if k == 1:
@@ -123,38 +162,169 @@ def block(data: memoryview) -> Iterator[tuple]:
             v = v - (1 << 64) if v >> 63 else v
             lat0, lon0 = (v, lon0) if k == 19 else (lat0, v)
     place = lambda base, n: (base + step * n) / 1e9
-    tagged = lambda m: list(zip((strings[k] for k in packed(m.get(2, b"")).tolist()), (strings[v] for v in packed(m.get(3, b"")).tolist())))
+    tagged = lambda m: list(zip((strings[k] for k in numbers(m.get(2, [])).tolist()), (strings[v] for v in numbers(m.get(3, [])).tolist())))
+    west, south, east, north = box
     for group in groups:
         for k, v in fields(group):
+            if k in (1, 2) and "n" not in kinds or k == 3 and "w" not in kinds or k == 4 and "r" not in kinds or k > 4:
+                continue
+            m = grouped(v)
             if k == 1:
-                m = dict(fields(v))
-                yield "n", as_signed(m[1]), place(lat0, as_signed(m[8])), place(lon0, as_signed(m[9])), None, None, None, tagged(m)
+                lat, lon = place(lat0, as_signed(m[8][-1])), place(lon0, as_signed(m[9][-1]))
+                if west <= lon <= east and south <= lat <= north and not deleted(m.get(4, [])):
+                    yield "n", as_signed(m[1][-1]), lat, lon, None, None, None, tagged(m)
             elif k == 2:
-                m = dict(fields(v))
-                ids, lats, lons = (np.cumsum(signed(packed(m.get(n, b"")))) for n in (1, 8, 9))
-                keys, at = packed(m.get(10, b"")).tolist(), 0
-                for i, lat, lon in zip(ids.tolist(), lats.tolist(), lons.tolist()):
-                    own = []
-                    while at < len(keys) and keys[at]:
-                        own.append((strings[keys[at]], strings[keys[at + 1]]))
-                        at += 2
-                    at += 1
-                    yield "n", i, place(lat0, lat), place(lon0, lon), None, None, None, own
+                ids, lats, lons = (np.cumsum(signed(numbers(m.get(n, [])))) for n in (1, 8, 9))
+                lats, lons = place(lat0, lats), place(lon0, lons)
+                kept = (lons >= west) & (lons <= east) & (lats >= south) & (lats <= north)
+                seen = numbers([p for part in m.get(5, []) for n, p in fields(part) if n == 6])
+                if len(seen):
+                    kept &= seen.astype(bool)
+                keys = numbers(m.get(10, [])).astype(np.int64)
+                ends = np.flatnonzero(keys[: len(keys)] == 0)
+                if len(keys):  # keys and values are never 0, which closes a node's list
+                    starts = np.concatenate(([0], ends[:-1] + 1))
+                for j in np.flatnonzero(kept).tolist():
+                    own = keys[starts[j] : ends[j]].tolist() if len(keys) else []
+                    yield "n", int(ids[j]), float(lats[j]), float(lons[j]), None, None, None, [(strings[a], strings[b]) for a, b in zip(own[::2], own[1::2])]
+            elif deleted(m.get(4, [])):
+                continue
             elif k == 3:
-                m = dict(fields(v))
-                yield "w", m[1], None, None, np.cumsum(signed(packed(m.get(8, b"")))).tolist(), None, None, tagged(m)
+                yield "w", m[1][-1], None, None, np.cumsum(signed(numbers(m.get(8, [])))).tolist(), None, None, tagged(m)
             elif k == 4:
-                m = dict(fields(v))
-                roles = [strings[r] for r in packed(m.get(8, b"")).tolist()]
-                kinds = [("node", "way", "relation")[t] for t in packed(m.get(10, b"")).tolist()]
-                yield "r", m[1], None, None, np.cumsum(signed(packed(m.get(9, b"")))).tolist(), kinds, roles, tagged(m)
-
+                roles = [strings[r] for r in numbers(m.get(8, [])).tolist()]
+                types = [("node", "way", "relation")[t] for t in numbers(m.get(10, [])).tolist()]
+                yield "r", m[1][-1], None, None, np.cumsum(signed(numbers(m.get(9, [])))).tolist(), types, roles, tagged(m)
+
+
+SCHEMA = f"file string, seq int, at int, kind string, id long, lat double, lon double, refs array<long>, types array<string>, roles array<string>, tags {TAGS}"
+NAMES = ["file", "seq", "at", "kind", "id", "lat", "lon", "refs", "types", "roles", "tags"]
+KINDS = (pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()))
+
+
+def _batches(file: str, seq: int, blob: memoryview, *only) -> Iterator[pa.RecordBatch]:
+    rows = [(at, *e[:-1], list(dict(e[-1]).items())) for at, e in enumerate(block(inflated(blob), *only))]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array([seq] * len(rows), pa.int32()), *(pa.array(c, t) for c, t in zip(zip(*rows), KINDS))], NAMES)
+
+
+class Blobs(InputPartition):
+    """Blobs of a file: from one's place and number up to a place."""
+
+    def __init__(self, file: str, seq: int, start: int, end: int):
+        self.file, self.seq, self.start, self.end = file, seq, start, end
+
+
+def _exactly(source, n: int) -> bytes:
+    data = source.read(n)
+    if len(data) < n:
+        raise ValueError("truncated file")
+    return data
+
+
+def _next(source) -> tuple[str, int] | None:
+    """(kind, bytes) of the blob that comes next, whose header is read past; None at the end of the file."""
+    head = source.read(4)
+    if not head:
+        return None
+    if len(head) < 4:
+        raise ValueError("truncated file")
+    (size,) = struct.unpack(">I", head)
+    if size > HEADER_MOST:
+        raise ValueError("not a PBF file")
+    found = dict(fields(memoryview(_exactly(source, size))))
+    if found[3] > BLOB_MOST + HEADER_MOST:
+        raise ValueError("blob of too large a size")
+    return bytes(found[1]).decode(), found[3]
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+class PbfReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.range = options["path"], int(options.get("range", RANGE))
+        self.kinds, self.box = "nwr", list(EVERYWHERE)
+
+    def pushFilters(self, filters):
+        """Takes equality of kind and bounds of lat and lon in; all are still tested by Spark, so bounds may be taken wider."""
+        for f in filters:
+            of = getattr(f, "attribute", None)
+            if isinstance(f, EqualTo) and of == ("kind",):
+                self.kinds = "".join(k for k in self.kinds if k == f.value)
+            elif isinstance(f, In) and of == ("kind",):
+                self.kinds = "".join(k for k in self.kinds if k in f.value)
+            elif of in (("lon",), ("lat",)) and isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                self.kinds = self.kinds.replace("w", "").replace("r", "")  # only nodes lie somewhere
+                low, at = isinstance(f, (GreaterThan, GreaterThanOrEqual)), 0 if of == ("lon",) else 1
+                self.box[at if low else at + 2] = max(self.box[at], f.value) if low else min(self.box[at + 2], f.value)
+            yield f
+
+    def partitions(self) -> list[Blobs]:
+        """Ranges of whole blobs; reads the blobs' headers alone."""
+        store, path = _opened(self.path)
+        info = store.get_file_info(path)
+        files = [info] if info.is_file else sorted((i for i in store.get_file_info(fs.FileSelector(path)) if i.is_file and i.path.endswith(".pbf")), key=lambda i: i.path)
+        if not files:
+            raise FileNotFoundError(path)
+        found = []
+        for file in files:
+            with store.open_input_file(file.path) as source:
+                seq, start, first = 0, 0, 0
+                while blob := _next(source):
+                    kind, size = blob
+                    end = source.tell() + size
+                    if end > file.size:
+                        raise ValueError("truncated file")
+                    if kind == "OSMHeader":
+                        check_header(memoryview(_exactly(source, size)))
+                    source.seek(end)
+                    seq += 1
+                    if end - start >= self.range or end == file.size:
+                        found.append(Blobs(file.path, first, start, end))
+                        start, first = end, seq
+        return found
+
+    def read(self, partition: Blobs) -> Iterator[pa.RecordBatch]:
+        store, _ = _opened(self.path)
+        with store.open_input_file(partition.file) as source:
+            source.seek(partition.start)
+            seq = partition.seq
+            while source.tell() < partition.end:
+                kind, size = _next(source)
+                blob = memoryview(_exactly(source, size))
+                if kind == "OSMData" and self.kinds:
+                    yield from _batches(partition.file, seq, blob, self.kinds, tuple(self.box))
+                seq += 1
+
+
+class PbfSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "meridian_pbf"
+
+    def schema(self) -> str:
+        return SCHEMA
+
+    def reader(self, schema) -> PbfReader:
+        return PbfReader(self.options)
+
+
+def elements(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """(file, seq, at, kind, id, lat, lon, refs, types, roles, tags): the elements of a PBF file, or of those of a folder, at
+    their places in the files; at counts a blob's rows, so it is a place among those that filters leave.
+
+    Of a key that comes twice the last value counts; elements marked as deleted are left out. Damaged files and those that
+    need unknown features fail the job.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PbfSource)
+    return spark.read.format("meridian_pbf").option("range", str(range_bytes)).load(path)
 
-def elements(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
-    """(file, seq, at, kind, id, lat, lon, refs, types, roles, tags): the elements of PBF files, at their places in the files.
 
-    Of a key that comes twice the last value counts. Damaged files and those that need unknown features fail the job.
-    """
+def whole_files(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """elements() of files that only Spark can open, each of them in one row of a task before its blobs are dealt out."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -166,17 +336,13 @@ def elements(spark: SparkSession, path: str, tasks: int | None = None) -> DataFr
                         yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([seq], pa.int32()), pa.array([bytes(blob)])], ["file", "seq", "blob"])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int32(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.map_(pa.string(), pa.string()))
         for b in batches:
             for file, seq, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                rows = [(at, *e[:-1], list(dict(e[-1]).items())) for at, e in enumerate(block(inflated(memoryview(blob.as_buffer()).cast("B"))))]
-                if rows:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(rows)), pa.array([seq] * len(rows), pa.int32()), *columns], ["file", "seq", "at", "kind", "id", "lat", "lon", "refs", "types", "roles", "tags"])
+                yield from _batches(file, seq, memoryview(blob.as_buffer()).cast("B"))
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     dealt = files.mapInArrow(cut, "file string, seq int, blob binary").repartition(tasks or spark.sparkContext.defaultParallelism, "file", "seq")
-    return dealt.mapInArrow(decode, f"file string, seq int, at int, kind string, id long, lat double, lon double, refs array<long>, types array<string>, roles array<string>, tags {TAGS}")
+    return dealt.mapInArrow(decode, SCHEMA)
 
 
 def nodes(found: DataFrame) -> DataFrame:

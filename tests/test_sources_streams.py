@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 import zlib
 
@@ -119,12 +120,65 @@ def test_pbf_equals_xml(spark, tmp_path):
     for dense, compress in ((True, True), (False, False)):
         path = tmp_path / f"a{dense}.pbf"
         path.write_bytes(pbf_file(nodes, ways, relations, dense, compress))
-        found = pbf.elements(spark, str(path), 2)
+        found = pbf.whole_files(spark, str(path), 2)
+        assert plain(found.drop("file")) == plain(pbf.elements(spark, str(path)).drop("file"))
         for read, make in ((osm.xml_nodes, pbf.nodes), (osm.xml_ways, pbf.ways), (osm.xml_relations, pbf.relations)):
             assert plain(make(found)) == plain(read(spark, str(tmp_path / "a.osm")))
     (tmp_path / "cut.pbf").write_bytes(path.read_bytes()[:-3])
     with pytest.raises(Exception, match="truncated"):
         pbf.elements(spark, str(tmp_path / "cut.pbf")).count()
+    with pytest.raises(Exception, match="truncated"):
+        pbf.whole_files(spark, str(tmp_path / "cut.pbf")).count()
+
+
+def test_pbf_by_ranges_and_boxes(spark, tmp_path):
+    """Many blobs in small ranges; filters reach the decoder and change no answer."""
+    r = random.Random(8)
+    nodes = [(k, round(r.uniform(50, 52), 7), round(r.uniform(-115, -113), 7), {"name": f"n{k}"} if k % 3 == 0 else {}) for k in range(3000)]
+    whole = b""
+    for lo in range(0, 3000, 150):
+        one = pbf_file(nodes[lo : lo + 150], [(lo, [lo, lo + 1], {"highway": "x"})], [], True, True)
+        whole += one
+    for name in ("a.pbf", "b.pbf", "c.txt"):
+        (tmp_path / name).write_bytes(whole)
+    found = pbf.elements(spark, f"file://{tmp_path}", 4000)
+    assert found.rdd.getNumPartitions() > 10 and found.count() == 2 * 3020 and found.select("file").distinct().count() == 2
+    one = pbf.elements(spark, str(tmp_path / "a.pbf"), 4000)
+    assert {(x["id"], x["lat"], x["lon"], tuple(x["tags"].items())) for x in one.filter("kind = 'n'").collect()} == {(i, a, o, tuple(t.items())) for i, a, o, t in nodes}
+    inside = one.filter("kind IN ('n', 'w') AND lon BETWEEN -114.5 AND -114.0 AND lat > 51.0")
+    assert inside.count() == sum(-114.5 <= o <= -114.0 and a > 51.0 for _, a, o, _ in nodes) and one.filter("kind = 'w'").count() == 20 and one.filter("kind = 'x'").count() == 0
+    reader = pbf.PbfReader({"path": str(tmp_path / "a.pbf"), "range": "4000"})
+    filters = [pbf.In(("kind",), ("n", "w")), pbf.GreaterThanOrEqual(("lon",), -114.5), pbf.LessThanOrEqual(("lon",), -114.0), pbf.GreaterThan(("lat",), 51.0)]
+    assert list(reader.pushFilters(filters)) == filters and reader.kinds == "n" and reader.box == [-114.5, 51.0, -114.0, float("inf")]
+    assert sum(len(b) for p in reader.partitions() for b in reader.read(p)) == inside.count()
+    assert max(p.end - p.start for p in reader.partitions()) < 4000 + max(map(len, (whole[: len(whole) // 20 * 2],)))
+
+
+def test_odd_blocks():
+    """Fields in several parts or unpacked, elements of a history that were deleted."""
+    words = field(1, b"".join(field(1, w) for w in (b"", b"k", b"v")))
+    info = lambda seen: field(4, number(6 << 3) + number(seen))
+    split = number(1 << 3) + number(7) + field(2, number(1)) + field(3, number(2)) + field(8, deltas([5, 9])) + number(8 << 3) + number(zig(-3)) + field(8, number(zig(4)))
+    ways = field(3, split + info(1)) + field(3, number(1 << 3) + number(8) + field(8, deltas([1, 2])) + info(0))
+    seen = field(5, field(6, bytes([1, 0, 1])))
+    dense = field(2, field(1, deltas([1, 2, 3])) + field(8, deltas([10, 20, 30])) + field(9, deltas([1, 2, 3])) + field(10, bytes([1, 2, 0, 1, 2, 0, 0])) + seen)
+    single = field(1, number(1 << 3) + number(zig(4)) + number(8 << 3) + number(zig(1)) + number(9 << 3) + number(zig(1)) + info(0))
+    got = list(pbf.block(memoryview(words + field(2, dense + single + ways))))
+    assert [(e[0], e[1], e[4], e[7]) for e in got] == [("n", 1, None, [("k", "v")]), ("n", 3, None, []), ("w", 7, [5, 9, 6, 10], [("k", "v")])]
+
+
+def test_blobs_are_bounded(monkeypatch):
+    inner = lambda b: memoryview(b)
+    assert bytes(pbf.inflated(inner(field(3, zlib.compress(b"abc"))))) == b"abc"
+    for k, name in ((4, "lzma"), (6, "lz4"), (7, "zstd")):
+        with pytest.raises(ValueError, match=name):
+            pbf.inflated(inner(field(k, b"x")))
+    with pytest.raises(ValueError, match="truncated"):
+        pbf.inflated(inner(field(3, zlib.compress(b"abc" * 100)[:-6])))
+    monkeypatch.setattr(pbf, "BLOB_MOST", 1000)
+    for bomb in (number(2 << 3) + number(3) + field(3, zlib.compress(bytes(10**6))), number(2 << 3) + number(5000) + field(3, zlib.compress(b"a"))):
+        with pytest.raises(ValueError, match="too large"):
+            pbf.inflated(inner(bomb))
 
 
 def test_packed_numbers():
