@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..storage import stage
+from .order import sums_before
 
 #: Largest whole number that a double holds exactly, as clients read sizes.
 MOST = 2**53 - 1
@@ -61,11 +63,9 @@ def mismatches(listed: DataFrame, entries: DataFrame) -> DataFrame:
 
 def victims(regions: DataFrame, needed: int, quota: int) -> DataFrame:
     """regions (id, bytes) to drop, the largest first, until needed bytes fit the quota beside the rest; ties by id."""
-    # a running sum over all regions of a device, of which there are few
-    order = Window.orderBy(F.desc("bytes"), "id")
-    freed = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("bytes").over(Window.partitionBy())
-    return regions.withColumns({"freed": freed, "total": total}).filter(F.col("total") - F.col("freed") + needed > quota).select("id", "bytes")
+    rows = stage(regions.select("id", "bytes"), "regions")
+    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return sums_before(rows, "bytes", F.desc("bytes"), "id", name="freed").filter(total - F.col("freed") + needed > quota).select("id", "bytes")
 
 
 def folded(scans: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import tags as T
 from ..functions.geo import haversine
 from ..storage import delete, shared_dir, stage, unstage
 from .areas import in_boxes
@@ -21,13 +22,14 @@ def way_rows(ways: DataFrame) -> DataFrame:
     return stage(ways.withColumnRenamed("way", "id").withColumn("way", F.monotonically_increasing_id()), "ways")
 
 
-def runs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """refs (way, pos, node) joined with nodes (node, lon, lat): (way, run, pos, node, lon, lat). A reference without a
-    node ends a run; runs of one point are dropped. way names one way (see way_rows)."""
+def runs(refs: DataFrame, nodes: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """refs (way, pos, node) joined with nodes (node, lon, lat): (way, run, pos, node, lon, lat), with more of the nodes'
+    columns if asked for. A reference without a node ends a run; runs of one point are dropped. way names one way (see
+    way_rows)."""
     joined = refs.join(nodes, "node", "left").withColumn("gap", F.col("lon").isNull().cast("int"))
     order = Window.partitionBy("way").orderBy("pos")
     cut = joined.withColumn("run", F.sum("gap").over(order)).filter("gap = 0")
-    return cut.withColumn("points", F.count("*").over(Window.partitionBy("way", "run"))).filter("points >= 2").select("way", "run", "pos", "node", "lon", "lat")
+    return cut.withColumn("points", F.count("*").over(Window.partitionBy("way", "run"))).filter("points >= 2").select("way", "run", "pos", "node", "lon", "lat", *more)
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -46,6 +48,33 @@ def edges(found: DataFrame, speed: Column, penalty: Column, flags: Column, longe
     return both.select(F.when(F.col("d") == 1, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(F.col("d") == 1, F.col("dst")).otherwise(F.col("src")).alias("dst"), "cost", "flags")
 
 
+#: Keys of which a node needs one for its tags to count in a graph. Results must equal published ones.
+MARKED = ("place", "amenity", "shop", "tourism", "leisure", "highway")
+
+
+def road_graph(ways: DataFrame, nodes: DataFrame, longest: float = 20000.0) -> DataFrame:
+    """ways (way, refs, tags) and nodes (node, lon, lat, tags) as directed records (id, pos, src, dst, metres, cost, flags, name).
+
+    Ways that cars may not use have none. A record costs its seconds at the way's speed, as float32, and 6 more unless it is
+    its run's first or last or ends at a junction; oneway tags bar a direction; the name falls back to the reference. Ways of
+    one id are ways of their own.
+    """
+    t = F.col("tags")
+    rows = way_rows(ways.filter(T.speed(t) > 0)).withColumns({"speed": T.speed(t), "flags": T.oneway_flags(t), "name": F.coalesce(t["name"], t["ref"], F.lit(""))})
+    marked = F.coalesce(*(t[k] for k in MARKED)).isNotNull() & T.is_junction(t)
+    known = nodes.select("node", "lon", "lat", F.coalesce(marked, F.lit(False)).alias("junction"))
+    points = runs(rows.select("way", F.posexplode("refs").alias("pos", "node")), known, ("junction",))
+    order = Window.partitionBy("way", "run").orderBy("pos")
+    ahead = points.withColumns({"next": F.lead(F.struct("node", "lon", "lat", "junction")).over(order), "end": F.lead("pos", 2).over(order).isNull(), "start": F.lag("pos").over(order).isNull()})
+    ahead = ahead.filter("next IS NOT NULL").withColumn("metres", haversine(F.col("lon"), F.col("lat"), F.col("next.lon"), F.col("next.lat"))).filter(F.col("metres") <= longest)
+    real = F.col("start") | F.col("end") | F.col("junction") | F.col("next.junction")
+    found = ahead.join(rows.select("way", "id", "speed", "flags", "name"), "way")
+    cost = (F.col("metres") / (F.col("speed") * 0.27778) + F.when(real, 0).otherwise(6)).cast("float")
+    both = found.withColumns({"cost": cost, "d": F.explode(F.array(F.lit(T.FORWARD), F.lit(T.BACKWARD)))}).filter(F.col("flags").bitwiseAND(F.col("d")) > 0)
+    ends = F.when(F.col("d") == T.FORWARD, F.struct(F.col("node").alias("src"), F.col("next.node").alias("dst"))).otherwise(F.struct(F.col("next.node").alias("src"), F.col("node").alias("dst")))
+    return both.select("id", "pos", ends.alias("e"), "metres", "cost", "flags", "name").select("id", "pos", "e.src", "e.dst", "metres", "cost", "flags", "name")
+
+
 def connected_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     return nodes.join(ends, "node", "left_semi")

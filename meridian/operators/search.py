@@ -77,7 +77,7 @@ def house_boost(query: str, house: str | None, street: str | None, name: str) ->
     if house is None or house not in words:
         return None
     at = words.index(house)
-    rest, target = words[:at] + words[at + 1 :], (street if street is not None else name).split()
+    rest, target = words[:at] + words[at + 1 :], (street or name).split()
     if not rest:
         return 900.0
     best = [min((m for n in target if (m := match(q, n))), default=None) for q in rest]

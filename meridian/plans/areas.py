@@ -86,3 +86,17 @@ def admin_slots(spark, d):
 @query(f"WITH {WAYS} SELECT way, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat FROM r GROUP BY way")
 def mean_centres(spark, d):
     return areas.mean_centres(way_points(spark, d)).select("way", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query("WITH b AS (SELECT s_suppkey AS k, s_suppkey % 3 = 0 AS hole FROM supplier) SELECT k * 100 + unnest(CASE WHEN hole THEN generate_series(0, 4) ELSE generate_series(0, 2) END) AS way FROM b WHERE k % 2 = 1")
+def free_ways(spark, d):
+    """The ways of every other relation, whose members they no longer are."""
+    members, ways = relation_ways(spark, d)
+    return areas.free_ways(ways, members.filter("relation % 2 = 0")).select("way")
+
+
+@query("WITH b AS (SELECT s_suppkey AS k, s_suppkey % 3 = 0 AS hole FROM supplier), w AS (SELECT k, k * 100 + unnest(CASE WHEN hole THEN generate_series(0, 4) ELSE generate_series(0, 2) END) AS way FROM b) SELECT way FROM w WHERE k % 2 = 0 OR way % 4 = 1")
+def kept_ways(spark, d):
+    """Ways of interest themselves or as members."""
+    members, ways = relation_ways(spark, d)
+    return areas.kept_ways(ways, members.filter("relation % 2 = 0"), F.col("way") % 4 == 1).select("way")

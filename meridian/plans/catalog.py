@@ -519,11 +519,12 @@ def tile_dedup_rle(spark, d):
     return tiles.dedup_runs(t)
 
 
-@query()
+@query(f"WITH {LINES} SELECT route, pos::INT AS pos, round(lon, 6) AS lon, round(lat, 6) AS lat FROM l")
 def polyline_roundtrip(spark, d):
+    """The points of lines as their polylines say."""
     g = lines(spark, d).groupBy("route").agg(F.sort_array(F.collect_list(F.struct("pos", "lon", "lat"))).alias("p"))
     pts = F.transform("p", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
-    return g.select("route", tiles.polyline(pts).alias("line")).withColumn("back", tiles.from_polyline("line")).select("route", "line", F.size("back").alias("points"))
+    return g.select("route", tiles.polyline(pts).alias("line")).select("route", F.posexplode(tiles.from_polyline("line")).alias("pos", "p")).select("route", "pos", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 
 @query()

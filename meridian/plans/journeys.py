@@ -10,7 +10,7 @@ from ..operators import bundles, gazetteers, lines as polylines, roads, search
 from ..sources.sniff import file_format
 from ..streaming.policies import fresh
 from .areas import boxes, relation_nodes, relation_ways
-from .catalog import COSTS, FIXES, GRID, LINES, MEASURED, QUANT, TAGGED, brg, fixes, grid, grid_edges, hav, lat, lines, lon, nation_boxes, NATION_BOX, query, read, some_queries, tagged, way_nodes, way_refs
+from .catalog import COSTS, FIXES, GRID, LINES, MEASURED, QUANT, TAGGED, WAYS, brg, fixes, grid, grid_edges, hav, lat, lines, lon, nation_boxes, NATION_BOX, query, read, some_queries, tagged, way_nodes, way_refs
 
 # --- scalars ---
 
@@ -285,3 +285,27 @@ def search_highlights(spark, d):
     asked = some_queries(spark, d).filter("length(q) = 3")
     pairs = names.join(asked, F.substring("label", 1, 3) == F.col("q"))
     return search.highlights(pairs).select("label", "q", F.size("ranges").alias("parts"))
+
+
+GRAPH_CLASSES = ("motorway", "trunk", "primary", "secondary", "tertiary", "residential", "service", "track", "footway")
+
+
+@query(f"""WITH {WAYS}, v(c, kmh) AS (VALUES ('motorway', 105), ('trunk', 90), ('primary', 65), ('secondary', 55), ('tertiary', 45), ('residential', 25), ('service', 15), ('track', 10), ('footway', 0)),
+t AS (SELECT o_orderkey AS way, CASE WHEN o_orderkey % 5 = 0 THEN least(kmh, o_orderkey % 60) ELSE kmh END AS speed, CASE WHEN o_orderkey % 7 = 0 THEN 1 WHEN o_orderkey % 7 = 1 THEN 2 ELSE 3 END AS flags, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority WHEN o_orderkey % 4 = 1 THEN 'R' || o_orderkey ELSE '' END AS name
+  FROM orders JOIN v ON c = list_value({', '.join(f"'{c}'" for c in GRAPH_CLASSES)})[o_orderkey % 9 + 1] WHERE o_orderkey % 11 <> 0),
+g AS (SELECT way, pos, node, nn, CASE WHEN rn = 1 OR n3 IS NULL OR node % 7 = 1 OR nn % 7 = 1 OR node % 21 = 3 OR nn % 21 = 3 THEN 0 ELSE 6 END AS penalty, {hav('lon', 'lat', 'nlon', 'nlat')} AS metres
+  FROM (SELECT *, row_number() OVER w AS rn, lead(node) OVER w AS nn, lead(node, 2) OVER w AS n3, lead(lon) OVER w AS nlon, lead(lat) OVER w AS nlat FROM r WINDOW w AS (PARTITION BY way, run ORDER BY pos)) WHERE nn IS NOT NULL),
+x AS (SELECT *, round(((metres / (speed * 0.27778) + penalty)::FLOAT)::DOUBLE, 3) AS cost FROM g JOIN t USING (way) WHERE metres <= 20000 AND speed > 0)
+SELECT way AS id, pos::INT AS pos, node AS src, nn AS dst, cost, flags::INT AS flags, name FROM x WHERE flags IN (1, 3) UNION ALL SELECT way, pos::INT, nn, node, cost, flags::INT, name FROM x WHERE flags IN (2, 3)""")
+def road_graph(spark, d):
+    """Orders as tagged ways over parts as tagged nodes."""
+    k, p = F.col("o_orderkey"), F.col("p_partkey")
+    made = lambda pairs: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(a).alias("col1"), b.alias("col2")) for a, b in pairs)), lambda e: e["col2"].isNotNull()))
+    kind = F.element_at(F.array(*map(F.lit, GRAPH_CLASSES)), (k % 9 + 1).cast("int"))
+    way_tags = [("highway", kind), ("maxspeed", F.when(k % 5 == 0, F.concat((k % 60).cast("string"), F.lit(" km/h")))), ("oneway", F.when(k % 7 == 0, "yes").when(k % 7 == 1, "-1")), ("access", F.when(k % 11 == 0, "private")), ("name", F.when(k % 4 == 0, F.col("o_orderpriority"))), ("ref", F.when(k % 4 == 1, F.concat(F.lit("R"), k.cast("string"))))]
+    refs = way_refs(spark, d).groupBy("way").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("refs"))
+    ways = refs.join(read(spark, d, "orders").select(k.alias("way"), made(way_tags).alias("tags")), "way")
+    # gates without another key of note do not count
+    node_tags = [("highway", F.when(p % 7 == 1, "traffic_signals")), ("barrier", F.when(p % 7 == 3, "gate")), ("shop", F.when(p % 3 == 0, "bakery"))]
+    nodes = read(spark, d, "part").select(p.alias("node"), lon(p).alias("lon"), lat(p).alias("lat"), made(node_tags).alias("tags"))
+    return roads.road_graph(ways, nodes).select("id", "pos", "src", "dst", F.round(F.col("cost").cast("double"), 3).alias("cost"), F.col("flags").cast("int").alias("flags"), "name")
