@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+import heapq
+import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import tags as T
 from ..functions.geo import haversine
-from ..storage import delete, shared_dir, stage, unstage
+from ..storage import stage, unstage
 from .areas import in_boxes
 from .graph import linked
 from .order import numbered
@@ -118,33 +120,69 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return linked(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(alone)).withColumnRenamed("root", "component")
 
 
-def shortest_costs(edges: DataFrame, sources: DataFrame, hops: int = 12) -> DataFrame:
-    """(source, node, cost) for every node that a source reaches: frontier relaxation for all sources at once.
+#: Nodes of a block of the graph, and sources that are followed together in it.
+BLOCK_NODES, TOGETHER = 1 << 16, 16
 
-    Edges are stored once, bucketed by their start, and every frontier is dealt by node, so a relaxation moves the
-    frontier alone. A round relaxes hops times before its labels are stored and those before deleted; labels that its
-    last relaxation set are the next frontier, as the others have been relaxed in it. Costs are float32 by edge, summed
-    as doubles.
+
+def shortest_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, cost) for every node that a source reaches, for all sources at once.
+
+    Nodes are numbered in the order of their ids and cut into blocks, so that neighbours mostly share one. In a round the
+    blocks that labels have come into are settled, each in a task of its own and for some sources at a time, by Dijkstra's
+    method from those labels on; labels that leave a block and are better than what is held there start the next round. So
+    a path takes as many rounds as it crosses blocks, and a task holds one block's edges and a few sources' labels. Costs
+    are float32 by edge, summed as doubles from the source on.
     """
-    spark, name = edges.sparkSession, "edges_" + uuid.uuid4().hex
-    path = f"{shared_dir(spark)}/{name}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    least = edges.groupBy(F.col("src").alias("node"), "dst").agg(F.min("cost").cast("double").alias("w"))
-    least.write.bucketBy(buckets, "node").sortBy("node").option("path", path).saveAsTable(name)
-    dealt = spark.table(name)
-    best = stage(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), F.lit(True).alias("new")).distinct(), "best")
+    spark = edges.sparkSession
+    least = edges.groupBy("src", "dst").agg(F.min("cost").cast("double").alias("w"))
+    place = stage(slots(edges.select(F.explode(F.array("src", "dst")).alias("node")).unionByName(sources.select("node"))), "slots")
+    block = lambda c: F.floor(F.col(c) / BLOCK_NODES)
+    dealt = stage(slotted(least, place).withColumn("block", block("src")), "edges")
+    bunches = max(1, -(-sources.count() // TOGETHER))
+    start = sources.distinct().join(place, "node").select(F.col("node").alias("source"), F.pmod(F.xxhash64("node"), F.lit(bunches)).alias("bunch"), F.col("slot").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("fresh"))
+    labels, most = stage(start, "labels"), BLOCK_NODES
+
+    def settle(held: pa.Table, near: pa.Table) -> pa.Table:
+        out, onwards = {}, {}
+        for u, v, w in zip(*(near.column(c).to_pylist() for c in ("src", "dst", "w"))):
+            onwards.setdefault(u, []).append((v, w))
+        labels = {}
+        for row in zip(*(held.column(c).to_pylist() for c in ("source", "node", "cost", "fresh"))):
+            labels.setdefault(row[0], []).append(row[1:])
+        own = held.column("node")[0].as_py() // most if len(held) else 0
+        for source, rows in labels.items():
+            best, away = {u: c for u, c, _ in rows}, {}
+            heap = [(c, u) for u, c, fresh in rows if fresh]
+            heapq.heapify(heap)
+            while heap:
+                c, u = heapq.heappop(heap)
+                if c > best[u]:
+                    continue
+                for v, w in onwards.get(u, ()):
+                    to = best if v // most == own else away
+                    if c + w < to.get(v, math.inf):
+                        to[v] = c + w
+                        if to is best:
+                            heapq.heappush(heap, (c + w, v))
+            for found, fresh in ((best, False), (away, True)):
+                out.setdefault(fresh, []).extend((source, u, c) for u, c in found.items())
+        bunch = held.column("bunch")[0].as_py() if len(held) else 0
+        rows = [(s, bunch, u, c, fresh) for fresh, part in out.items() for s, u, c in part]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["source", "bunch", "node", "cost", "fresh"])
+
     while True:
-        front, every = best.filter("new").select("source", "node", "cost"), best.withColumn("new", F.lit(False)).repartition(buckets, "node")
-        for hop in range(1, hops + 1):
-            reached = front.join(dealt, "node").select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
-            front = reached.repartition(buckets, "node").groupBy("source", "node").agg(F.min("cost").alias("cost"))
-            every = every.unionByName(front.withColumn("new", F.lit(hop == hops)))
-        last, best = best, stage(every.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min_by("new", F.struct("cost", "new")).alias("new")), "best")
-        unstage(last)
-        if best.filter("new").isEmpty():
-            spark.sql(f"DROP TABLE {name}")
-            delete(spark, path)
-            return best.drop("new")
+        at = labels.withColumn("block", block("node"))
+        active = stage(at.filter("fresh").select("block", "bunch").distinct(), "active")
+        busy, idle = at.join(active, ["block", "bunch"], "left_semi"), at.join(active, ["block", "bunch"], "left_anti")
+        near = dealt.join(active, "block")
+        settled = busy.groupBy("block", "bunch").cogroup(near.groupBy("block", "bunch")).applyInArrow(settle, "source long, bunch long, node long, cost double, fresh boolean")
+        every = settled.unionByName(idle.drop("block")).groupBy("source", "bunch", "node")
+        now = stage(every.agg(F.min("cost").alias("cost"), F.min_by("fresh", F.struct("cost", "fresh")).alias("fresh")), "labels")
+        unstage(labels, active)
+        labels = now
+        if labels.filter("fresh").isEmpty():
+            unstage(dealt)
+            return labels.join(place.withColumnRenamed("node", "id"), F.col("node") == F.col("slot")).select("source", F.col("id").alias("node"), "cost")
 
 
 def shortest_tree(edges: DataFrame, costs: DataFrame) -> DataFrame:

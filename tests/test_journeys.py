@@ -19,7 +19,7 @@ def test_paths_are_cheapest(spark):
     edges = [(a, b, float(r.randrange(1, 9))) for a in range(40) for b in r.sample(range(40), 3) if a != b and a < 38] + [(38, 39, 1.0)]
     df = spark.createDataFrame(edges, "src long, dst long, cost double")
     sources = spark.createDataFrame([(0,), (5,)], "node long")
-    tree = roads.shortest_tree(df, roads.shortest_costs(df, sources, 3))
+    tree = roads.shortest_tree(df, roads.shortest_costs(df, sources))
     asked = [(k, s, g) for k, (s, g) in enumerate([(0, 7), (0, 23), (5, 30), (5, 5), (0, 38)])]
     got = {}
     for x in roads.paths(tree, spark.createDataFrame(asked, "route long, source long, goal long")).orderBy("route", "pos").collect():

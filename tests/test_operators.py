@@ -158,3 +158,45 @@ def test_fold_equals_decomposition(spark):
     low = F.regexp_replace(F.lower("t"), "['’ʼ]", "")
     want = plain.select("k", F.trim(F.regexp_replace(F.replace(low, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " ")).alias("f")).orderBy("k").collect()
     assert got == [r["f"] for r in want]
+
+
+def test_shortest_costs_over_blocks(spark, monkeypatch):
+    """Paths that leave blocks and come back, many sources in several bunches, ids with gaps, against a plain search."""
+    import heapq
+    import random
+
+    monkeypatch.setattr(roads, "BLOCK_NODES", 7)
+    monkeypatch.setattr(roads, "TOGETHER", 2)
+    r = random.Random(6)
+    ids = r.sample(range(10**9), 60)
+    links = [(a, b, float(r.choice([0, 1, 1, 2, 5, 9]))) for a in ids for b in r.sample(ids, 2)] + [(ids[0], ids[1], 4.0), (ids[0], ids[1], 3.0)]
+    starts = [*ids[:5], 5]
+    want = set()
+    for s in starts:
+        best, heap = {s: 0.0}, [(0.0, s)]
+        while heap:
+            c, u = heapq.heappop(heap)
+            for a, b, w in links:
+                if a == u and c <= best[u] and c + w < best.get(b, 1e9):
+                    best[b] = c + w
+                    heapq.heappush(heap, (c + w, b))
+        want |= {(s, n, c) for n, c in best.items()}
+    edges = spark.createDataFrame(links, "src long, dst long, cost float")
+    got = roads.shortest_costs(edges, spark.createDataFrame([(s,) for s in starts + starts[:1]], "node long"))
+    assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
+
+
+def test_a_road_graph_of_tags(spark):
+    tags = lambda **t: t
+    ways = spark.createDataFrame([(9, [1, 2, 3, 4, 5], tags(highway="residential", oneway="-1", ref="R1")), (9, [1, 5], tags(highway="primary", access="no")), (8, [5, 99, 1, 2], tags(highway="primary", maxspeed="30 mph", name="A"))], "way long, refs array<long>, tags map<string,string>")
+    spots = spark.createDataFrame([(k, 0.001 * k, 0.0, tags(highway="traffic_signals") if k == 3 else tags(barrier="gate")) for k in range(1, 6)], "node long, lon double, lat double, tags map<string,string>")
+    got = sorted((x["id"], x["src"], x["dst"], round(x["cost"] - x["metres"] / ((25 if x["id"] == 9 else 30) * 0.27778), 3), x["name"]) for x in roads.road_graph(ways, spots).collect())
+    # one-way back; the second and third stretch end at the signals, gates alone do not count
+    assert got == [(8, 1, 2, 0.0, "A"), (8, 2, 1, 0.0, "A"), *((9, k + 1, k, 0.0, "R1") for k in (1, 2, 3, 4))]
+    long = spark.createDataFrame([(7, list(range(1, 6)), tags(highway="service"))], "way long, refs array<long>, tags map<string,string>")
+    plain = roads.road_graph(long, spots.withColumn("tags", F.create_map().cast("map<string,string>"))).filter("src < dst").orderBy("src").collect()
+    assert [round(x["cost"] - x["metres"] / (15 * 0.27778), 3) for x in plain] == [0.0, 6.0, 6.0, 0.0]
+
+
+def test_an_empty_street_falls_back_to_the_name():
+    assert search.house_boost("12 oak", "12", "", "oak street") == search.house_boost("12 oak", "12", None, "oak street") is not None
