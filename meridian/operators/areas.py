@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bands of latitude into which an area's edges are dealt, so that a point meets only those beside it.
-BANDS = 64
+from ..storage import stage
+
+#: Edges wanted in a band of latitude, into which an area's edges are dealt so that a point meets only those beside it, and
+#: the most bands that an edge of an area lies in on average.
+BAND_EDGES, SPREAD = 4, 4
 
 
 def kept_ways(ways: DataFrame, members: DataFrame, own: Column) -> DataFrame:
@@ -127,11 +130,16 @@ def contains(points: DataFrame, edges: DataFrame, cell: float = 0.05) -> DataFra
     """(point, area) of the points (point, lon, lat) inside areas: an odd number of edges lies east of them.
 
     edges are those of an area's outer rings and holes. Boxes are joined first; then a point meets only the edges of its
-    band of latitude. Points on an edge may fall on either side.
+    band of latitude. An area has as many bands as its edges ask for, fewer where long edges would lie in most of them.
+    Points on an edge may fall on either side.
     """
-    box = edges.groupBy("area").agg(F.min("ax").alias("west"), F.min("ay").alias("south"), F.max("ax").alias("east"), F.max("ay").alias("north"))
-    high = F.greatest((F.col("north") - F.col("south")) / BANDS, F.lit(1e-12))
-    band = lambda y: F.least(F.lit(BANDS), F.greatest(F.lit(0), F.floor((y - F.col("south")) / high))).cast("int")
+    edges = stage(edges.select("area", "ax", "ay", "bx", "by"), "edges")
+    box = edges.groupBy("area").agg(F.min("ax").alias("west"), F.min("ay").alias("south"), F.max("ax").alias("east"), F.max("ay").alias("north"), F.count("*").alias("n"), F.sum(F.abs(F.col("ay") - F.col("by"))).alias("steep"))
+    tall = F.col("north") - F.col("south")
+    bands = F.least(F.col("n") / BAND_EDGES, F.coalesce(SPREAD * F.col("n") * tall / F.nullif("steep", F.lit(0.0)), F.lit(1.0)))
+    box = stage(box.withColumn("bands", F.greatest(F.lit(1), F.floor(bands)).cast("int")).drop("n", "steep"), "boxes")
+    high = F.greatest((F.col("north") - F.col("south")) / F.col("bands"), F.lit(1e-12))
+    band = lambda y: F.least(F.col("bands"), F.greatest(F.lit(0), F.floor((y - F.col("south")) / high))).cast("int")
     near = in_boxes(points.select("point", "lon", "lat"), box, cell).withColumn("band", band(F.col("lat"))).select("point", "lon", "lat", "area", "band")
     cut = edges.join(box, "area").withColumn("band", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by"))))).select("area", "band", "ax", "ay", "bx", "by")
     lon, lat = F.col("lon"), F.col("lat")

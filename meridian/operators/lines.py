@@ -6,6 +6,8 @@ is an equi-join on the route followed by an aggregate that combines before the s
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import M_PER_DEG, bearing, half_up, haversine, mercator, normalise_bearing, project
+from ..storage import stage, unstage
 
 
 def measured(line: DataFrame) -> DataFrame:
@@ -30,14 +33,59 @@ def pieces(line: DataFrame) -> DataFrame:
     return cut.select("route", "pos", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("to.lon").alias("bx"), F.col("to.lat").alias("by"), F.col("along").alias("start"), F.col("to.metres").alias("metres"))
 
 
+#: Degrees of the cells in which fixes first look for segments, by how much each further round's are wider, and how many
+#: rounds look at cells before the rest meets whole routes.
+CELL, WIDER, ROUNDS = 0.005, 8, 4
+
+
 def snap(fixes: DataFrame, line: DataFrame) -> DataFrame:
     """fixes (id, route, lon, lat) at the nearest place of their route: (id, distance, pos, along, lon, lat). The first of
-    equally near segments wins; fixes of routes with fewer than two vertices have no row."""
-    near = fixes.join(pieces(line), "route").withColumn("p", project(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    equally near segments wins; fixes of routes with fewer than two vertices have no row.
+
+    A fix meets the segments of its own cell and the eight around it. What it finds there is the nearest of all if it is no
+    farther than a cell is wide; the fixes for which it is not look again in wider cells, and only what still has no answer,
+    far away from its route, meets all of that. So do fixes near the poles, where cells are narrow, and near the 180th
+    meridian, where they end.
+    """
+    cut, left = stage(pieces(line), "segments"), stage(fixes.select("id", "route", "lon", "lat"), "fixes")
+    found = []
+    for k in range(ROUNDS):
+        size = CELL * WIDER**k
+        best = stage(_nearest(_in_cells(left, cut, size)), "near")
+        wide = 0.99 * M_PER_DEG * size * F.cos(F.radians(F.least(F.lit(90.0), F.abs("fix.lat") + size)))
+        sure = best.filter((F.col("distance") <= wide) & (F.abs("fix.lon") + 2 * size < 180)).drop("fix")
+        found.append(sure)
+        rest = stage(left.join(sure.select("id"), "id", "left_anti"), "fixes")
+        unstage(left)
+        left = rest
+        if left.isEmpty():
+            break
+    else:
+        found.append(_nearest(left.join(cut, "route")).drop("fix"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _in_cells(fixes: DataFrame, cut: DataFrame, size: float) -> DataFrame:
+    """fixes with the segments of their route that reach into the cells around them, a segment perhaps several times."""
+    at = lambda c: F.floor(c / size).cast("int")
+    asked = fixes.select("id", "route", "lon", "lat", F.explode(F.sequence(at(F.col("lon")) - 1, at(F.col("lon")) + 1)).alias("cx"), at(F.col("lat")).alias("cy"))
+    asked = asked.withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+    # long segments are dealt by their pieces of a cell's length, not by the box around them
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) / size)).cast("int")
+    part = cut.join(fixes.select("route").distinct(), "route", "left_semi").withColumns({"n": n}).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    spot = lambda c, k: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * k / F.col("n")
+    cells = lambda c: F.sequence(at(F.least(spot(c, F.col("k")), spot(c, F.col("k") + 1))), at(F.greatest(spot(c, F.col("k")), spot(c, F.col("k") + 1))))
+    part = part.withColumn("cx", F.explode(cells("x"))).withColumn("cy", F.explode(cells("y"))).drop("n", "k")
+    return asked.join(part, ["route", "cx", "cy"])
+
+
+def _nearest(near: DataFrame) -> DataFrame:
+    """(id, distance, pos, along, lon, lat, fix: where it is) of fixes beside segments."""
+    near = near.withColumn("p", project(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     distance = haversine(F.col("lon"), F.col("lat"), F.col("p.lon"), F.col("p.lat"))
     along = F.col("start") + haversine(F.col("ax"), F.col("ay"), F.col("p.lon"), F.col("p.lat"))
     best = F.min(F.struct(distance.alias("distance"), "pos", along.alias("along"), F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat")))
-    return near.groupBy("id").agg(best.alias("best")).select("id", "best.*")
+    return near.groupBy("id").agg(best.alias("best"), F.first(F.struct("lon", "lat")).alias("fix")).select("id", "best.*", "fix")
 
 
 #: Metres of a stretch of a route: what asks for a place meets the segments of its stretch alone.

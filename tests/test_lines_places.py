@@ -1,9 +1,13 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from meridian.functions import geo, tags
-from meridian.operators import admission, lines, search
+from meridian.operators import admission, areas, lines, search
 from meridian.sources.sniff import file_format
+from meridian.storage import stage
 
 
 @pytest.fixture
@@ -127,3 +131,33 @@ def test_scores_and_caps(spark):
     assert tuple(row) == (510.0, None, 740.0)
     g = spark.createDataFrame([(3, 1.0), (1, 2.0), (2, 1.0)], "id long, rank double")
     assert [r["id"] for r in search.capped(g, 2).collect()] == [1, 2]
+
+
+def test_snapping_by_cells_equals_every_pair(spark):
+    r = random.Random(9)
+    routes = [(k, p, -114 + 0.002 * p * (k + 1) + r.uniform(0, 0.004), 51 + r.uniform(0, 0.02) + (p % 7 == 0) * 0.3 * (k == 2)) for k in range(3) for p in range(120)] + [(3, 0, 0.0, 0.0)]
+    spots = [(i, r.randrange(4), -114 + r.uniform(-0.1, 0.9), 51 + r.choice([r.uniform(0, 0.02), r.uniform(-0.3, 0.3), r.uniform(-40, 38.9)])) for i in range(300)] + [(300, 0, 150.0, -30.0)]
+    line = spark.createDataFrame(routes, "route long, pos long, lon double, lat double")
+    fixes = spark.createDataFrame(spots, "id long, route long, lon double, lat double")
+    got = {tuple(x) for x in lines.snap(fixes, line).collect()}
+    assert got == {tuple(x) for x in lines._nearest(fixes.join(lines.pieces(line), "route")).drop("fix").collect()} and len(got) == sum(s[1] < 3 for s in spots)
+
+
+def test_a_fix_on_a_long_route_meets_few_segments(spark):
+    line = spark.range(100_000).select(F.lit(1).alias("route"), F.col("id").alias("pos"), (F.col("id") * 0.001).alias("lon"), (51 + F.sin("id") * 0.0005).alias("lat"))
+    fixes = spark.range(0, 100_000, 97).select("id", F.lit(1).alias("route"), (F.col("id") * 0.001 + 0.0003).alias("lon"), F.lit(51.001).alias("lat"))
+    met = lines._in_cells(fixes, lines.pieces(line), lines.CELL).groupBy("id").count().agg(F.max("count"), F.count("*")).first()
+    assert met[0] <= 60 and met[1] == fixes.count()
+    got = lines.snap(fixes, line).agg(F.count("*"), F.max("distance")).first()
+    assert got[0] == fixes.count() and got[1] < 200
+
+
+def test_a_ring_of_many_edges_is_cut_into_many_bands(spark):
+    n = 100_000
+    turn = lambda k: 2 * math.pi * k / n
+    e = spark.range(n).select(F.lit(1).alias("area"), *(f(c).alias(a) for a, f, c in (("ax", F.cos, turn(F.col("id"))), ("ay", F.sin, turn(F.col("id"))), ("bx", F.cos, turn(F.col("id") + 1)), ("by", F.sin, turn(F.col("id") + 1)))))
+    comb = spark.range(2000).select(F.lit(2).alias("area"), (F.col("id") * 0.001).alias("ax"), (F.col("id") % 2).cast("double").alias("ay"), ((F.col("id") + 1) * 0.001).alias("bx"), ((F.col("id") + 1) % 2).cast("double").alias("by"))
+    points = spark.range(5000).select(F.col("id").alias("point"), (F.rand(1) * 3 - 1.5).alias("lon"), (F.rand(2) * 3 - 1.5).alias("lat"))
+    points = stage(points, "points")
+    got = {x["point"] for x in areas.contains(points, e.unionByName(comb), 0.5).filter("area = 1").collect()}
+    assert got == {x["point"] for x in points.filter("lon * lon + lat * lat < 1").collect()}
