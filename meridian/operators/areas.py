@@ -6,7 +6,7 @@ pos, node, lon, lat), closed: the last point repeats the first. Edges of areas a
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,9 +43,11 @@ def ring_order(members: DataFrame, ways: DataFrame) -> DataFrame:
     ends = members.join(ways.select("way", F.element_at("refs", 1).alias("first"), F.element_at("refs", -1).alias("last"), F.size("refs").alias("n")).filter("n > 0"), "way")
     ends = ends.select("relation", F.coalesce(F.col("role") == "inner", F.lit(False)).alias("inner"), "idx", "way", "first", "last", "n")
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx", kind="stable")
-        way, first, last, size = (group[c].tolist() for c in ("way", "first", "last", "n"))
+    schema = pa.schema([("relation", pa.int64()), ("inner", pa.bool_()), ("ring", pa.int32()), ("place", pa.int32()), ("way", pa.int64()), ("backwards", pa.bool_())])
+
+    def walk(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("idx", "way", "first", "last", "n"))), key=lambda r: (r[0] is None, r[0] or 0))
+        _, way, first, last, size = zip(*rows)
         at, free, rings, out = {}, set(range(len(way))), 0, []
         for k in free:
             for node in {first[k], last[k]}:
@@ -67,10 +69,11 @@ def ring_order(members: DataFrame, ways: DataFrame) -> DataFrame:
             if end == first[k] and count >= 4:
                 out += [(rings, place, w, back) for place, (w, back) in enumerate(chain)]
                 rings += 1
-        made = pd.DataFrame(out, columns=["ring", "place", "way", "backwards"])
-        return made.assign(relation=group["relation"].iloc[0], inner=group["inner"].iloc[0])[["relation", "inner", "ring", "place", "way", "backwards"]]
+        whose = group.column("relation")[0].as_py(), group.column("inner")[0].as_py()
+        return pa.table([pa.array([(*whose, *r)[k] for r in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return ends.groupBy("relation", "inner").applyInPandas(walk, "relation long, inner boolean, ring int, place int, way long, backwards boolean")
+    ends = ends.withColumn("relation", F.col("relation").cast("long"))
+    return ends.groupBy("relation", "inner").applyInArrow(walk, "relation long, inner boolean, ring int, place int, way long, backwards boolean")
 
 
 def rings(members: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
