@@ -8,28 +8,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def admit(requests: DataFrame, limit: int, window_ms: int) -> DataFrame:
-    """requests (key, ms, id) with admitted: fewer than limit admitted ones of the key in the window before. The state
-    is the last limit times, so a key's requests stream through in batches."""
+def admit(requests: DataFrame, limit: int, window_ms: int, running: int | None = None) -> DataFrame:
+    """requests (key, ms, id) with admitted: fewer than limit admitted ones of the key in the window before and, if running
+    is given, fewer than running of them not yet ended, hold_ms (a column, null: 0) after they began. The state is the times
+    of the admitted ones that count, so a key's requests stream through in batches."""
     from collections import deque
+    from heapq import heappop, heappush
 
     schema = "key long, ms long, id long, admitted boolean"
 
     def run(frames):
-        key, times = None, deque()
+        key, times, ends = None, deque(), []
         for f in frames:
             out = []
-            for k, ms in zip(f["key"], f["ms"]):
+            for k, ms, hold in zip(f["key"], f["ms"], f["hold"]):
                 if k != key:
-                    key, times = k, deque()
+                    key, times, ends = k, deque(), []
                 while times and times[0] <= ms - window_ms:
                     times.popleft()
-                out.append(len(times) < limit)
+                while ends and ends[0] <= ms:
+                    heappop(ends)
+                out.append(len(times) < limit and (running is None or len(ends) < running))
                 if out[-1]:
                     times.append(ms)
+                    if running is not None:
+                        heappush(ends, ms + hold)
             yield pd.DataFrame({"key": f["key"], "ms": f["ms"], "id": f["id"], "admitted": out})
 
-    return requests.select("key", "ms", "id").repartition("key").sortWithinPartitions("key", "ms", "id").mapInPandas(run, schema)
+    hold = F.lit(0) if running is None else F.coalesce("hold_ms", F.lit(0))
+    return requests.select("key", "ms", "id", hold.cast("long").alias("hold")).repartition("key").sortWithinPartitions("key", "ms", "id").mapInPandas(run, schema)
 
 
 def throttle(requests: DataFrame, gap_ms: int) -> DataFrame:
