@@ -476,12 +476,28 @@ def traffic_bins(spark, d):
     return trips.bins(lines(spark, d))
 
 
-@query()
+def admitted_sql(limit: int, window_ms: int, running: int, hold: str) -> str:
+    """Requests one after the other: the times of those admitted in the window and the ends of those that run go along."""
+    return f"""WITH RECURSIVE {FIXES}, n AS (SELECT trip AS key, ms, event_id AS id, {hold} AS hold, row_number() OVER (PARTITION BY trip ORDER BY ms, event_id) AS rn FROM f),
+w AS (SELECT key, rn, id, ms, true AS admitted, [ms] AS times, [ms + hold] AS ends FROM n WHERE rn = 1
+UNION ALL SELECT key, rn, id, ms, fine, CASE WHEN fine THEN list_append(t, ms) ELSE t END, CASE WHEN fine THEN list_append(e, ms + hold) ELSE e END
+FROM (SELECT *, len(t) < {limit} AND len(e) < {running} AS fine FROM (SELECT n.*, list_filter(w.times, lambda x: x > n.ms - {window_ms}) AS t, list_filter(w.ends, lambda x: x > n.ms) AS e FROM w JOIN n ON n.key = w.key AND n.rn = w.rn + 1)))
+SELECT key, ms, id, admitted FROM w"""
+
+
+@query(admitted_sql(2, 24 * HOUR, 1 << 30, "0"))
 def rate_limit(spark, d):
     f = fixes(spark, d).select(F.col("trip").alias("key"), "ms", F.col("event_id").alias("id"))
     return admission.admit(f, 2, 24 * HOUR)
 
 
+@query(admitted_sql(4, 24 * HOUR, 2, f"event_id % 7 * {5 * HOUR}"))
+def leased_admission(spark, d):
+    """Requests that hold a place for a while: four in a day, two at a time."""
+    f = fixes(spark, d).select(F.col("trip").alias("key"), "ms", F.col("event_id").alias("id"), (F.col("event_id") % 7 * (5 * HOUR)).alias("hold_ms"))
+    return admission.admit(f, 4, 24 * HOUR, 2)
+
+
 # --- tiles ---
 
 MERC = "((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2)"
