@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.geo import distance_bias, haversine
-from ..functions.text import EXPANSIONS, edit_distance, fold, forms, label_key, match, score_names, tokens, tolerance
-from ..storage import stage
+from ..functions.text import EXPANSIONS, fold, forms, label_key, match, score_names, tokens
+from ..storage import stage, unstage
 from .areas import in_boxes
+from .near_words import near_words
 
 
 def postings(names: DataFrame, id_col: str = "id", name_col: str = "name") -> DataFrame:
@@ -25,49 +26,40 @@ def token_and(posting: DataFrame, wanted: list[str]) -> DataFrame:
     return posting.filter(F.col("token").isin(wanted)).groupBy("id").agg(F.countDistinct("token").alias("hits")).filter(F.col("hits") == len(set(wanted))).select("id")
 
 
-#: Tokens longer than this are compared with all of about their length, as they have too many ways to lose two letters.
-LONG = 24
-
-
-def _cuts(words: Column) -> Column:
-    """Each word without one of its letters, for arrays of words."""
-    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
-
-
 def _keys(form: Column, asked: bool) -> Column:
-    """Keys of a form of a query's token or of a name's, such that forms that match have one in common: a first letter, the
-    first three letters anywhere, a whole form that the other starts with, what is left without up to two letters."""
+    """Keys of a form of a query's token or of a name's, such that forms of which one begins with or holds the other have
+    one in common: a first letter, the first three letters anywhere, a whole form that the other starts with."""
     n = F.length(form)
     mark = lambda kind, words: F.transform(words, lambda w: F.concat(F.lit(kind), w))
     pieces = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.substring(form, i, F.lit(k)))
     none = F.array().cast("array<string>")
-    less = _cuts(F.array(form))
     if asked:
         head = F.when(n == 1, mark("p", F.array(form))).otherwise(mark("s", F.array(F.substring(form, 1, 3))))
         whole = F.when(n > 1, mark("r", F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), n)), lambda i: F.substring(form, F.lit(1), i)))).otherwise(none)
-        near = F.when(n <= 3, none).when(n <= 5, F.array_union(F.array(form), less)).when(n <= LONG, F.array_union(F.array(form), F.array_union(less, _cuts(less)))).otherwise(none)
-        lengths = F.when(n > LONG - 2, F.transform(F.sequence(n - 2, n + 2), lambda k: k.cast("string"))).otherwise(none)
     else:
         head = F.concat(mark("p", F.array(F.substring(form, 1, 1))), mark("s", pieces(3)), F.when(n > 1, mark("s", pieces(2))).otherwise(none))
         whole = F.when(n > 1, mark("r", F.array(form))).otherwise(none)
-        near = F.when(n <= LONG, F.array_union(F.array(form), F.array_union(less, _cuts(less)))).otherwise(none)
-        lengths = F.when(n > LONG - 2, F.array(n.cast("string"))).otherwise(none)
-    return F.array_distinct(F.concat(head, whole, mark("d", near), mark("l", lengths)))
+    return F.array_distinct(F.concat(head, whole))
+
+
+def allowed(n: Column) -> Column:
+    """Edits that a word of n letters may be off."""
+    return F.when(n <= 3, 0).when(n <= 5, 1).otherwise(2)
 
 
 def vocabulary_matches(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qtok, token) of the distinct query tokens and the vocabulary tokens they match. Pairs that share a key meet in an
-    equi-join in the JVM; only they are tested."""
+    """(qtok, token) of the distinct query tokens and the vocabulary tokens they match. Forms that begin with or hold one
+    another meet by keys and are told in the JVM; forms a few edits apart come from walks over the sorted vocabulary."""
     full = F.create_map(*(x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     forms = lambda c: F.concat(F.array(c), F.coalesce(F.element_at(full, F.col(c)), F.array().cast("array<string>")))
-    keyed = lambda df, c, asked: df.select(c).distinct().withColumn("form", F.explode(forms(c))).select(c, F.explode(_keys(F.col("form"), asked)).alias("key"))
-    pairs = keyed(queries, "qtok", True).join(keyed(vocabulary, "token", False), "key").select("qtok", "token").distinct()
-    return pairs.filter(_matches("qtok", "token"))
-
-
-@F.pandas_udf(T.BooleanType())
-def _matches(query: pd.Series, name: pd.Series) -> pd.Series:
-    return pd.Series([match(q, n) is not None for q, n in zip(query, name)], dtype=bool)
+    asked = queries.select("qtok").distinct().withColumn("query", F.explode(forms("qtok")))
+    held = vocabulary.select("token").distinct().withColumn("word", F.explode(forms("token")))
+    keyed = lambda df, c, asks: df.withColumn("key", F.explode(_keys(F.col(c), asks)))
+    q, w = F.col("query"), F.col("word")
+    fits = F.startswith(w, q) | ((F.length(w) >= 2) & F.startswith(q, w)) | ((F.length(q) >= 2) & F.contains(w, q))
+    alike = keyed(asked, "query", True).join(keyed(held, "word", False), "key").filter(fits).select("qtok", "token")
+    typos = near_words(held, asked.select("query", allowed(F.length("query")).alias("most")).filter("most > 0"))
+    return alike.union(typos.join(asked, "query").join(held, "word").select("qtok", "token")).distinct()
 
 
 def house_boost(query: str, house: str | None, street: str | None, name: str) -> float | None:
@@ -110,8 +102,9 @@ def search(gazetteer: DataFrame, queries: DataFrame, limit: int = 12, by: list[s
     parts = asked.select("q", F.explode(F.array_distinct(tokens(F.col("norm")))).alias("qtok")).withColumn("number", F.col("qtok").rlike("^[0-9]+$"))
     forms = name_forms(gazetteer, by)
     posting = forms.select("id", *by, F.explode(tokens(F.col("folded"))).alias("token")).distinct()
-    sizes = posting.groupBy("token").agg(F.count("*").alias("rows"))
+    sizes = stage(posting.groupBy("token").agg(F.count("*").alias("rows")), "vocabulary")
     found = stage(vocabulary_matches(sizes, parts).join(sizes, "token"), "matches")
+    unstage(sizes)
     # a query's rarest word without digits brings its candidates, as all must match; a query of numbers takes them all
     weights = parts.join(found.groupBy("qtok").agg(F.sum("rows").alias("weight")), "qtok", "left")
     of = Window.partitionBy("q")
@@ -181,20 +174,16 @@ def suggest(names: DataFrame, queries: DataFrame, near: tuple[float, float] | No
     """(q, name, edits) for each q: the nearest name by edit distance, then by rank, by distance from near, and by name;
     null without one near enough, or if q has fewer than three letters. names has name and rank, and lon and lat for near.
 
-    Names of about a query's length meet it; the JVM's own edit distance, in which a swap costs two, leaves few to test.
+    Equal folded names count by their best row. Those near a query come from walks over the sorted names (near_words).
     """
-
-    @F.pandas_udf("int")
-    def far(a: pd.Series, b: pd.Series) -> pd.Series:
-        most = lambda x: tolerance(len(x)) + (len(x) >= 8)
-        return pd.Series([d if (d := edit_distance(x, y, most(x))) <= most(x) else -1 for x, y in zip(a, b)], dtype="int32")
-
-    asked = queries.select("q", fold(F.col("q")).alias("qn")).distinct()
+    asked = queries.select("q", fold(F.col("q")).alias("query")).distinct()
     metres = haversine(F.lit(near[0]), F.lit(near[1]), F.col("lon"), F.col("lat")) if near else F.lit(0.0)
-    n = names.select("name", "rank", metres.alias("metres"), fold(F.col("name")).alias("nn")).withColumn("size", F.explode(F.sequence(F.length("nn") - 3, F.length("nn") + 3)))
-    pairs = asked.filter(F.length("qn") >= 3).withColumn("size", F.length("qn")).join(n, "size").filter(F.levenshtein("qn", "nn", 6) >= 0).withColumn("d", far("qn", "nn")).filter("d >= 0")
-    best = pairs.groupBy("q").agg(F.min(F.struct("d", (-F.col("rank")).alias("r"), "metres", "name")).alias("m"))
-    return asked.select("q").join(best, "q", "left").select("q", F.col("m.name").alias("name"), F.col("m.d").alias("edits"))
+    best = F.min(F.struct((-F.col("rank")).alias("r"), metres.alias("metres"), "name")).alias("best")
+    held = names.select("*", fold(F.col("name")).alias("word")).filter("word IS NOT NULL").groupBy("word").agg(best)
+    n = F.length("query")
+    found = near_words(held, asked.filter(n >= 3).select("query", (allowed(n) + (n >= 8).cast("int")).alias("most")))
+    pairs = found.join(held, "word").groupBy("query").agg(F.min(F.struct("edits", "best")).alias("m"))
+    return asked.join(pairs, "query", "left").select("q", F.col("m.best.name").alias("name"), F.col("m.edits").alias("edits"))
 
 
 def highlights(rows: DataFrame, label: str = "label", query: str = "q") -> DataFrame:

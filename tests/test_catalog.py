@@ -32,6 +32,87 @@ def test_entry_registers_everything(spark):
     assert e.entry(spark).count() > 0
 
 
+def alignment(a, b):
+    """Optimal string alignment by its definition."""
+    from functools import cache
+
+    @cache
+    def d(i, j):
+        if not i or not j:
+            return i + j
+        ways = [d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1])]
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+            ways.append(d(i - 2, j - 2) + 1)
+        return min(ways)
+
+    return d(len(a), len(b))
+
+
+def twin_score(query, name, expansions):
+    """The score of a folded name for a folded query, written from the rules alone."""
+    if query == name:
+        return 1000.0
+    if name.startswith(query):
+        return 800.0 - len(name) + len(query)
+    spelled = lambda t: [t, *expansions.get(t, ())]
+
+    def pair(q, n):
+        if n.startswith(q) or (len(n) > 1 and q.startswith(n)):
+            return abs(len(q) - len(n)), 0, 0
+        if len(q) > 1 and q in n:
+            return len(n) - len(q), 1, 0
+        free = 0 if len(q) < 4 else 1 if len(q) < 6 else 2
+        off = alignment(q, n) if abs(len(q) - len(n)) <= free else 9
+        return (10 + off, 2, off) if 0 < off <= free else None
+
+    matched, dropped, asked = [], 0, query.split()
+    for token in asked:
+        options = [(p[0], at, p[1], p[2]) for at, n in enumerate(name.split()) if (p := min(filter(None, (pair(x, y) for x in spelled(token) for y in spelled(n))), default=None))]
+        if options:
+            matched.append(min(options, key=lambda o: (o[0], o[1])))
+        elif token.isdigit() and len(asked) > 1:
+            dropped += 60
+        else:
+            return None
+    if not matched:
+        return None
+    cost, places, kinds = sum(m[0] for m in matched), [m[1] for m in matched], {m[2] for m in matched}
+    span = max(places) - min(places) - len(matched) + 1
+    gaps = 15 * (min(places) + span)
+    if kinds == {0} and span == 0 and places == sorted(set(places)) and (len(matched) > 1 or places == [0]):
+        return 700.0 - 3 * cost - 10 * min(places) - dropped
+    if kinds == {0}:
+        return 620.0 - 4 * cost - gaps - dropped
+    if 2 not in kinds:
+        return 500.0 - 3 * cost - gaps - dropped
+    return 440.0 - 25 * sum(m[3] for m in matched) - 3 * cost - gaps - dropped
+
+
+def test_search_topk_equals_a_twin_in_scores_and_order(spark):
+    import re
+
+    from meridian.functions.text import EXPANSIONS
+
+    fold = lambda s: re.sub("[^a-z0-9]+", " ", s.lower()).strip()
+    parts = [(r["p_partkey"], f"{r['p_name']} {r['p_brand']}", r["p_size"] % 100) for r in spark.read.parquet(f"{SF}/part.parquet").collect()]
+
+    def bias(i):
+        x, y = -114.0 + i % 100 * 0.003, 51.0 + i // 100 * 0.002
+        a, b = math.radians(51.01), math.radians(y)
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(x + 113.9) / 2) ** 2
+        m = 2 * 6371008.8 * math.asin(math.sqrt(h))
+        return min(120.0, m / 500) + min(350.0, max(0.0, m - 200000) / 3000)
+
+    got = {}
+    for r in sorted(catalog.search_topk(spark, SF).collect(), key=lambda r: (r["q"], r["place"])):
+        got.setdefault(r["q"], []).append((r["id"], r["score"]))
+    for (q,) in catalog.some_queries(spark, SF).collect():
+        hits = [(-round(s + rank - bias(i), 4), name, i) for i, name, rank in parts if (s := twin_score(fold(q), fold(name), EXPANSIONS)) is not None]
+        want = sorted(hits)[:12]
+        assert [i for i, _ in got.get(q, [])] == [h[2] for h in want], q
+        assert [s for _, s in got.get(q, [])] == pytest.approx([-h[0] for h in want], abs=2e-4)
+
+
 def test_search_queries_equal_brute_force(spark):
     import re
 
