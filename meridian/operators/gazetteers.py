@@ -58,7 +58,8 @@ def client_gazetteer(places: DataFrame, ways: DataFrame, nodes: DataFrame) -> Da
     listed = t["name"].isNull() | t["highway"].isNotNull() | (t["building"].isNull() & cat.isNotNull())
     houses = kept.filter(number.isNotNull() & street.isNotNull() & listed).join(nodes.select("node", "lon", "lat"), "node")
     houses = houses.select(*pick(F.concat_ws(" ", street, number.cast("string")), lon, lat, F.lit("address"), 40, street, number))
-    made = lines.addresses(line.withColumnRenamed("way", "route")).join(roads_.select(F.col("way").alias("route"), t["name"].alias("street")), "route")
+    # names go to the points, as the houses between them may be hundreds of times as many
+    made = lines.addresses(line.withColumnRenamed("way", "route").join(roads_.select(F.col("way").alias("route"), t["name"].alias("street")), "route"), more=("street",))
     made = made.select(*pick(F.concat_ws(" ", "street", F.col("house").cast("string")), lon, lat, F.lit("address"), 20, F.col("street"), F.col("house")))
     return named.unionByName(streets).unionByName(named_areas).unionByName(houses).unionByName(made)
 

@@ -26,11 +26,12 @@ def measured(line: DataFrame) -> DataFrame:
     return line.withColumn("metres", F.coalesce(step, F.lit(0.0))).withColumn("along", F.sum("metres").over(upto))
 
 
-def pieces(line: DataFrame) -> DataFrame:
-    """(route, pos, ax, ay, bx, by, start, metres): the segment from each vertex to the next."""
+def pieces(line: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(route, pos, ax, ay, bx, by, start, metres): the segment from each vertex to the next, with more of the line's columns
+    if asked for."""
     to = F.lead(F.struct("lon", "lat", "metres")).over(Window.partitionBy("route").orderBy("pos"))
     cut = measured(line).withColumn("to", to).filter("to IS NOT NULL")
-    return cut.select("route", "pos", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("to.lon").alias("bx"), F.col("to.lat").alias("by"), F.col("along").alias("start"), F.col("to.metres").alias("metres"))
+    return cut.select("route", "pos", F.col("lon").alias("ax"), F.col("lat").alias("ay"), F.col("to.lon").alias("bx"), F.col("to.lat").alias("by"), F.col("along").alias("start"), F.col("to.metres").alias("metres"), *more)
 
 
 #: Degrees of the cells in which fixes first look for segments, by how much each further round's are wider, and how many
@@ -160,13 +161,16 @@ def ring_areas(ring: DataFrame, least: int = 8) -> DataFrame:
     return sums.filter(F.abs("area2") >= least).select("route", "area2", *((F.col(f"s{c}") / (3.0 * F.col("area2"))).alias(f"c{c}") for c in ("x", "y")))
 
 
-def addresses(streets: DataFrame, spacing: float = 25.0, every: int = 6) -> DataFrame:
-    """(route, house, lon, lat): made-up even numbers, a step for each spacing metres of a street and one kept of every."""
-    cut = pieces(streets).withColumn("steps", F.greatest(F.lit(1), half_up(F.col("metres") / spacing)).cast("long"))
+def addresses(streets: DataFrame, spacing: float = 25.0, every: int = 6, more: tuple[str, ...] = ()) -> DataFrame:
+    """(route, house, lon, lat): made-up even numbers, a step for each spacing metres of a street and one kept of every; with
+    more of the streets' columns if asked for, as houses are many times the streets' points and hard to join later."""
+    cut = pieces(streets, more).withColumn("steps", F.greatest(F.lit(1), half_up(F.col("metres") / spacing)).cast("long"))
     before = F.sum("steps").over(Window.partitionBy("route").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("steps")
-    k = cut.withColumn("before", before).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), "steps"))).filter((F.col("before") + F.col("k")) % every == 0)
+    first = every - F.col("before") % every
+    kept = F.when(first <= F.col("steps"), F.sequence(first, F.col("steps"), F.lit(every).cast("long")))
+    k = cut.withColumn("before", before).withColumn("k", F.explode(kept))
     t = F.col("k") / F.col("steps")
-    return k.select("route", (2 * (F.col("before") + F.col("k"))).alias("house"), (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("lon"), (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("lat"))
+    return k.select("route", (2 * (F.col("before") + F.col("k"))).alias("house"), (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("lon"), (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("lat"), *more)
 
 
 def merge_streets(runs: DataFrame) -> DataFrame:

@@ -87,3 +87,10 @@ def test_a_named_building_has_no_address_row(spark):
     places = spark.createDataFrame([], "id long, lon double, lat double, tags map<string,string>")
     got = gazetteers.client_gazetteer(places, ways, nodes).collect()
     assert sorted(r["name"] for r in got) == ["Oak 5", "Oak 5", "Oak 5", "Park", "Way"]
+
+
+def test_made_up_houses_are_not_joined_again(spark, world):
+    places, ways, nodes, _, _ = world
+    plan = gazetteers.client_gazetteer(places, ways, nodes)._jdf.queryExecution().optimizedPlan().toString()
+    above, found, _ = plan.rpartition("Generate explode(")
+    assert found and not any("Join" in x for x in above.splitlines()[-4:])
