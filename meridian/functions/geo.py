@@ -123,10 +123,24 @@ def _snap(x: Column, step: int, metres: Column) -> Column:
     return F.when((metres > 0) & (s == 0), step).otherwise(s).cast("long").cast("string")
 
 
-def format_distance(m: Column, units: str = "metric") -> Column:
+def _one_digit(x: Column, even: bool) -> Column:
+    """x to one digit after the point by its exact binary value (Java rounds the shortest decimal that names it, and so 1.15,
+    which is a little less, to 1.2). Exact halves go up, or to the even digit."""
+    a, b = 8 * x, 2 * x
+    s = a + b
+    # what the sum lost, exactly: it tells on which side of a half ten times x lies
+    lost = (a - (s - (s - a))) + (b - (s - a))
+    half = s - F.floor(s) == 0.5
+    tie = F.rint(s) if even else F.ceil(s)
+    tenths = F.when(half, F.when(lost > 0, F.ceil(s)).when(lost < 0, F.floor(s)).otherwise(tie)).otherwise(F.rint(s))
+    return F.format_string("%.1f", tenths.cast("double") / 10)
+
+
+def format_distance(m: Column, units: str = "metric", even: bool = False) -> Column:
+    """A distance as people read it; even: exact halves of the last of two digits go to the even one, as C prints them."""
     odd = m.isNull() | F.isnan(m) | (F.abs(m) == float("inf"))
     big, unit = (m / 1609.344, " mi") if units == "imperial" else (m / 1000, " km")
-    long = F.when(big < 10, F.concat(F.format_string("%.1f", big), F.lit(unit))).otherwise(F.concat(half_up(big).cast("string"), F.lit(unit)))
+    long = F.when(big < 10, F.concat(_one_digit(big, even), F.lit(unit))).otherwise(F.concat(half_up(big).cast("string"), F.lit(unit)))
     if units == "imperial":
         short = F.when(big < 0.1, F.concat(_snap(m * 3.28084, 50, m), F.lit(" ft")))
     else:

@@ -90,7 +90,7 @@ def geo_bias(spark, d):
   FROM (SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice / 1000 ELSE o_totalprice END)::DOUBLE AS m FROM orders)""")
 def fmt_distance(spark, d):
     m = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") / 1000).otherwise(F.col("o_totalprice"))
-    return read(spark, d, "orders").select("o_orderkey", geo.format_distance(m).alias("metric"), geo.format_distance(m, "imperial").alias("imperial"))
+    return read(spark, d, "orders").select("o_orderkey", geo.format_distance(m, even=True).alias("metric"), geo.format_distance(m, "imperial", even=True).alias("imperial"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN s < 60 THEN '<1 min' WHEN h = 0 THEN (t % 60) || ' min' WHEN h = 1 AND t % 60 = 0 THEN '1 hr' ELSE h || ' hr ' || (t % 60) || ' min' END AS duration

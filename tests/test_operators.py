@@ -211,3 +211,10 @@ def test_nearest_sends_no_queries_through_the_driver(spark):
     near = {q: {n for n, a, b in nodes if abs(at(a) - at(x)) <= 6 and abs(at(b) - at(y)) <= 6} for q, x, y in rows}
     got = {r["query"]: r["node"] for r in found.collect()}
     assert set(got) == {q for q, n in near.items() if n} and all(n in near[q] for q, n in got.items())
+
+
+def test_one_digit_is_rounded_by_the_exact_value(spark):
+    ms = [1000 + 50.0 * k for k in range(180)]
+    got = spark.createDataFrame([(m,) for m in ms], "m double").select("m", geo.format_distance(F.col("m"), even=True)).collect()
+    assert [(m, t) for m, t in got if t != f"{m / 1000:.1f} km"] == []
+    assert spark.createDataFrame([(1150.0,), (1250.0,)], "m double").select(geo.format_distance(F.col("m"))).collect() == [("1.1 km",), ("1.3 km",)]
