@@ -93,15 +93,20 @@ def _nearest(near: DataFrame) -> DataFrame:
 STRETCH = 2000.0
 
 
-def place_at(line: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (id, route, metres): (id, pos, lon, lat) that far along the route, which its ends bound."""
+def _on_stretches(line: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (id, route, metres) with at, metres within its route, beside the segments (pos, ax, ay, bx, by, start, size) that
+    reach into its stretch. Segments follow each other without gaps, so one of them holds at."""
     cut = pieces(line).withColumnRenamed("metres", "size")
     total = cut.groupBy("route").agg(F.max(F.col("start") + F.col("size")).alias("total"))
     stretch = lambda m: F.floor(m / STRETCH)
     dealt = cut.withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("start") + F.col("size")))))
     at = F.greatest(F.lit(0.0), F.least("metres", "total"))
-    hits = asked.join(total, "route").withColumn("at", at).withColumn("stretch", stretch(F.col("at"))).join(dealt, ["route", "stretch"])
-    hits = hits.filter((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("start") + F.col("size")))
+    return asked.join(total, "route").withColumn("at", at).withColumn("stretch", stretch(F.col("at"))).join(dealt, ["route", "stretch"])
+
+
+def place_at(line: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (id, route, metres): (id, pos, lon, lat) that far along the route, which its ends bound."""
+    hits = _on_stretches(line, asked).filter((F.col("at") >= F.col("start")) & (F.col("at") <= F.col("start") + F.col("size")))
     t = F.when(F.col("size") > 0, (F.col("at") - F.col("start")) / F.col("size")).otherwise(0.0)
     spot = F.struct("pos", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("lon"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("lat"))
     return hits.groupBy("id").agg(F.min(spot).alias("spot")).select("id", "spot.*")
@@ -206,10 +211,9 @@ def merge_streets(runs: DataFrame) -> DataFrame:
 
 def vertex_at(line: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (id, route, metres): (id, pos) of the vertex nearest to that distance along the route; of two equally near the
-    later. Routes of one vertex answer it."""
-    cut = pieces(line).withColumnRenamed("metres", "size").withColumn("total", F.max(F.col("start") + F.col("size")).over(Window.partitionBy("route")))
-    hits = asked.join(cut, "route").withColumn("at", F.greatest(F.lit(0.0), F.least("metres", "total")))
-    first = hits.filter(F.col("start") + F.col("size") >= F.col("at")).groupBy("id").agg(F.min(F.struct("pos", (F.col("at") - F.col("start")).alias("into"), "size")).alias("s"))
+    later. Routes of one vertex answer it. What asks meets the segments of its stretch alone."""
+    hits = _on_stretches(line, asked).filter(F.col("start") + F.col("size") >= F.col("at"))
+    first = hits.groupBy("id").agg(F.min(F.struct("pos", (F.col("at") - F.col("start")).alias("into"), "size")).alias("s"))
     found = first.select("id", (F.col("s.pos") + F.when(F.col("s.into") < F.col("s.size") - F.col("s.into"), 0).otherwise(1)).alias("pos"))
     return asked.select("id").join(found, "id", "left").select("id", F.coalesce("pos", F.lit(0)).alias("pos"))
 

@@ -248,3 +248,13 @@ def test_vector_tiles_read_back(spark):
         7: {"green": (4096, [(True, "park", None, [outer, hole])]), "roads": (4096, [(False, "service", None, [line[:2], line[1:]]), (False, "primary", "Main", [line])])},
         9: {"green": (4096, [(True, "park", "primary", [outer])])},
     }
+
+
+def test_vertices_are_asked_by_stretch(spark):
+    line = spark.createDataFrame([(1, k, k * 0.001, 0.0) for k in range(400)], "route long, pos int, lon double, lat double")
+    asked = spark.createDataFrame([(k, 1, k * 50.0) for k in range(1000)], "id long, route long, metres double")
+    found = lines.vertex_at(line, asked)
+    assert "stretch" in found._jdf.queryExecution().optimizedPlan().toString()
+    step = geo.haversine(F.lit(0.0), F.lit(0.0), F.lit(0.001), F.lit(0.0))
+    metres = spark.range(1).select(step).first()[0]
+    assert all(r["pos"] == min(399, int(r["id"] * 50.0 / metres + 0.5)) for r in found.collect())
