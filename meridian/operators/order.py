@@ -48,6 +48,17 @@ def running(df: DataFrame, key: str, at: Column, values: dict[str, Callable], co
     return found.select(*own, *(combine(F.col(c), F.coalesce(f"_{c}", F.lit(none))).alias(c) for c in values))
 
 
+#: Rows that one task sorts, about.
+SORTED = 1 << 20
+
+
+def dealt(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """df, which has so many rows, dealt out by key to a partition for each SORTED of them where Spark's own number of
+    partitions would give a task more: that number is fixed, and what a task sorts would grow with the table."""
+    n = -(-rows // SORTED)
+    return df.repartition(n, *key) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 #: Rows of a block of numbered rows; what blocks add up to is one row each.
 ROWS = 1 << 16
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geo, tags, text
 from ..operators import admission, lines as polylines, roads, search, tiles, trips
+from ..operators.order import dealt
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -160,10 +161,16 @@ def speed_table(spark, d):
 
 def way_refs(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    refs = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    refs = path_rows(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
     return refs.select(F.col("l_orderkey").alias("way"), (F.row_number().over(order) - 1).alias("pos"), known(F.col("l_partkey")).alias("node"))
 
 
+def path_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of orders, those of an order in one task."""
+    lines = read(spark, d, "lineitem")
+    return dealt(lines, lines.count(), "l_orderkey")
+
+
 def known(k: Column) -> Column:
     """References to parts that 7 divides point nowhere: they are negated."""
     return F.when(k % 7 == 0, -k).otherwise(k)
@@ -183,7 +190,7 @@ e AS (SELECT src, dst, ((metres / (40 * 0.27778) + 6)::FLOAT)::DOUBLE AS cost, f
 
 
 def way_points(spark, d):
-    return roads.runs(way_refs(spark, d), way_nodes(spark, d))
+    return roads.runs(way_refs(spark, d), way_nodes(spark, d), rows=read(spark, d, "lineitem").count())
 
 
 def way_edges(spark, d):
@@ -296,7 +303,7 @@ c AS (SELECT *, CASE WHEN pos > 0 AND name = lag(name) OVER (PARTITION BY route
 SELECT route, step::BIGINT AS step, name, round(sum(metres), 2) AS metres, min(pos)::INT AS first_pos, max(pos)::INT AS last_pos FROM s GROUP BY route, step, name""")
 def route_steps(spark, d):
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    path = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("route"), (F.row_number().over(order) - 1).alias("pos"), F.col("l_returnflag").alias("name"), F.col("l_quantity").alias("metres"), F.col("l_quantity").alias("seconds"))
+    path = path_rows(spark, d).select(F.col("l_orderkey").alias("route"), (F.row_number().over(order) - 1).alias("pos"), F.col("l_returnflag").alias("name"), F.col("l_quantity").alias("metres"), F.col("l_quantity").alias("seconds"))
     return roads.steps(path).select("route", "step", "name", F.round("metres", 2).alias("metres"), "first_pos", "last_pos")
 
 
@@ -660,7 +667,7 @@ def address_points(spark, d):
 u AS (SELECT *, CASE WHEN row_number() OVER i > 1 THEN {hav('lag(lon) OVER i', 'lag(lat) OVER i', 'lon', 'lat')} ELSE 0.0 END AS metres FROM v WINDOW i AS (PARTITION BY way, run ORDER BY pos))
 SELECT lower(name) AS key, context, arg_min(name, (way, run, pos)) AS name, count(DISTINCT way) AS ways, round(sum(metres), 1) AS metres FROM u GROUP BY lower(name), context""")
 def street_merge(spark, d):
-    points = roads.runs(way_refs(spark, d), way_nodes(spark, d))
+    points = way_points(spark, d)
     names = read(spark, d, "orders").select(F.col("o_orderkey").alias("way"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_custkey") % 5 > 0, (F.col("o_custkey") % 5).cast("string")).alias("context"))
     return polylines.merge_streets(points.join(names, "way")).select("key", "context", "name", "ways", F.round("metres", 1).alias("metres"))
 

@@ -57,3 +57,21 @@ def test_sums_and_previous_rows_over_block_seams(spark, monkeypatch):
     found = order.disorder(placed, "place", "v")
     assert {x["place"] for x in found.collect()} == {k for k in range(1, 1000) if values[k - 1] > values[k]}
     assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_tables_are_dealt_to_more_partitions(spark, monkeypatch):
+    from meridian.operators import order, roads
+
+    monkeypatch.setattr(order, "SORTED", 100)
+    refs = spark.range(1000).selectExpr("id div 10 AS way", "id % 10 AS pos", "CASE WHEN id % 4 = 3 THEN -1 ELSE id % 50 END AS node")
+    nodes = spark.range(50).selectExpr("id AS node", "id * 0.01D AS lon", "0.0D AS lat")
+    assert order.dealt(refs, 1000, "way").rdd.getNumPartitions() == 10 and order.dealt(refs, 100, "way") is refs
+    runs = roads.runs(refs, nodes, rows=1000)
+    plan = roads.segments(runs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "hashpartitioning(way" in plan
+    want, row = set(), {(r["way"], r["pos"]): r["node"] for r in refs.collect()}
+    for (w, p), n in row.items():
+        if n >= 0 and row.get((w, p + 1), -1) >= 0:
+            want |= {(w, p, n, row[w, p + 1])}
+    assert {(r["way"], r["pos"], r["src"], r["dst"]) for r in roads.segments(runs).collect()} == want
+    assert {(r["way"], r["pos"]) for r in runs.collect()} == {(w, p) for w, p, *_ in want} | {(w, p + 1) for w, p, *_ in want}
