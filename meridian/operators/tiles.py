@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,11 +167,23 @@ def decode_polyline(text: str, digits: int = 6) -> list[tuple[float, float]]:
     return points
 
 
-@F.pandas_udf(T.StringType())
-def polyline(points: pd.Series) -> pd.Series:
-    return pd.Series([None if ps is None else encode_polyline([(p["lon"], p["lat"]) for p in ps]) for ps in points])
+# Points stay Arrow's columns of doubles, 16 bytes each; only those of one line at a time are Python's objects.
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("lon", T.DoubleType()).add("lat", T.DoubleType())))
-def from_polyline(text: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else [{"lon": a, "lat": b} for a, b in decode_polyline(t)] for t in text])
+@F.arrow_udf(T.StringType())
+def polyline(points: pa.Array) -> pa.Array:
+    lines = (p.values for p in points)
+    return pa.array([None if p is None else encode_polyline(list(zip(p.field("lon").to_pylist(), p.field("lat").to_pylist()))) for p in lines], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("lon", T.DoubleType()).add("lat", T.DoubleType())))
+def from_polyline(text: pa.Array) -> pa.Array:
+    lon, lat, ends = array("d"), array("d"), [0]
+    for t in text:
+        if t.is_valid:
+            for a, b in decode_polyline(t.as_py()):
+                lon.append(a)
+                lat.append(b)
+        ends.append(len(lon))
+    points = pa.StructArray.from_arrays([pa.array(np.array(c, float), pa.float64()) for c in (lon, lat)], ["lon", "lat"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), points, mask=text.is_null())

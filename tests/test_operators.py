@@ -218,3 +218,12 @@ def test_one_digit_is_rounded_by_the_exact_value(spark):
     got = spark.createDataFrame([(m,) for m in ms], "m double").select("m", geo.format_distance(F.col("m"), even=True)).collect()
     assert [(m, t) for m, t in got if t != f"{m / 1000:.1f} km"] == []
     assert spark.createDataFrame([(1150.0,), (1250.0,)], "m double").select(geo.format_distance(F.col("m"))).collect() == [("1.1 km",), ("1.3 km",)]
+
+
+def test_polylines_of_columns(spark):
+    line = [(-114.0 + 0.01 * k, 51.0 - 0.003 * k) for k in range(50)]
+    df = spark.createDataFrame([(1, line), (2, None), (3, []), (4, line[:1])], "k long, p array<struct<lon:double,lat:double>>")
+    got = {r["k"]: (r["t"], r["p"]) for r in df.coalesce(1).select("k", tiles.polyline("p").alias("t")).select("k", "t", tiles.from_polyline("t").alias("p")).collect()}
+    assert got[1][0] == tiles.encode_polyline(line) and [tuple(p) for p in got[1][1]] == tiles.decode_polyline(got[1][0])
+    assert got[2] == (None, None) and got[3] == ("", []) and len(got[4][1]) == 1
+    assert tiles.polyline.evalType == tiles._joined.evalType  # Arrow's columns, no object for each point
