@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import M_PER_DEG, bearing, half_up, haversine, mercator, normalise_bearing, project
 from ..storage import stage, unstage
+from .order import ROWS, numbered
 
 
 def measured(line: DataFrame) -> DataFrame:
@@ -178,12 +179,36 @@ def addresses(streets: DataFrame, spacing: float = 25.0, every: int = 6, more: t
     return k.select("route", (2 * (F.col("before") + F.col("k"))).alias("house"), (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("lon"), (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("lat"), *more)
 
 
+def middle_runs(sums: DataFrame, street: list[str]) -> DataFrame:
+    """(*street, way, run, before, half): of the runs (way, run, length, *street) of each street, laid end to end by way and
+    run, the one that half its length lies in, with the length before it and that half. sums must be stored.
+
+    Runs are numbered in this order and cut into blocks; windows run over the sums of a street's blocks and inside the one
+    block that holds the middle, so a street with a large share of all runs is many small tasks.
+    """
+    rows = numbered(sums.select(*street, "way", "run", "length"), *street, "way", "run").withColumn("block", F.floor(F.col("number") / ROWS))
+    by = Window.partitionBy(*street)
+    base = F.coalesce(F.sum("size").over(by.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    blocks = rows.groupBy(*street, "block").agg(F.sum("length").alias("size"), F.min("number").alias("low"), F.max("number").alias("high"))
+    blocks = blocks.withColumns({"base": base, "half": F.sum("size").over(by) / 2})
+    # of the blocks, and then of the runs, that reach the middle the first has it; the last may miss it by a rounding
+    at = F.struct("block", "low", "high", "base", "half")
+    held = F.coalesce(F.min(F.when(F.col("base") + F.col("size") >= F.col("half"), at)), F.max(at))
+    held = blocks.groupBy(*street).agg(held.alias("b")).select("b.*")
+    inside = Window.partitionBy("low").orderBy("number")
+    before = F.col("base") + F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    near = rows.join(held, "block").filter("number BETWEEN low AND high").withColumn("before", before)
+    reaches = (F.col("before") + F.col("length") >= F.col("half")) | F.lead("number").over(inside).isNull()
+    found = near.withColumn("reaches", reaches).filter("reaches").withColumn("n", F.row_number().over(inside)).filter("n = 1")
+    return found.select(*street, "way", "run", "before", "half")
+
+
 def merge_streets(runs: DataFrame) -> DataFrame:
     """runs (way, run, pos, name, context, lon, lat) as streets: one row for each lower-cased name and context.
 
     (key, context, name, ways, metres, lon, lat): the runs are laid end to end by way, run and position, the point lies
     half way along them, gaps between runs not counted; the name is the first run's. A null context is one of its own.
-    Points are only ordered within their run; a street orders the sums of its runs.
+    Points are only ordered within their run; the sums of runs are ordered by ranges (middle_runs).
     """
     street, inside = ["key", "context"], Window.partitionBy("way", "run").orderBy("pos")
     to = F.lead(F.struct("lon", "lat")).over(inside)
@@ -191,13 +216,8 @@ def merge_streets(runs: DataFrame) -> DataFrame:
     cut = cut.withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     sums = cut.groupBy("way", "run").agg(F.sum("size").alias("length"), F.min_by(F.struct("name", "context"), "pos").alias("n"), F.count("*").alias("points"))
     sums = sums.select("way", "run", "length", "points", F.lower("n.name").alias("key"), F.col("n.context").alias("context"), F.col("n.name").alias("name"))
-    by = Window.partitionBy(*street)
-    order = by.orderBy("way", "run")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    sums = sums.withColumns({"before": before, "half": F.sum("length").over(by) / 2})
-    # of the runs that reach the middle the first has it; the last may miss it by a rounding
-    reaches = (F.col("points") > 1) & ((F.col("before") + F.col("length") >= F.col("half")) | (F.lead("way").over(order).isNull()))
-    holds = sums.filter("points > 1").withColumn("reaches", reaches).filter("reaches").withColumn("n", F.row_number().over(order)).filter("n = 1").select(*street, "way", "run", "before", "half")
+    sums = stage(sums, "runs")
+    holds = middle_runs(sums.filter("points > 1"), street)
     end = F.col("before") + F.col("upto")
     t = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("half") - end + F.col("size")) / F.col("size")))).otherwise(0.0)
     spot = F.struct("pos", (F.col("lon") + t * (F.col("to.lon") - F.col("lon"))).alias("lon"), (F.col("lat") + t * (F.col("to.lat") - F.col("lat"))).alias("lat"))

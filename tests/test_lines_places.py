@@ -161,3 +161,21 @@ def test_a_ring_of_many_edges_is_cut_into_many_bands(spark):
     points = stage(points, "points")
     got = {x["point"] for x in areas.contains(points, e.unionByName(comb), 0.5).filter("area = 1").collect()}
     assert got == {x["point"] for x in points.filter("lon * lon + lat * lat < 1").collect()}
+
+
+def test_middle_runs_need_no_window_over_a_street(spark, monkeypatch):
+    monkeypatch.setattr(lines, "ROWS", 7)
+    r = random.Random(2)
+    rows = [(w, k, float(r.randrange(0, 5)), r.choice("ab"), r.choice([None, "x"])) for w in range(60) for k in range(2)]
+    sums = lines.stage(spark.createDataFrame(rows, "way long, run int, length double, key string, context string"), "sums")
+    got = {(x["key"], x["context"]): (x["way"], x["run"], x["before"], x["half"]) for x in lines.middle_runs(sums, ["key", "context"]).collect()}
+    want = {}
+    for street in {x[3:] for x in rows}:
+        own, before = sorted(x for x in rows if x[3:] == street), 0.0
+        half = sum(x[2] for x in own) / 2
+        for w, k, size, *_ in own:
+            if before + size >= half:
+                want[street] = (w, k, before, half)
+                break
+            before += size
+    assert got == want and len(got) == 4
