@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +29,8 @@ SEQUENCE = 2048
 PARTS = 8192
 #: Words whose ids a worker remembers, and the most letters of one.
 CACHE, LETTERS = 400_000, 64
+#: Characters of texts, about, whose words are told apart at once.
+CHARS = 1 << 21
 
 #: Pieces of lower-cased text that the tokenizer splits at, in the characters for which Python and it agree.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+(?:_+[^\s\w]*)*|_[^\s\w]*(?:_+[^\s\w]*)*")
@@ -68,23 +71,30 @@ class WordTokenizer:
         rest = [b for b in range(256) if b not in own]
         self.bytes = {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
 
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+        ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(piece) <= LETTERS:
+            self.known[piece] = ids
+        return ids
+
     def _word(self, word: str) -> bytes:
-        parts = []
-        for piece in PIECE.findall(word):
-            if (ids := self.known.get(piece)) is None:
-                letters = piece.encode().decode("latin-1").translate(self.bytes)
-                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-                if len(piece) <= LETTERS:
-                    self.known[piece] = ids
-            parts.append(ids)
-        found = b"".join(parts)
+        if word.isalpha():
+            return self._piece(word)
+        known, stem = self.known, word.rstrip(".,;:!?")
+        if stem.isalpha():  # the two pieces are remembered, the word is not
+            return b"".join([self._piece(p) if (ids := known.get(p)) is None else ids for p in (stem, word[len(stem) :])])
+        found = b"".join([self._piece(p) if (ids := known.get(p)) is None else ids for p in PIECE.findall(word)])
         if len(word) <= LETTERS:
-            self.known[word] = found
+            known[word] = found
         return found
 
+    def _is_plain(self, text: str) -> bool:
+        return self.plain and "<|" not in text and PLAIN.fullmatch(text) is not None
+
     def encode(self, text: str) -> bytes:
         known = self.known
-        if not self.plain or "<|" in text or not PLAIN.fullmatch(text):
+        if not self._is_plain(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.lower().split()
         if len(known) > CACHE:
@@ -94,6 +104,32 @@ class WordTokenizer:
         except KeyError:
             return b"".join([known.get(w) or self._word(w) for w in words])
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode() of each text. Texts are taken together for about CHARS characters; of their words each different one is
+        looked up once, and Arrow lays the ids out by word."""
+        found, lo = [], 0
+        while lo < len(texts):
+            hi, size = lo + 1, len(texts[lo])
+            while hi < len(texts) and size < CHARS:
+                hi, size = hi + 1, size + len(texts[hi])
+            found += self._together(texts[lo:hi])
+            lo = hi
+        return found
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        known, plain = self.known, [self._is_plain(t) for t in texts]
+        # white space of plain texts is that of ASCII
+        words = pc.ascii_split_whitespace(pa.array([t.lower() for t, own in zip(texts, plain) if own], pa.large_string()))
+        each = words.flatten().dictionary_encode()
+        if len(known) > CACHE:
+            known.clear()
+        ids = [self._word(w) if (x := known.get(w)) is None else x for w in each.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        laid = pa.array(ids, pa.large_binary()).take(each.indices)
+        _, offsets, data = laid.buffers()
+        ends = np.frombuffer(offsets, np.int64)[words.offsets.to_numpy()].tolist() if len(laid) else [0] * (len(words) + 1)
+        data, rows = memoryview(data or b""), iter(zip(ends, ends[1:]))
+        return [bytes(data[slice(*next(rows))]) if own else self.encode(t) for t, own in zip(texts, plain)]
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -112,12 +148,12 @@ def tokenise(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = 0,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = tokenizer(path).encode, np.array([end_id], "<u4").tobytes(), 4 * size
+        encode, end, step = tokenizer(path).encode_all, np.array([end_id], "<u4").tobytes(), 4 * size
         for b in batches:
-            for lo in range(0, len(b), 256):
+            for lo in range(0, len(b), 1024):
                 rows = []
-                for i, text in zip(b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256).to_pylist()):
-                    e = encode(text or "") + end
+                for i, e in zip(b.column(0).slice(lo, 1024).to_pylist(), encode([text or "" for text in b.column(1).slice(lo, 1024).to_pylist()])):
+                    e += end
                     rows += [(i, at // step, at // 4, len(cut) // 4, zlib.crc32(cut), cut) for at in range(0, len(e), step) for cut in [e[at : at + step]]]
                 columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
                 if with_ids:

@@ -55,13 +55,13 @@ def _ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Staged (doc_id, n, crc, ids): ids as unsigned 16-bit integers where they fit, else 32-bit ones; n counts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = tokenizer(path).encode, np.array([end_id], "<u4").tobytes()
+        own, end = tokenizer(path).encode_all, np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, len(b), 256):
-                rows = [own(text or "") + end for text in b.column(1).slice(lo, 256).to_pylist()]
+            for lo in range(0, len(b), 1024):
+                rows = [e + end for e in own([text or "" for text in b.column(1).slice(lo, 1024).to_pylist()])]
                 slim = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else e for e in rows for x in [np.frombuffer(e, "<u4")]]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, 256), pa.array([len(e) // 4 for e in rows], pa.int64()), pa.array([zlib.crc32(e) for e in rows], pa.int64()), pa.array(slim, pa.binary())],
+                    [b.column(0).slice(lo, 1024), pa.array([len(e) // 4 for e in rows], pa.int64()), pa.array([zlib.crc32(e) for e in rows], pa.int64()), pa.array(slim, pa.binary())],
                     ["doc_id", "n", "crc", "ids"],
                 )
 

@@ -174,3 +174,18 @@ def test_trie_of_long_and_nested_conversations(spark):
     turns = [(c, d + 1, hashlib.sha256(repr(t).encode()).digest(), len(t[1].split())) for c, p in paths.items() for d, t in enumerate(p)]
     found = prefix_trie.trie(spark.createDataFrame(turns, "conv_id long, depth long, item binary, words long"), spark.createDataFrame([(c,) for c in paths], "conv_id long"))
     assert of(found) == brute_trie(paths)
+
+
+def test_texts_taken_together_look_each_word_up_once(monkeypatch):
+    words, r, calls = packing.WordTokenizer(packing.default_tokenizer()), random.Random(5), []
+    plain = words._word
+    monkeypatch.setattr(words, "_word", lambda w: calls.append(w) or plain(w))
+    monkeypatch.setattr(packing, "CHARS", 1 << 15)
+    made = ["".join(r.choice("abé") for _ in range(8)) + r.choice(["", ",", "'s", "_x!", "²"]) for _ in range(500)]
+    texts = ["", " ", "a  b ", "日本 x", "x\x0by", "<|endoftext|> a"] + [r.choice(" \t\n").join(r.choices(made, k=80)) for _ in range(400)]
+    monkeypatch.setattr(packing, "CACHE", 0)  # nothing is remembered from one group of texts to the next
+    got = words.encode_all(texts)
+    assert got == [np.array(words.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    groups = -(-sum(map(len, texts)) // packing.CHARS)
+    assert len(calls) <= (groups + 1) * (len(set(made)) + 10) < 400 * 80 / 3
+    assert words.encode_all([]) == [] and words.encode_all(["", "日"]) == [b"", words.encode("日")]
