@@ -36,26 +36,28 @@ def pieces(line: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 
 #: Degrees of the cells in which fixes first look for segments, by how much each further round's are wider, and how many
-#: rounds look at cells before the rest meets whole routes.
-CELL, WIDER, ROUNDS = 0.005, 8, 4
+#: rounds look at cells before the rest meets whole routes. All of them divide 360 degrees.
+CELL, WIDER, ROUNDS = 0.01, 10, 4
+#: The share of a cell's width by which segments are dealt beyond the cells they lie in.
+REACH = 0.25
 
 
 def snap(fixes: DataFrame, line: DataFrame) -> DataFrame:
     """fixes (id, route, lon, lat) at the nearest place of their route: (id, distance, pos, along, lon, lat). The first of
     equally near segments wins; fixes of routes with fewer than two vertices have no row.
 
-    A fix meets the segments of its own cell and the eight around it. What it finds there is the nearest of all if it is no
-    farther than a cell is wide; the fixes for which it is not look again in wider cells, and only what still has no answer,
-    far away from its route, meets all of that. So do fixes near the poles, where cells are narrow, and near the 180th
-    meridian, where they end.
+    A fix meets the segments that lie in its own cell or near it. What it finds there is the nearest of all if it is no
+    farther than that margin is wide; the fixes for which it is not look again in wider cells, and only what still has no
+    answer, far away from its route, meets all of that. So do fixes near the poles, where cells are narrow.
     """
-    cut, left = stage(pieces(line), "segments"), stage(fixes.select("id", "route", "lon", "lat"), "fixes")
+    cut, left = stage(pieces(line).drop("metres"), "segments"), stage(fixes.select("id", "route", "lon", "lat"), "fixes")
     found = []
     for k in range(ROUNDS):
         size = CELL * WIDER**k
-        best = stage(_nearest(_in_cells(left, cut, size)), "near")
-        wide = 0.99 * M_PER_DEG * size * F.cos(F.radians(F.least(F.lit(90.0), F.abs("fix.lat") + size)))
-        sure = best.filter((F.col("distance") <= wide) & (F.abs("fix.lon") + 2 * size < 180)).drop("fix")
+        best = stage(_nearest_of(*_cells(left, cut, size), ["route", "cx", "cy"]), "near")
+        reach = REACH * size
+        wide = 0.99 * M_PER_DEG * reach * F.cos(F.radians(F.least(F.lit(90.0), F.abs("fix.lat") + reach)))
+        sure = best.filter(F.col("distance") <= wide).drop("fix")
         found.append(sure)
         rest = stage(left.join(sure.select("id"), "id", "left_anti"), "fixes")
         unstage(left)
@@ -63,31 +65,57 @@ def snap(fixes: DataFrame, line: DataFrame) -> DataFrame:
         if left.isEmpty():
             break
     else:
-        found.append(_nearest(left.join(cut, "route")).drop("fix"))
+        found.append(_nearest_of(left, cut, ["route"]).drop("fix"))
     return reduce(DataFrame.unionByName, found)
 
 
-def _in_cells(fixes: DataFrame, cut: DataFrame, size: float) -> DataFrame:
-    """fixes with the segments of their route that reach into the cells around them, a segment perhaps several times."""
-    at = lambda c: F.floor(c / size).cast("int")
-    asked = fixes.select("id", "route", "lon", "lat", F.explode(F.sequence(at(F.col("lon")) - 1, at(F.col("lon")) + 1)).alias("cx"), at(F.col("lat")).alias("cy"))
-    asked = asked.withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+def _cells(fixes: DataFrame, cut: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
+    """fixes with their cell (cx, cy), and the segments of their routes in each cell that they come near to, perhaps several
+    times. Cells go around the globe, so those on both sides of the 180th meridian are neighbours."""
+    at, turn, reach = lambda c: F.floor(c / size).cast("int"), round(360 / size), REACH * size
+    asked = fixes.select("id", "route", "lon", "lat", F.pmod(at(F.col("lon")), F.lit(turn)).alias("cx"), at(F.col("lat")).alias("cy"))
     # long segments are dealt by their pieces of a cell's length, not by the box around them
     n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) / size)).cast("int")
     part = cut.join(fixes.select("route").distinct(), "route", "left_semi").withColumns({"n": n}).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     spot = lambda c, k: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * k / F.col("n")
-    cells = lambda c: F.sequence(at(F.least(spot(c, F.col("k")), spot(c, F.col("k") + 1))), at(F.greatest(spot(c, F.col("k")), spot(c, F.col("k") + 1))))
-    part = part.withColumn("cx", F.explode(cells("x"))).withColumn("cy", F.explode(cells("y"))).drop("n", "k")
+    cells = lambda c: F.sequence(at(F.least(spot(c, F.col("k")), spot(c, F.col("k") + 1)) - reach), at(F.greatest(spot(c, F.col("k")), spot(c, F.col("k") + 1)) + reach))
+    part = part.withColumn("cx", F.explode(cells("x"))).withColumn("cy", F.explode(cells("y"))).withColumn("cx", F.pmod("cx", F.lit(turn)))
+    return asked, part.select("route", "cx", "cy", "pos", "ax", "ay", "bx", "by", "start")
+
+
+def _in_cells(fixes: DataFrame, cut: DataFrame, size: float) -> DataFrame:
+    """fixes with the segments of their route that reach into their cell or near it, a segment perhaps several times."""
+    asked, part = _cells(fixes, cut, size)
     return asked.join(part, ["route", "cx", "cy"])
 
 
+def _beside(near: DataFrame) -> DataFrame:
+    """Fixes beside segments with p, the nearest place of the segment, and the distance to it."""
+    near = near.withColumn("p", project(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    return near.withColumn("distance", haversine(F.col("lon"), F.col("lat"), F.col("p.lon"), F.col("p.lat")))
+
+
 def _nearest(near: DataFrame) -> DataFrame:
     """(id, distance, pos, along, lon, lat, fix: where it is) of fixes beside segments."""
-    near = near.withColumn("p", project(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    distance = haversine(F.col("lon"), F.col("lat"), F.col("p.lon"), F.col("p.lat"))
     along = F.col("start") + haversine(F.col("ax"), F.col("ay"), F.col("p.lon"), F.col("p.lat"))
-    best = F.min(F.struct(distance.alias("distance"), "pos", along.alias("along"), F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat")))
-    return near.groupBy("id").agg(best.alias("best"), F.first(F.struct("lon", "lat")).alias("fix")).select("id", "best.*", "fix")
+    best = F.min(F.struct("distance", "pos", along.alias("along"), F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat")))
+    return _beside(near).groupBy("id").agg(best.alias("best"), F.first(F.struct("lon", "lat")).alias("fix")).select("id", "best.*", "fix")
+
+
+def _about_nearest(fixes: DataFrame, cut: DataFrame, on: list[str]) -> DataFrame:
+    """fixes joined with those segments of cut, of the same values of these columns, that are as near as any or a thousandth of
+    a millimetre farther. All pairs pass through a hash table of least distances by fix; a sort would write them down."""
+    pairs = _beside(fixes.join(cut, on))
+    least = pairs.groupBy("id", "lon", "lat", *on).agg(F.min("distance").alias("least"))
+    near = _beside(least.join(cut, on)).drop("p")
+    # exploded, since Spark would move a filter to where it computes each part of the distance many times over
+    kept = F.when(F.col("distance") > F.col("least") + 1e-6, F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
+    return near.select("*", F.explode(kept).alias("kept")).drop("distance", "least", "kept")
+
+
+def _nearest_of(fixes: DataFrame, cut: DataFrame, on: list[str]) -> DataFrame:
+    """_nearest() of fixes joined with the segments of cut on these columns, without an order of all pairs."""
+    return _nearest(_about_nearest(fixes, cut, on))
 
 
 #: Metres of a stretch of a route: what asks for a place meets the segments of its stretch alone.

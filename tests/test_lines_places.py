@@ -179,3 +179,27 @@ def test_middle_runs_need_no_window_over_a_street(spark, monkeypatch):
                 break
             before += size
     assert got == want and len(got) == 4
+
+
+def test_snapping_sorts_no_pairs(spark):
+    """Every segment of a cell is as far from its fixes as the next; pairs number a hundred times the fixes."""
+    line = spark.range(3000).select(F.lit(1).alias("route"), F.col("id").alias("pos"), (F.col("id") % 100 * 1e-5).alias("lon"), (51 + F.col("id") / 3e3).alias("lat"))
+    fixes = spark.range(3000).select("id", F.lit(1).alias("route"), (F.col("id") % 7 * 1e-5).alias("lon"), (51.0001 + F.col("id") / 3e3).alias("lat"))
+    asked, part = lines._cells(fixes, lines.pieces(line), lines.CELL)
+    asked, part = stage(asked, "asked"), stage(part, "part")
+    found = lines._nearest_of(asked, part, ["route", "cx", "cy"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "min(distance" in plan  # a number first, the structs of what is as near after
+    met = lines._in_cells(fixes, lines.pieces(line), lines.CELL).count()
+    kept = lines._about_nearest(asked, part, ["route", "cx", "cy"]).count()
+    assert met > 30 * 3000 and kept < 4 * 3000
+    assert sorted(found.collect()) == sorted(lines._nearest(asked.join(part, ["route", "cx", "cy"])).collect())
+
+
+def test_fixes_beside_the_180th_meridian_meet_cells(spark):
+    line = spark.createDataFrame([(1, p, 179.9 + 0.001 * p, 10.0) for p in range(300)], "route long, pos long, lon double, lat double")
+    fixes = spark.createDataFrame([(k, 1, lon, 10.0003) for k, lon in enumerate((179.95, -179.95, 180.0, -180.0, 180.0503))], "id long, route long, lon double, lat double")
+    met = lines._in_cells(fixes, lines.pieces(line), lines.CELL).groupBy("id").count().agg(F.max("count"), F.count("*")).first()
+    assert met[0] <= 60 and met[1] == 5
+    got = {tuple(x) for x in lines.snap(fixes, line).collect()}
+    assert got == {tuple(x) for x in lines._nearest(fixes.join(lines.pieces(line), "route")).drop("fix").collect()} and len(got) == 5
