@@ -92,43 +92,43 @@ def admin_areas(ways: DataFrame, nodes: DataFrame, relations: DataFrame, rings:
     return found, edges
 
 
-def _entries(df: DataFrame) -> DataFrame:
-    """df (id, lon, lat, tags) as entries; elements without a name or house number are none."""
+def _entries(df: DataFrame, *more: str) -> DataFrame:
+    """df (id, lon, lat, tags) as entries, with more of its columns if asked for; elements without a name or house number are
+    none."""
     t = F.col("tags")
     people = F.regexp_replace(t["population"], "[, ]", "").try_cast("double")
     made = df.withColumn("e", T.entry(t)).filter("e IS NOT NULL")
     weight = T.importance(F.col("e.kind"), people, t["admin_level"].try_cast("double"))
-    return made.select("id", "e.name", "e.kind", "e.osm", "lon", "lat", weight.alias("importance"), t["addr:city"].alias("city"), t["addr:state"].alias("state"), t["addr:country"].alias("country"), T.alternates(t, F.col("e.name")).alias("alt"), t["addr:street"].alias("street"), t["addr:housenumber"].alias("house"))
+    return made.select("id", "e.name", "e.kind", "e.osm", "lon", "lat", weight.alias("importance"), t["addr:city"].alias("city"), t["addr:state"].alias("state"), t["addr:country"].alias("country"), T.alternates(t, F.col("e.name")).alias("alt"), t["addr:street"].alias("street"), t["addr:housenumber"].alias("house"), *more)
 
 
 def merged_streets(points: DataFrame, tagged: DataFrame, context: DataFrame) -> DataFrame:
     """(id, lon, lat, tags, more): one row for the runs (way, run, pos, lon, lat) of a lower-cased name and context.
 
     The point lies half way along all runs in the order of their ways, lengths taken flat; tags are the first way's, more
-    the alternate names of all. Only runs' sums are ordered by street, so a street of any length is many small tasks.
+    the alternate names of all. Points are only ordered within their run; the sums of runs are ordered by ranges
+    (lines.middle_runs), so a street of any length is many small tasks.
     """
     middle = Window.partitionBy("way", "run").orderBy("pos")
     nxt = F.lead(F.struct("lon", "lat")).over(middle)
     cut = points.withColumn("to", nxt)
     size = F.hypot((F.col("lon") - F.col("to.lon")) * F.cos(F.radians("lat")), F.col("lat") - F.col("to.lat"))
-    cut = cut.withColumn("size", F.coalesce(size, F.lit(0.0))).withColumn("upto", F.sum("size").over(middle.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = cut.withColumn("size", F.coalesce(size, F.lit(0.0))).withColumns({"upto": F.sum("size").over(middle.rowsBetween(Window.unboundedPreceding, 0)), "last": F.lead("to.lon").over(middle).isNull()})
+    cut = stage(cut.select("way", "run", "pos", "lon", "lat", "to", "size", "upto", "last"), "stretches")
     sums = cut.groupBy("way", "run").agg(F.sum("size").alias("length"), F.min_by(F.struct("lon", "lat"), "pos").alias("start"))
-    sums = sums.join(tagged.select("way", F.lower(F.col("tags")["name"]).alias("key")), "way").join(context, ["way", "run"], "left")
+    sums = stage(sums.join(tagged.select("way", F.lower(F.col("tags")["name"]).alias("key")), "way").join(context, ["way", "run"], "left"), "runs")
     street = ["key", "city", "state", "country"]
-    by = Window.partitionBy(*street)
-    order = by.orderBy("way", "run")
-    sums = sums.withColumns({"before": F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "half": F.sum("length").over(by) / 2, "first": F.first("way").over(order), "origin": F.first("start").over(order)})
-    holds = sums.filter("before + length >= half AND length > 0").withColumn("n", F.row_number().over(order)).filter("n = 1").select(*street, "way", "run", "before", "half")
+    holds = lines.middle_runs(sums.filter("length > 0"), street)
     left = F.col("half") - F.col("before") - (F.col("upto") - F.col("size"))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / F.col("size")))
+    t = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / F.col("size")))).otherwise(0.0)
     spot = F.struct("pos", (F.col("lon") + (F.col("to.lon") - F.col("lon")) * t).alias("lon"), (F.col("lat") + (F.col("to.lat") - F.col("lat")) * t).alias("lat"))
     # the last stretch is open to the rounding of its sums
-    reached = (F.col("size") > 0) & ((F.col("before") + F.col("upto") >= F.col("half")) | F.col("to").isNull())
-    mids = holds.join(cut, ["way", "run"]).filter(reached).groupBy(*street).agg(F.min(spot).alias("spot"))
+    reached = (F.col("before") + F.col("upto") >= F.col("half")) | F.col("last")
+    mids = holds.join(cut.filter("to IS NOT NULL"), ["way", "run"]).filter(reached).groupBy(*street).agg(F.min(spot).alias("spot"))
     same = lambda a, b: a.join(b.select(*(F.col(c).alias(f"_{c}") for c in street), *[c for c in b.columns if c not in street]), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in street], "left").drop(*(f"_{c}" for c in street))
-    one = sums.groupBy(*street).agg(F.first("first").alias("way"), F.first("origin").alias("origin"))
-    more = sums.select("way", *street).distinct().join(tagged.select("way", T.alternates(F.col("tags"), F.col("tags")["name"]).alias("alt")), "way").select(*street, F.explode("alt").alias("alt"))
-    more = more.groupBy(*street).agg(F.collect_set("alt").alias("more"))
+    one = sums.groupBy(*street).agg(F.min(F.struct("way", "run", "start")).alias("first")).select(*street, "first.way", F.col("first.start").alias("origin"))
+    alt = tagged.select("way", F.explode(T.alternates(F.col("tags"), F.col("tags")["name"])).alias("alt"))
+    more = sums.select("way", *street).join(alt, "way").groupBy(*street).agg(F.collect_set("alt").alias("more"))
     found = same(same(one, mids), more).join(tagged.select("way", "tags"), "way")
     return found.select(F.concat(F.lit("way/"), F.col("way").cast("string")).alias("id"), F.coalesce("spot.lon", "origin.lon").alias("lon"), F.coalesce("spot.lat", "origin.lat").alias("lat"), "tags", F.coalesce("more", F.array().cast("array<string>")).alias("more"))
 
@@ -137,17 +137,18 @@ def server_gazetteer(places: DataFrame, ways: DataFrame, nodes: DataFrame, relat
     """Tagged nodes, ways that are no streets, streets merged by name and context, and relations with a ring; the areas
     around an entry override what its tags say. By importance, then id; cap 0 keeps all."""
     t = F.col("tags")
+    ways = stage(ways, "ways")
     rings = stage(areas.rings(members, ways, nodes), "rings")
     found, edges = admin_areas(ways, nodes, relations, rings)
     found, edges = stage(found, "areas"), stage(edges, "edges")
     street = F.coalesce(t["highway"].isNotNull() & t["name"].isNotNull() & t["addr:housenumber"].isNull(), F.lit(False))
-    points = roads.runs(_refs(ways.filter(street)), nodes)
+    points = stage(roads.runs(_refs(ways.filter(street)), nodes).select("way", "run", "pos", "lon", "lat"), "points")
     rank = F.row_number().over(Window.partitionBy("way", "run").orderBy("pos")) - 1
     middle = points.withColumns({"at": rank, "n": F.count("*").over(Window.partitionBy("way", "run"))}).filter(F.col("at") == F.floor(F.col("n") / 2))
     context = areas.admin_context(middle.select(F.struct("way", "run").alias("point"), "lon", "lat"), found, edges).select("point.way", "point.run", "city", "state", "country")
     streets = merged_streets(points, ways.filter(street), context)
     more = F.array_sort(F.array_distinct(F.concat("alt", "more")))
-    street_rows = _entries(streets.drop("more")).join(streets.select("id", "more"), "id").withColumn("alt", more).drop("more")
+    street_rows = _entries(streets, "more").withColumn("alt", more).drop("more")
     others = ways.filter(~street)
     line = bridged(others, nodes)
     mid = line.withColumn("n", F.count("*").over(Window.partitionBy("way"))).filter(F.col("pos") == F.floor(F.col("n") / 2)).select("way", "lon", "lat")
@@ -156,9 +157,10 @@ def server_gazetteer(places: DataFrame, ways: DataFrame, nodes: DataFrame, relat
     whole = areas.measures(rings.filter("NOT inner AND ring = 0"), ["relation", "ring"]).join(relations, "relation")
     whole = whole.select(F.concat(F.lit("relation/"), F.col("relation").cast("string")).alias("id"), F.col("cx").alias("lon"), F.col("cy").alias("lat"), "tags")
     nodes_ = places.select(F.concat(F.lit("node/"), F.col("id").cast("string")).alias("id"), "lon", "lat", "tags")
-    every = stage(_entries(nodes_.unionByName(spots).unionByName(whole)).unionByName(street_rows), "entries")
-    around = areas.admin_context(every.select(F.col("id").alias("point"), "lon", "lat"), found, edges).select(F.col("point").alias("id"), *(F.col(c).alias(f"in_{c}") for c in ("city", "state", "country")))
-    out = every.join(around, "id", "left").withColumns({c: F.coalesce(f"in_{c}", c) for c in ("city", "state", "country")}).drop("in_city", "in_state", "in_country")
+    # a way that is the first of several streets gives all of them its id, so entries are told apart by a number
+    every = stage(_entries(nodes_.unionByName(spots).unionByName(whole)).unionByName(street_rows).withColumn("point", F.monotonically_increasing_id()), "entries")
+    around = areas.admin_context(every.select("point", "lon", "lat"), found, edges).select("point", *(F.col(c).alias(f"in_{c}") for c in ("city", "state", "country")))
+    out = every.join(around, "point", "left").withColumns({c: F.coalesce(f"in_{c}", c) for c in ("city", "state", "country")}).drop("point", "in_city", "in_state", "in_country")
     return capped_by_importance(out, cap)
 
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,25 @@ def test_made_up_houses_are_not_joined_again(spark, world):
     plan = gazetteers.client_gazetteer(places, ways, nodes)._jdf.queryExecution().optimizedPlan().toString()
     above, found, _ = plan.rpartition("Generate explode(")
     assert found and not any("Join" in x for x in above.splitlines()[-4:])
+
+
+def test_a_way_that_begins_two_streets_keeps_both(spark):
+    spots = [(1, 0.2, 0.5), (2, 0.4, 0.5), (3, 2.0, 0.5), (4, 2.4, 0.5), (11, 0.0, 0.0), (12, 1.0, 0.0), (13, 1.0, 1.0), (14, 0.0, 1.0)]
+    nodes = spark.createDataFrame(spots, "node long, lon double, lat double")
+    border = {"boundary": "administrative", "admin_level": "4", "name": "State"}
+    ways = ways_of(spark, [(1, [1, 2, 99, 3, 4], {"highway": "primary", "name": "Main", "name:fr": "Grand"}), (2, [11, 12, 13, 14, 11], border)])
+    empty = lambda columns: spark.createDataFrame([], columns)
+    tags_ = "tags map<string,string>"
+    got = gazetteers.server_gazetteer(empty("id long, lon double, lat double, " + tags_), ways, nodes, empty("relation long, " + tags_), empty("relation long, idx int, way long, role string")).collect()
+    streets = sorted((round(r["lon"], 9), r["state"]) for r in got if r["kind"] == "street")
+    assert streets == [(0.3, "State"), (2.2, None)] and {r["id"] for r in got} == {"way/1", "way/2"}
+
+
+def test_no_window_orders_the_runs_of_a_street(spark):
+    points = spark.createDataFrame([(w, 0, p, w * 0.1 + p * 0.05, 0.0) for w in range(9) for p in range(2)], "way long, run int, pos int, lon double, lat double")
+    tagged = ways_of(spark, [(w, [], {"name": "Main"}) for w in range(9)])
+    context = points.select("way", "run", *(F.lit(None).cast("string").alias(c) for c in ("city", "state", "country"))).distinct()
+    found = gazetteers.merged_streets(points, tagged, context)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "country#" in plan and not re.search(r"windowspecdefinition\(key#\d+,[^)]* way#", plan)
+    assert [(r["id"], round(r["lon"], 6)) for r in found.collect()] == [("way/0", 0.425)]
