@@ -223,6 +223,29 @@ def test_embedding_query_equals_brute_force(spark):
     assert {(r[0], r[1], r[2]) for r in embedding_dedup.op1_embedding_dedup(spark, SF).collect()} == want
 
 
+def test_blocks_of_embeddings_meet_without_copies(spark, monkeypatch):
+    plans, stage = {}, embedding_dedup.stage
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 40)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "stage", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), stage(df, name))[1])
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(size=(150, 16)), 0.02 * rng.normal(size=(90, 16)) + np.eye(16)[0], 0.02 * rng.normal(size=(60, 16)) + np.eye(16)[1]))
+    x = np.concatenate((x, np.repeat(x[:2], 30, 0))).astype(np.float32)
+    near = (u := x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))) @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    forest = simhash_dedup.Forest(len(x))
+    forest.link(*np.nonzero(near))
+    want = {(i, int(near[i].sum()), int(root)) for i, root in enumerate(forest.roots())}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {(r[0], r[1], r[2]) for r in embedding_dedup.near_duplicates(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "CartesianProduct" in plans["found"] and not any(x in plans["found"] for x in ("hashpartitioning", "Generate", "FlatMapGroups"))
+
+
 def test_repeated_ids_do_not_join_groups(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])]
     got = sorted(map(tuple, embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
