@@ -37,6 +37,32 @@ def client_gazetteer(places: DataFrame, ways: DataFrame, nodes: DataFrame) -> Da
     """(name, lon, lat, cat, rank, street, house): named places, a row for each named street way, named areas that are no
     buildings, house numbers, and addresses made up along streets. Ways of one id are ways of their own. A named way that is
     no street has a house number only if it is listed as an area itself."""
+    found, series = _client_parts(places, ways, nodes)
+    made = lines.series_houses(series, more=("street",))
+    made = made.select(_made_name().alias("name"), "lon", "lat", F.lit("address").alias("cat"), F.lit(20).alias("rank"), "street", "house")
+    return found.unionByName(made)
+
+
+def client_names(places: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cat, rank, name, entries, houses, lon, lat): client_gazetteer()'s rows by category, rank and name: how many, the sum of
+    their house numbers (0 for none) and their mean place. Made-up houses, hundreds a way and more the longer it is, are
+    summed by number along the streets (lines.series_sums) and not made one by one."""
+    found, series = _client_parts(places, ways, nodes)
+    key = ["cat", "rank", "name"]
+    counted = [F.count("*").alias("entries"), F.sum("house").alias("houses"), F.count("lon").alias("lons"), F.sum("lon").alias("lon"), F.count("lat").alias("lats"), F.sum("lat").alias("lat")]
+    own = found.groupBy(*key).agg(*counted)
+    made = lines.series_sums(series, "street")
+    made = made.select(F.lit("address").alias("cat"), F.lit(20).alias("rank"), _made_name().alias("name"), "entries", (F.col("house") * F.col("entries")).alias("houses"), "lons", "lon", "lats", "lat")
+    every = own.unionByName(made).groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("entries", "houses", "lons", "lon", "lats", "lat")))
+    return every.select(*key, "entries", F.coalesce("houses", F.lit(0)).alias("houses"), *(F.when(F.col(f"{c}s") > 0, F.col(c) / F.col(f"{c}s")).alias(c) for c in ("lon", "lat")))
+
+
+def _made_name() -> Column:
+    return F.concat_ws(" ", "street", F.col("house").cast("string"))
+
+
+def _client_parts(places: DataFrame, ways: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """client_gazetteer()'s rows without the made-up houses, and these as series (lines.address_series) with their street."""
     ways = roads.way_rows(ways).drop("id")
     t = F.col("tags")
     none = F.lit(None)
@@ -59,9 +85,8 @@ def client_gazetteer(places: DataFrame, ways: DataFrame, nodes: DataFrame) -> Da
     houses = kept.filter(number.isNotNull() & street.isNotNull() & listed).join(nodes.select("node", "lon", "lat"), "node")
     houses = houses.select(*pick(F.concat_ws(" ", street, number.cast("string")), lon, lat, F.lit("address"), 40, street, number))
     # names go to the points, as the houses between them may be hundreds of times as many
-    made = lines.addresses(line.withColumnRenamed("way", "route").join(roads_.select(F.col("way").alias("route"), t["name"].alias("street")), "route"), more=("street",))
-    made = made.select(*pick(F.concat_ws(" ", "street", F.col("house").cast("string")), lon, lat, F.lit("address"), 20, F.col("street"), F.col("house")))
-    return named.unionByName(streets).unionByName(named_areas).unionByName(houses).unionByName(made)
+    named_lines = line.withColumnRenamed("way", "route").join(roads_.select(F.col("way").alias("route"), t["name"].alias("street")), "route")
+    return named.unionByName(streets).unionByName(named_areas).unionByName(houses), lines.address_series(named_lines, more=("street",))
 
 
 def closed_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:

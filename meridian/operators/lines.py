@@ -195,18 +195,57 @@ def ring_areas(ring: DataFrame, least: int = 8) -> DataFrame:
     return sums.filter(F.abs("area2") >= least).select("route", "area2", *((F.col(f"s{c}") / (3.0 * F.col("area2"))).alias(f"c{c}") for c in ("x", "y")))
 
 
+def address_series(streets: DataFrame, spacing: float = 25.0, every: int = 6, more: tuple[str, ...] = ()) -> DataFrame:
+    """(route, before, first, steps, ax, ay, bx, by): the houses that addresses() makes up, as one row for each segment that has
+    any: of its steps those numbered first, first + every ..., with before the steps of the street up to it."""
+    cut = pieces(streets, more).withColumn("steps", F.greatest(F.lit(1), half_up(F.col("metres") / spacing)).cast("long"))
+    before = F.sum("steps").over(Window.partitionBy("route").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("steps")
+    cut = cut.withColumn("before", before).withColumn("first", every - F.col("before") % every)
+    return cut.filter("first <= steps").select("route", "before", "first", "steps", "ax", "ay", "bx", "by", *more)
+
+
 def addresses(streets: DataFrame, spacing: float = 25.0, every: int = 6, more: tuple[str, ...] = ()) -> DataFrame:
     """(route, house, lon, lat): made-up even numbers, a step for each spacing metres of a street and one kept of every; with
     more of the streets' columns if asked for, as houses are many times the streets' points and hard to join later."""
-    cut = pieces(streets, more).withColumn("steps", F.greatest(F.lit(1), half_up(F.col("metres") / spacing)).cast("long"))
-    before = F.sum("steps").over(Window.partitionBy("route").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("steps")
-    first = every - F.col("before") % every
-    kept = F.when(first <= F.col("steps"), F.sequence(first, F.col("steps"), F.lit(every).cast("long")))
-    k = cut.withColumn("before", before).withColumn("k", F.explode(kept))
+    return series_houses(address_series(streets, spacing, every, more), every, more)
+
+
+def series_houses(series: DataFrame, every: int = 6, more: tuple[str, ...] = ()) -> DataFrame:
+    """The houses of address_series()."""
+    k = series.withColumn("k", F.explode(F.sequence("first", "steps", F.lit(every).cast("long"))))
     t = F.col("k") / F.col("steps")
     return k.select("route", (2 * (F.col("before") + F.col("k"))).alias("house"), (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("lon"), (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("lat"), *more)
 
 
+def series_sums(series: DataFrame, by: str, every: int = 6) -> DataFrame:
+    """(by, house, entries, lons, lon, lats, lat): how many of address_series()'s houses have one by and number, and the counts
+    and sums of their coordinates, in work that grows with the segments and the numbers, not with the houses.
+
+    Along a segment places are a line over the numbers: it joins its street's running sums at its first house and leaves
+    them after its last. The sums are decimal, so what leaves takes away exactly what joined. A window has a row for each
+    number at which any segment of a by begins or ends, however many there are.
+    """
+    made = series.withColumn("low", ((F.col("before") + F.col("first")) / every).cast("long"))
+    made = made.withColumn("end", F.col("low") + F.floor((F.col("steps") - F.col("first")) / every) + 1)
+    exact = lambda c: c.cast("decimal(22,18)")
+    sums = ["entries"]
+    for name, p, q in (("lon", "ax", "bx"), ("lat", "ay", "by")):
+        size = F.col(q) - F.col(p)
+        made = made.withColumn("step", exact(size * every / F.col("steps")))
+        made = made.withColumns({f"{name}_base": exact(F.col(p) + size * (F.col("first") / F.col("steps"))) - F.col("step") * F.col("low").cast("decimal(13,0)"), f"{name}_step": F.col("step")})
+        made = made.withColumn(f"{name}s", F.col(f"{name}_base").isNotNull().cast("long"))
+        sums += [f"{name}s", f"{name}_base", f"{name}_step"]
+    made = made.withColumn("entries", F.lit(1).cast("long"))
+    ends = made.withColumn("e", F.explode(F.array(F.struct(F.col("low").alias("m"), F.lit(True).alias("joins")), F.struct(F.col("end").alias("m"), F.lit(False).alias("joins")))))
+    steps = ends.groupBy(by, "e.m").agg(*(F.sum(F.when(F.col("e.joins"), F.col(c)).otherwise(-F.col(c))).alias(c) for c in sums))
+    order = Window.partitionBy(by).orderBy("m")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    held = steps.select(by, "m", F.lead("m").over(order).alias("next"), *(F.sum(c).over(upto).alias(c) for c in sums)).filter("entries > 0")
+    each = held.withColumn("m", F.explode(F.sequence("m", F.col("next") - 1)))
+    total = lambda name: (F.col(f"{name}_base").cast("double") + F.col(f"{name}_step").cast("double") * F.col("m")).alias(name)
+    return each.select(by, (2 * every * F.col("m")).alias("house"), "entries", "lons", total("lon"), "lats", total("lat"))
+
+
 def middle_runs(sums: DataFrame, street: list[str]) -> DataFrame:
     """(*street, way, run, before, half): of the runs (way, run, length, *street) of each street, laid end to end by way and
     run, the one that half its length lies in, with the length before it and that half. sums must be stored.

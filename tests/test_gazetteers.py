@@ -1,10 +1,14 @@
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from meridian.operators import areas, gazetteers, roads
+from meridian.plans import journeys
+
+from .conftest import SF
 
 
 def ways_of(spark, rows):
@@ -97,6 +101,28 @@ def test_made_up_houses_are_not_joined_again(spark, world):
     assert found and not any("Join" in x for x in above.splitlines()[-4:])
 
 
+def test_houses_of_a_name_are_summed_without_making_them(spark, world):
+    places, ways, nodes, _, _ = world
+    r = random.Random(7)
+    spots = [(100 + i, r.uniform(-1, 1), r.uniform(50, 51)) for i in range(40)] + [(200, 0.0, 60.0), (201, 0.0, 60.0), (202, 0.0001, 60.0)]
+    more = [(50 + i, r.choices([s[0] for s in spots] + [999], k=r.randrange(1, 7)), {"highway": "primary", "name": r.choice(["Long", "Wide 12", "Long 24"])}) for i in range(30)]
+    more += [(90, [200, 201, 202, 201], {"highway": "primary", "name": "Short"}), (91, [100, 101], {"landuse": "address", "name": "Long 24 36"})]
+    ways, nodes = ways.unionByName(ways_of(spark, more)), nodes.unionByName(spark.createDataFrame(spots, nodes.schema))
+    rows = gazetteers.client_gazetteer(places, ways, nodes).groupBy("cat", "rank", "name").agg(F.count("*").alias("entries"), F.coalesce(F.sum("house"), F.lit(0)).alias("houses"), F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    names = gazetteers.client_names(places, ways, nodes)
+    assert names.columns == rows.columns
+    told = lambda df: {(x["cat"], x["rank"], x["name"], x["entries"], x["houses"]): (x["lon"], x["lat"]) for x in df.collect()}
+    got, want = told(names), told(rows)
+    assert got.keys() == want.keys() and max(x[3] for x in want) > 5 and len(want) > 2000
+    assert all(abs(a - b) < 1e-12 for k in want for a, b in zip(got[k], want[k]))
+
+
+def test_the_query_of_names_makes_no_houses(spark):
+    plan = journeys.client_gazetteer(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("steps" in x or "metres" in x for x in plan.splitlines() if "Generate explode(" in x and "sequence(" in x)
+    assert "sequence(m#" in plan
+
+
 def test_a_way_that_begins_two_streets_keeps_both(spark):
     spots = [(1, 0.2, 0.5), (2, 0.4, 0.5), (3, 2.0, 0.5), (4, 2.4, 0.5), (11, 0.0, 0.0), (12, 1.0, 0.0), (13, 1.0, 1.0), (14, 0.0, 1.0)]
     nodes = spark.createDataFrame(spots, "node long, lon double, lat double")
