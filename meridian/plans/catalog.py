@@ -165,6 +165,13 @@ def way_refs(spark: SparkSession, d: str) -> DataFrame:
     return refs.select(F.col("l_orderkey").alias("way"), (F.row_number().over(order) - 1).alias("pos"), known(F.col("l_partkey")).alias("node"))
 
 
+def way_lists(spark: SparkSession, d: str) -> DataFrame:
+    """(way, refs): way_refs() as one row for each way; the lines of an order are sorted in its own array alone."""
+    rows = path_rows(spark, d).withColumn("node", known(F.col("l_partkey")))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "node")
+    return rows.groupBy(F.col("l_orderkey").alias("way")).agg(F.sort_array(F.collect_list(line))["node"].alias("refs"))
+
+
 def path_rows(spark: SparkSession, d: str) -> DataFrame:
     """The lines of orders, those of an order in one task."""
     lines = read(spark, d, "lineitem")
